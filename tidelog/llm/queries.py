@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
+from . import decontaminate, mixing, quality, sharding, tokens
 from .common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -25,6 +30,10 @@ def op5_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _STOPS = "[" + ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS))) + "]"
 
@@ -57,11 +66,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
+OP7_SQL = r"""
+WITH t AS (
+  SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (
+  SELECT side, id, text, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t),
+s AS (
+  SELECT DISTINCT side, id, text, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT id, text, count(*) AS n FROM s WHERE side = 1 GROUP BY id, text)
+SELECT d.id AS doc_id, b.id AS item_id, any_value(n.n)::BIGINT AS n_shingles, count(*)::BIGINT AS n_found,
+       count(*) / any_value(n.n) AS containment
+FROM s d JOIN s b ON d.s = b.s AND d.side = 0 AND b.side = 1 JOIN n ON n.id = b.id AND n.text = b.text
+GROUP BY d.id, d.text, b.id, b.text HAVING 5 * count(*) >= 4 * any_value(n.n)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
     "op3_mix_to_weights": op3_mix_to_weights,
     "op5_interleaved_shards": op5_interleaved_shards,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
+    "op7_benchmark_decontamination": OP7_SQL,
 }
