@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, tokens
+from . import decontaminate, mixing, quality, sharding, simhash, tokens
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op3_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
     "op3_mix_to_weights": op3_mix_to_weights,
+    "op4_simhash_neardup": op4_simhash_neardup,
     "op5_interleaved_shards": op5_interleaved_shards,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
 }
