@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: Fixed value: the pattern of the sketch pass, for Java; it only proposes table entries.
 JAVA_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _KNOWN = 0x250
@@ -99,8 +101,11 @@ def frequent_pieces(docs: DataFrame, text: str = "text", frequent: int = 8192, t
     """At most ``frequent`` pre-tokens that sketches over all texts hold for the most frequent."""
     pieces = docs.select(F.spark_partition_id().alias("_p"), F.explode(F.regexp_extract_all(text, F.lit(JAVA_PIECES), F.lit(0))).alias("_piece"))
     pieces = pieces.select(F.pmod("_p", F.lit(groups)).alias("_g"), "_piece").where(F.length("_piece") <= _LONG)
-    each = pieces.groupBy("_g").agg(F.expr(f"approx_top_k_accumulate(_piece, {tracked})").alias("_s"))
-    top = each.agg(F.expr(f"approx_top_k_combine(_s, {tracked})").alias("_s")).select(F.expr(f"approx_top_k_estimate(_s, {frequent})").alias("_top"))
+    each = settle(pieces.groupBy("_g").agg(F.expr(f"approx_top_k_accumulate(_piece, {tracked})").alias("_s")))
+    if each.isEmpty():
+        return []
+    # in one partition, as the function that combines can't start from a partition without rows
+    top = each.repartition(1).agg(F.expr(f"approx_top_k_combine(_s, {tracked})").alias("_s")).select(F.expr(f"approx_top_k_estimate(_s, {frequent})").alias("_top"))
     return [r["item"] for r in (top.first()["_top"] or [])]
 
 
