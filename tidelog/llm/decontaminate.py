@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import settle, trimmed, words
 
 
 def _at(w: str, i: Column, k: int) -> list[Column]:
@@ -46,7 +46,7 @@ def hashes(w: str, k: int = 5) -> Column:
 
 def index(items: DataFrame, threshold: float, k: int, block_shingles: int) -> tuple[DataFrame, int]:
     """Rows ``(_key, item_id, n_shingles, _need, _least, _shingles, _block)`` and the number of blocks."""
-    w = items.select("item_id", words(F.lower("text")).alias("_w")).where(F.size("_w") > 0)
+    w = items.where(trimmed(F.col("text")) != "").select("item_id", words(F.lower("text")).alias("_w"))
     s = w.select("item_id", F.array_distinct(shingles("_w", k)).alias("_shingles"), F.sort_array(F.array_distinct(hashes("_w", k))).alias("_hashes"))
     s = s.withColumn("n_shingles", F.size("_shingles"))
     part = F.floor(F.log2(F.col("n_shingles").cast("double")) + 1e-9)
@@ -54,6 +54,7 @@ def index(items: DataFrame, threshold: float, k: int, block_shingles: int) -> tu
     need = lambda n: F.ceil(n * threshold - 1e-9).cast("int")
     # n - need(n) doesn't fall as n grows, so the largest size of a partition needs the longest sketch
     s = s.withColumns({"_need": need(F.col("n_shingles")), "_least": need(low), "_sketch": (high - need(high) + 1).cast("int")})
+    s = settle(s)
     total = s.agg(F.coalesce(F.sum(F.col("n_shingles") * F.col("_sketch")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_shingles))
     return s.select(F.explode(F.slice("_hashes", F.lit(1), F.col("_sketch"))).alias("_key"), "item_id", "n_shingles", "_need", "_least", "_shingles", F.pmod(F.xxhash64("item_id", "_shingles"), F.lit(blocks)).alias("_block")), blocks
@@ -65,15 +66,20 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: int = 5,
     ``_print`` is the MD5 of the text, which tells apart rows that share a doc_id.
     """
     keys, blocks = index(items.select("item_id", "text"), threshold, k, block_shingles)
-    read = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("_print"), words(F.lower("text")).alias("_w")).where(F.size("_w") > 0)
-    rows = read.select("doc_id", "_print", "_w", F.explode(hashes("_w", k)).alias("_key"))
+    read = docs.where(trimmed(F.col("text")) != "").select("doc_id", F.md5(F.col("text").cast("binary")).alias("_print"), words(F.lower("text")).alias("_w"))
+    # a row for each start, hashed there: unlike a higher-order function, this is compiled with the join
+    starts = read.select("doc_id", "_print", "_w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("_w") - k, F.lit(0)))).alias("_i"))
+    short = F.xxhash64(F.array_join("_w", " "), F.lit("whole"))
+    rows = starts.select("doc_id", "_print", "_w", F.when(F.size("_w") >= k, F.xxhash64(*_at("_w", F.col("_i"), k))).otherwise(short).alias("_key"))
 
     def block(b: int) -> DataFrame:
         hit = rows.join(F.broadcast(keys.where(F.col("_block") == b).drop("_block")), "_key").where(F.greatest(F.size("_w") - (k - 1), F.lit(1)) >= F.col("_least"))
         found = F.size(F.array_intersect("_shingles", shingles("_w", k)))
-        return hit.select("doc_id", "_print", "item_id", "n_shingles", "_need", found.alias("n_found")).where("n_found >= _need")
+        # exploded, not filtered, so that the verification isn't moved into the join and keeps it from being compiled
+        enough = F.explode(F.filter(F.array(found), lambda n: n >= F.col("_need")))
+        return hit.select("doc_id", "_print", "item_id", "n_shingles", enough.alias("n_found"))
 
-    return reduce(DataFrame.unionByName, [block(b) for b in range(blocks)]).drop("_need").distinct()
+    return reduce(DataFrame.unionByName, [block(b) for b in range(blocks)]).distinct()
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
@@ -87,8 +93,6 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: int = 5,
 
     The contaminated texts' checksums are broadcast up to ``broadcast_rows`` of them and joined by a shuffle beyond.
     """
-    from .common import settle
-
     bad = settle(find(docs, items, threshold, k).select(F.col("_print").alias("_bad")).distinct())
     if bad.limit(broadcast_rows + 1).count() <= broadcast_rows:
         bad = F.broadcast(bad)
