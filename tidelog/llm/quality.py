@@ -136,4 +136,7 @@ def judge(df: DataFrame, text: str = "text", base: Sequence[Rule] = BASE, rules:
 def keep(df: DataFrame, text: str = "text", base: Sequence[Rule] = BASE, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of ``df`` that the rules keep, with their columns."""
     whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_all"), F.col(f"`{text}`").alias("_text"))
-    return judge(whole, "_text", base, rules).where("kept").select(*(F.col("_all")[c].alias(c) for c in df.columns))
+    judged = judge(whole, "_text", base, rules)
+    # exploded, not filtered: a filter would be pushed down, and all figures computed again inside each other
+    once = F.explode(F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+    return judged.select("_all", once.alias("_once")).select(*(F.col("_all")[c].alias(c) for c in df.columns))
