@@ -133,7 +133,8 @@ def _mark(anchors: DataFrame, bits: int, slices: int = 64) -> np.ndarray:
 
 
 def repeats(docs: DataFrame, length: int = 20, seed_words: int = 8, chunk_words: int = 1_000_000, bits: int = 1 << 28) -> DataFrame:
-    """``(_d, _t, first, last)`` of ``docs (_d, _t, text)``: runs of starts of repeated windows, unmerged."""
+    """``(_d, _t, first, more)`` of ``docs (_d, _t, text)``: runs of starts of repeated windows, unmerged; a run
+    has ``more`` starts after its first."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _, _ in _chunks(batches, length, seed_words, chunk_words):
@@ -143,7 +144,7 @@ def repeats(docs: DataFrame, length: int = 20, seed_words: int = 8, chunk_words:
 
     twice = docs.mapInArrow(anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     marked = docs.sparkSession.sparkContext.broadcast(_mark(twice, bits))
-    names = ["h", "g", "_d", "_t", "first", "last"]
+    names = ["h", "g", "_d", "_t", "first", "more"]
     schema = pa.schema(list(zip(names, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,20 +172,21 @@ def repeats(docs: DataFrame, length: int = 20, seed_words: int = 8, chunk_words:
                 cut = np.concatenate(([True], (np.diff(chunk.at[gone]) != 1) | (np.diff(chunk.doc[gone]) != 0)))
                 a = gone[cut]
                 b = gone[np.append(np.flatnonzero(cut)[1:] - 1, len(gone) - 1)]
+                a_at, b_at = s[a], s[b]
                 none64, none32 = pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32())
-                yield pa.RecordBatch.from_arrays([none64, none32, pa.array(d[a]), pa.array(t[a]), pa.array(s[a].astype(np.int32)), pa.array(s[b].astype(np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([none64, none32, pa.array(d[a]), pa.array(t[a]), pa.array(s[a].astype(np.int32)), pa.array((b_at - a_at).astype(np.int32))], schema=schema)
             first = np.concatenate((order[alone], some[begins]))
             bit = np.mod(chunk.anchor[first].view(np.int64), bits)
-            first = first[(table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+            first = np.sort(first[(table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1])  # by document, so that rows compress
             for at in range(0, len(first), 100_000):
                 x = first[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(h[x].view(np.int64)), pa.array(g[x].view(np.int32)), pa.array(d[x]), pa.array(t[x]), pa.array(s[x].astype(np.int32)), pa.array(s[x].astype(np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(h[x].view(np.int64)), pa.array(g[x].view(np.int32)), pa.array(d[x]), pa.array(t[x]), pa.array(s[x].astype(np.int32)), pa.array(np.zeros(len(x), np.int32))], schema=schema)
 
-    both = docs.mapInArrow(extend, "h long, g int, _d long, _t long, first int, last int")
+    both = docs.mapInArrow(extend, "h long, g int, _d long, _t long, first int, more int")
     # runs settled in their chunk have no hash: they are spread out, and stay
     salt = F.coalesce(F.col("h"), F.xxhash64("_d", "_t", "first"))
     late = both.withColumn("_p", salt).withColumn("_rank", F.expr("rank() OVER (PARTITION BY _p, h, g ORDER BY _d, _t, first)"))
-    return late.where("_rank > 1 OR h IS NULL").select("_d", "_t", "first", "last")
+    return late.where("_rank > 1 OR h IS NULL").select("_d", "_t", "first", "more")
 
 
 def cut_repeats(docs: DataFrame, length: int = 20, seed_words: int = 8, chunk_words: int = 1_000_000, bits: int = 1 << 28) -> DataFrame:
@@ -195,7 +197,7 @@ def cut_repeats(docs: DataFrame, length: int = 20, seed_words: int = 8, chunk_wo
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns if c != "text")).alias("_rest"), F.coalesce("doc_id", F.lit(_LAST)).alias("_d"), tie.alias("_t"), "text")
     found = repeats(keyed.select("_d", "_t", "text"), length, seed_words, chunk_words, bits)
-    spans = found.groupBy("_d", "_t").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
+    spans = found.groupBy("_d", "_t").agg(F.collect_list(F.struct("first", "more")).alias("_spans"))
     kind = "n_words long, n_removed long, kept string"
 
     @F.arrow_udf(kind)
@@ -208,7 +210,7 @@ def cut_repeats(docs: DataFrame, length: int = 20, seed_words: int = 8, chunk_wo
                 its = its.as_py()
                 if its:
                     kept, at, removed = [], 0, 0
-                    for a, b in sorted((x["first"], x["last"] + length) for x in its):
+                    for a, b in sorted((x["first"], x["first"] + x["more"] + length) for x in its):
                         kept += words[at : max(at, a)]
                         removed += max(0, b - max(at, a))
                         at = max(at, b)
