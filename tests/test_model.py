@@ -1,0 +1,104 @@
+from __future__ import annotations
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from tidelog import errors as e
+from tidelog.model import AppendCondition, Batch, Event, Query, QueryItem, ReadOptions, canonical_tags, check_read, pack_position, position_hex, tag_subsets, unpack_position
+from tidelog.plans import simplify
+
+
+def test_positions():
+    p = pack_position(7, 3)
+    assert len(p) == 12 and unpack_position(p) == (7, 3)
+    assert pack_position(1, 65_535) < pack_position(2, 0) < pack_position(2, 1) < pack_position(256, 0)
+    assert position_hex(bytes(range(1, 13))) == "0102030405060708090a0b0c"
+    with pytest.raises(e.CorruptRecord):
+        unpack_position(b"short")
+    with pytest.raises(TypeError):
+        unpack_position("text")
+
+
+def test_tags_as_sets():
+    assert canonical_tags(["c", "a", "b", "a"]) == ("a", "b", "c")
+    assert tag_subsets(["b", "a"]) == [(), ("a",), ("b",), ("a", "b")]
+    assert len(set(tag_subsets(map(str, range(10))))) == 1024
+
+
+def checked(events, conditions=()):
+    Batch(tuple(events), tuple(conditions)).check()
+
+
+@pytest.mark.parametrize(
+    ("events", "conditions", "error"),
+    [
+        ([], [], e.EmptyEvents),
+        ([Event("")], [], e.MissingEventType),
+        ([Event("T", ("t",) * 11)], [], e.TooManyTags),
+        ([Event("T", ("_",))], [], e.ReservedTag),
+        ([Event("T")], [AppendCondition(Query())], e.InvalidQuery),
+        ([Event("T")], [AppendCondition(Query((QueryItem(),)))], e.InvalidQuery),
+        ([Event("T")], [AppendCondition(Query.of_tags("_"))], e.ReservedTag),
+        # the first fault in the fixed order counts
+        ([Event("", ("_",) * 11)], [AppendCondition(Query())], e.MissingEventType),
+        ([Event("T", ("_",) * 11)], [], e.TooManyTags),
+        ([Event("T")], [AppendCondition(Query((QueryItem(), QueryItem((), ("_",)))))], e.InvalidQuery),
+    ],
+)
+def test_append_is_checked_before_anything_else(events, conditions, error):
+    with pytest.raises(error):
+        checked(events, conditions)
+
+
+def test_limits_are_inclusive():
+    checked([Event("T", tuple("abcdefghij"))])
+    checked([Event("T", ("",))])
+    one = Event("T")
+    checked([one] * 65_535)
+    with pytest.raises(e.BatchTooLarge):
+        checked([one] * 65_536)
+    checked([one], [AppendCondition(Query.of_tags(*map(str, range(30))))])  # no tag limit on queries
+
+
+def test_reads_are_checked_for_reserved_tags_first():
+    check_read(Query())
+    with pytest.raises(e.ReservedTag):
+        check_read(Query((QueryItem(), QueryItem((), ("_",)))))
+    with pytest.raises(e.InvalidQuery):
+        check_read(Query((QueryItem(("T",)), QueryItem())))
+
+
+def test_malformed_arguments():
+    for bad in (lambda: Event(1), lambda: Event("T", "tags"), lambda: Event("T", (1,)), lambda: Event("T", (), "x"), lambda: QueryItem("T"), lambda: Query(("x",))):
+        with pytest.raises(TypeError):
+            bad()
+    for bad in (-1, True, 1.5):
+        with pytest.raises(ValueError):
+            ReadOptions(limit=bad)
+    with pytest.raises(e.CorruptRecord):
+        AppendCondition(Query.of_types("T"), b"1")
+
+
+def matches(event: Event, query: Query) -> bool:
+    return any((not i.types or event.type_name in i.types) and set(i.tags) <= set(event.tags) for i in query.items)
+
+
+names, tags = st.lists(st.sampled_from("TUV"), max_size=3), st.lists(st.sampled_from("abcd"), max_size=4)
+items = st.builds(lambda a, b: QueryItem(tuple(a), tuple(b)), names, tags).filter(lambda i: not i.empty)
+queries = st.builds(lambda i: Query(tuple(i)), st.lists(items, max_size=5))
+events = st.builds(lambda t, g: Event(t, tuple(g)), st.sampled_from("TUVW"), tags)
+
+
+@given(events, queries)
+def test_simplify_keeps_what_matches(event, query):
+    short = simplify(query)
+    assert matches(event, query) == matches(event, short) and len(short.items) <= len(query.items)
+
+
+@given(events, queries)
+def test_conflict_is_a_shared_subset(event, query):
+    """An event conflicts with an item if the item's tags are one of the event's subsets, under one of its types."""
+    buckets = {(s, event.type_name) for s in tag_subsets(event.tags)}
+    by_index = any(any(s == canonical_tags(i.tags) and (not i.types or t in i.types) for s, t in buckets) for i in query.items)
+    assert by_index == matches(event, query)

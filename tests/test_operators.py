@@ -1,0 +1,152 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidelog.functions import canonical_tags, has_all, position, position_index, position_version, tag_subsets
+from tidelog.model import LOG, AppendCondition, Event, Query, QueryItem, ReadOptions, pack_position
+from tidelog.operators import conflicts, conflicts_indexed, discover_types, exists, fetch, orphans, pages, read, read_all, subset_index
+from tidelog.operators.conditions import condition_rows
+from tidelog.operators.index import subset_key
+
+
+def log_of(spark, rows):
+    return spark.createDataFrame([(v, i, t, list(g), b"") for v, i, t, g in rows], LOG)
+
+
+ROWS = [(1, 0, "T1", ["a", "b"]), (1, 1, "T2", ["b", "a", "b"]), (2, 0, "T1", ["c"]), (3, 0, "T3", []), (3, 1, "T1", ["a"]), (300, 0, "T2", ["a", "c"])]
+
+
+@pytest.fixture(scope="module")
+def log(spark):
+    return log_of(spark, ROWS).cache()
+
+
+def at(df):
+    return [(int.from_bytes(r.position[:10], "big"), int.from_bytes(r.position[10:], "big")) for r in df.collect()]
+
+
+def test_read_by_types_tags_and_both(log):
+    assert at(read(log, Query.of_types("T1"))) == [(1, 0), (2, 0), (3, 1)]
+    assert at(read(log, Query.of_types("T1", "T3", "T1"))) == [(1, 0), (2, 0), (3, 0), (3, 1)]
+    assert at(read(log, Query.of_tags("b", "a", "a"))) == [(1, 0), (1, 1)]
+    assert at(read(log, Query((QueryItem(("T2",), ("a",)),)))) == [(1, 1), (300, 0)]
+    assert at(read(log, Query.of_types("none"))) == []
+    assert at(read(log, Query())) == []
+
+
+def test_or_of_items_gives_each_event_once(log):
+    q = Query.of_tags("a") | Query.of_tags("b") | Query.of_types("T1", "T2")
+    assert at(read(log, q)) == [(1, 0), (1, 1), (2, 0), (3, 1), (300, 0)]
+    assert at(read(log, q, ReadOptions(2, reverse=True))) == [(300, 0), (3, 1)]
+
+
+def test_after_is_exclusive_and_a_lower_bound_both_ways(log):
+    q, after = Query.of_types("T1", "T2"), pack_position(1, 1)
+    assert at(read(log, q, ReadOptions(after=after))) == [(2, 0), (3, 1), (300, 0)]
+    assert at(read(log, q, ReadOptions(after=after, reverse=True))) == [(300, 0), (3, 1), (2, 0)]
+    assert at(read(log, q, ReadOptions(1, after, True))) == [(300, 0)]
+    assert at(read(log, q, ReadOptions(after=b"\xff" * 12))) == []
+
+
+def test_read_all_returns_tags_as_given(log):
+    rows = read_all(log).collect()
+    assert [r.tags for r in rows] == [r[3] for r in ROWS] and rows[0].asDict().keys() == {"position", "type_name", "tags", "data"}
+
+
+def test_pages(log):
+    assert [at(p) for p in pages(log, Query.of_types("T1", "T2"), 2)] == [[(1, 0), (1, 1)], [(2, 0), (3, 1)], [(300, 0)]]
+    assert [at(p) for p in pages(log, Query.of_types("none"), 2)] == []
+
+
+def test_type_discovery(log):
+    assert {r[0] for r in discover_types(log, ("a",)).collect()} == {"T1", "T2"}
+    assert {r[0] for r in discover_types(log, ()).collect()} == {"T1", "T2", "T3"}
+
+
+MATRIX = [
+    ("T", ["A"], [(["T"], ["A"])], True),
+    ("T", ["A", "B"], [(["T"], ["A"])], True),
+    ("T", ["A"], [(["T"], [])], True),
+    ("T", ["A"], [([], ["A"])], True),
+    ("T1", [], [(["T1", "T2"], [])], True),
+    ("T1", [], [(["T1"], []), (["T2"], [])], True),
+    ("T", ["1", "2"], [([], ["1", "2"])], True),
+    ("T", ["1", "2", "3"], [([], ["1", "2"])], True),
+    ("T1", ["A"], [(["T2"], ["A"])], False),
+    ("T", ["1"], [(["T"], ["1", "2"])], False),
+    ("T", ["1", "2"], [(["T"], ["1", "3"])], False),
+    ("T", ["1"], [(["T"], ["2"])], False),
+    ("T1", ["t"], [(["T2", "T3"], ["t"])], False),
+    ("T1", [], [(["T2", "T3"], [])], False),
+    ("T1", ["1"], [(["T2"], []), ([], ["2"])], False),
+    ("T", ["1"], [([], ["1", "2"])], False),
+]
+
+
+@pytest.mark.parametrize("how", [conflicts, conflicts_indexed])
+def test_condition_matrix(spark, how):
+    """All cases at once: each has its own event, marked by a tag that its condition asks for too."""
+    log = log_of(spark, [(k + 1, 0, f"{t}{k}", [*g, f"case{k}"]) for k, (t, g, _, _) in enumerate(MATRIX)])
+    conditions = [(k, AppendCondition(Query(tuple(QueryItem(tuple(f"{t}{k}" for t in types), (*tags, f"case{k}")) for types, tags in q)))) for k, (_, _, q, _) in enumerate(MATRIX)]
+    found = {r.cond_id for r in how(log, condition_rows(spark, conditions)).collect()}
+    assert found == {k for k, case in enumerate(MATRIX) if case[3]}
+    assert [exists(log, [c]) for _, c in conditions[::5]] == [MATRIX[k][3] for k in range(0, 16, 5)]
+
+
+def test_conditions_directly_and_indexed_agree_with_python(spark):
+    rng = random.Random(4)
+    rows = [(v, i, rng.choice("TUV"), [rng.choice("abcde") for _ in range(rng.randint(0, 4))]) for v in range(1, 30) for i in range(3)]
+    cs = []
+    for k in range(40):
+        items = tuple(QueryItem(tuple(rng.sample("TUVW", rng.randint(0, 2))), tuple(rng.choices("abcde", k=rng.randint(1, 3)))) for _ in range(rng.randint(1, 3)))
+        cs.append((k, AppendCondition(Query(items), rng.choice([None, pack_position(rng.randint(0, 30), rng.randint(0, 3))]))))
+    expected = {}
+    for k, c in cs:
+        n = sum((c.after is None or pack_position(v, i) > c.after) and any((not q.types or t in q.types) and set(q.tags) <= set(g) for q in c.query.items) for v, i, t, g in rows)
+        if n:
+            expected[k] = n
+    log, table = log_of(spark, rows), condition_rows(spark, cs)
+    assert {r.cond_id: r.n_events for r in conflicts(log, table).collect()} == expected
+    assert {r.cond_id: r.n_events for r in conflicts_indexed(log, table).collect()} == expected
+
+
+def test_subset_index_fetch_and_orphans(spark, log):
+    index = subset_index(log)
+    assert index.count() == sum(2 ** len(set(r[3])) for r in ROWS)
+    both = index.where(subset_key("subset") == "1:a1:b")
+    assert {(r.commit_version, r.batch_index) for r in fetch(both, log).collect()} == {(1, 0), (1, 1)}
+    assert orphans(index, log).count() == 0 and orphans(index, log.where("commit_version > 1")).count() == 8
+
+
+def test_functions(spark):
+    df = spark.createDataFrame([(["b", "a", "b"], 258, 513)], "tags array<string>, v long, i int")
+    p = position("v", "i")
+    row = df.select(canonical_tags("tags").alias("c"), tag_subsets("tags").alias("s"), p.alias("p"), position_version(p).alias("v"), position_index(p).alias("i"), has_all(F.col("tags"), F.array().cast("array<string>")).alias("none")).first()
+    assert row.c == ["a", "b"] and row.s == [[], ["a"], ["b"], ["a", "b"]]
+    assert bytes(row.p) == pack_position(258, 513) and (row.v, row.i, row.none) == (258, 513, True)
+    ten = spark.createDataFrame([([str(k) for k in range(10)],)], "tags array<string>").select(F.size(F.array_distinct(tag_subsets("tags")))).first()[0]
+    assert ten == 1024
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans(spark, log, tmp_path):
+    log.write.parquet(str(tmp_path / "log"))
+    stored = spark.read.schema(LOG).parquet(str(tmp_path / "log"))
+    q = Query((QueryItem(("T1",), ("a",)), QueryItem(("T2",), ("b",))))
+    plan = plan_of(read(stored, q, ReadOptions(5, pack_position(1, 0))))
+    assert "TakeOrderedAndProject" in plan and "In(type_name, [T1,T2])" in plan and "GreaterThanOrEqual(commit_version,1)" in plan
+    mixed = plan_of(read(stored, q | Query.of_tags("c")))
+    assert "In(type_name" not in mixed
+    bulk = plan_of(conflicts(stored, condition_rows(spark, [(1, AppendCondition(q))])))
+    assert "BuildRight" in bulk and "BuildLeft" not in bulk
+    assert "data" not in bulk.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_event_defaults():
+    assert Event("T") == Event("T", (), b"")
