@@ -111,7 +111,8 @@ def figures(df: DataFrame, text: str = "text", stop_words: Sequence[str] = tuple
         F.size(F.filter("_w", is_stop)).cast("long").alias("n_stop_words"),
     )
     done = _repeated(counted, "_w", "n_repeat_words")
-    return done.select(*(F.col("_row")[c].alias(c) for c in df.columns if c not in (text, into)), F.struct(*FIGURES).alias(into))
+    # exploded, so that a filter on the figures isn't pushed down, which would compute them again inside each other
+    return done.select(*(F.col("_row")[c].alias(c) for c in df.columns if c not in (text, into)), F.explode(F.array(F.struct(*FIGURES))).alias(into))
 
 
 def verdict(into: str = "quality", base: Sequence[Rule] = BASE, rules: Sequence[Rule] = RULES) -> tuple[Column, Column]:
@@ -136,7 +137,4 @@ def judge(df: DataFrame, text: str = "text", base: Sequence[Rule] = BASE, rules:
 def keep(df: DataFrame, text: str = "text", base: Sequence[Rule] = BASE, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of ``df`` that the rules keep, with their columns."""
     whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_all"), F.col(f"`{text}`").alias("_text"))
-    judged = judge(whole, "_text", base, rules)
-    # exploded, not filtered: a filter would be pushed down, and all figures computed again inside each other
-    once = F.explode(F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
-    return judged.select("_all", once.alias("_once")).select(*(F.col("_all")[c].alias(c) for c in df.columns))
+    return judge(whole, "_text", base, rules).where("kept").select(*(F.col("_all")[c].alias(c) for c in df.columns))
