@@ -39,17 +39,37 @@ ADD, DISCOUNT = 0.1, 0.5
 END = np.uint64(xxhash.xxh64_intdigest(b" "))
 
 
-def tokens(text: str | None, hashes: _Hashes) -> np.ndarray:
-    w = (text or "").encode().lower().split()
-    out = np.empty(len(w) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
-    out[-1] = END
+class _Ids(dict):
+    """The number of each word, by its hash in ``known``; -1 for others. The cache is emptied when it has grown
+    large."""
+
+    def __init__(self, words: np.ndarray, ids: np.ndarray) -> None:
+        super().__init__()
+        self.known = dict(zip(words.tolist(), ids.tolist(), strict=True))
+        self.end = self.known.get(int(END), -1)
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 400_000:
+            self.clear()
+        i = self[word] = self.known.get(xxhash.xxh64_intdigest(word), -1)
+        return i
+
+
+def split(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def tokens(w: list[bytes], values: dict, end: int, kind: type) -> np.ndarray:
+    """The value of each word, and of the end after them."""
+    out = np.empty(len(w) + 1, kind)
+    out[:-1] = np.fromiter(map(values.__getitem__, w), kind, len(w))
+    out[-1] = end
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Tokens, document numbers in the chunk, and whether each token is for training."""
-    hashes, held, train, n = _Hashes(), [], [], 0
+def _chunks(batches: Iterator[pa.RecordBatch], size: int, values: dict, end: int, kind: type) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Values of the tokens, document numbers in the chunk, and whether each token is for training."""
+    held, train, n = [], [], 0
 
     def out() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, held), np.int64, len(held))
@@ -57,7 +77,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.n
 
     for batch in batches:
         for text, t in zip(batch.column("text"), batch.column("train").to_pylist(), strict=True):
-            held.append(tokens(text.as_py(), hashes))
+            held.append(tokens(split(text.as_py()), values, end, kind))
             train.append(t)
             n += len(held[-1])
             if n >= size:
@@ -76,9 +96,11 @@ def word_counts(docs: DataFrame, chunk: int = 1_000_000) -> DataFrame:
     """``(h, c, seen)``: occurrences of each word hash in training documents and in all, ends included."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, _, train in _chunks(batches, chunk):
-            words, which, seen = np.unique(h, return_inverse=True, return_counts=True)
-            c = np.bincount(which[train], minlength=len(words))
+        for h, _, train in _chunks(batches, chunk, _Hashes(), END, np.uint64):
+            words, seen = np.unique(h, return_counts=True)
+            c = seen.copy()
+            held, n = np.unique(h[~train], return_counts=True)
+            c[np.searchsorted(words, held)] -= n
             yield from _pieces([words.view(np.int64), c.astype(np.int64), seen.astype(np.int64)], ["h", "c", "seen"])
 
     return docs.mapInArrow(count, "h long, c long, seen long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
@@ -103,13 +125,6 @@ class Automaton:
     def start(self) -> int:
         return len(self.words)
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        """Numbers of the words; -1 for those whose counts are not here."""
-        if not len(self.words):
-            return np.full(len(h), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at, -1)
-
     def build(self, grams: dict[int, dict[tuple[int, ...], int]], starts: int) -> None:
         """``grams``: by order, the kept n-grams (of word numbers, or the start) and their counts."""
         wide = len(self.words) + 1
@@ -177,7 +192,8 @@ def fit(docs: DataFrame, counts: DataFrame, order: int = 3, rate: float = 1e-5,
     sc = docs.sparkSession.sparkContext
     training = docs.where("train")
     grams: dict[int, dict[tuple[int, ...], int]] = {}
-    part_words = sc.broadcast((auto.words, auto.c >= least))
+    enough = np.flatnonzero(auto.c >= least)
+    part_words = sc.broadcast((auto.words[enough], enough, len(auto.words)))
     wide = len(auto.words) + 1
     if order not in (1, 2, 3) or word_rate > rate:
         raise ValueError("order is 1, 2 or 3, and word_rate at most rate")
@@ -187,14 +203,12 @@ def fit(docs: DataFrame, counts: DataFrame, order: int = 3, rate: float = 1e-5,
         numbers = sc.broadcast(np.array([a * wide + b for a, b in kept], np.int64) if size == 3 else None)
 
         def count(batches: Iterator[pa.RecordBatch], size: int = size, numbers=numbers) -> Iterator[pa.RecordBatch]:
-            words, enough = part_words.value
-            wide = len(words) + 1
-            for h, doc, _ in _chunks(batches, chunk):
-                at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
-                ids = np.where((words[at] == h) & enough[at], at, -1) if len(words) else np.full(len(h), -1)
+            words, numbered, start = part_words.value
+            wide, known = start + 1, _Ids(words, numbered)
+            for ids, doc, _ in _chunks(batches, chunk, known, known.end, np.int64):
                 begin = np.concatenate(([True], doc[1:] != doc[:-1]))
                 # each document begins with the start, as a history only
-                ids, begin = np.insert(ids, np.flatnonzero(begin), len(words)), np.insert(begin, np.flatnonzero(begin), True)
+                ids, begin = np.insert(ids, np.flatnonzero(begin), start), np.insert(begin, np.flatnonzero(begin), True)
                 first = np.flatnonzero(begin)[::2]
                 is_start = np.zeros(len(ids), bool)
                 is_start[first] = True
@@ -228,16 +242,18 @@ def score(docs: DataFrame, auto: Automaton, counts: DataFrame, text: str = "text
 
     @F.arrow_udf("n_tokens long, n_known long, base double, full double, rare array<long>")
     def traverse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        auto, hashes = shared.value, _Hashes()
+        auto = shared.value
+        known = _Ids(auto.words, np.arange(len(auto.words)))
         for batch in batches:
             rows = []
             for x in batch:
-                h = tokens(x.as_py(), hashes)
-                ids = auto.ids(h)
+                w = split(x.as_py())
+                ids = tokens(w, known, known.end, np.int64)
                 here = ids >= 0
+                rare = np.fromiter((xxhash.xxh64_intdigest(w[i]) if i < len(w) else int(END) for i in np.flatnonzero(~here).tolist()), np.uint64)
                 uni = np.zeros(len(ids))
                 uni[here] = auto.log_uni[ids[here]]
-                rows.append((len(ids), int(auto.known[ids[here]].sum()), float(uni.sum()), auto.score(ids.tolist(), uni.tolist()), h[~here].view(np.int64)))
+                rows.append((len(ids), int(auto.known[ids[here]].sum()), float(uni.sum()), auto.score(ids.tolist(), uni.tolist()), rare.view(np.int64)))
             columns = [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)] if rows else [pa.array([], kind) for _, kind in fields]
             yield pa.StructArray.from_arrays(columns, names=[name for name, _ in fields])
 
