@@ -61,7 +61,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", low=2.0, high=20.0),
     Rule("symbols", "n_symbols", "n_words", high=0.1),
     Rule("stop_words", "n_stop_words", "n_words", low=0.02),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", high=0.3),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", high=0.5),
     Rule("listed_lines", "n_bullet_lines", "n_lines", high=0.9),
     Rule("cut_lines", "n_ellipsis_lines", "n_lines", high=0.3),
 )

@@ -81,7 +81,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
          AND word_chars >= 2 * n_words AND word_chars <= 20 * n_words AND 10 * n_symbols <= n_words
-         AND 50 * n_stop >= n_words AND 10 * n_dup_lines <= 3 * n_lines
+         AND 50 * n_stop >= n_words AND 2 * n_dup_lines <= n_lines
          AND 10 * n_bullets <= 9 * n_lines AND 10 * n_cut <= 3 * n_lines AS kept
 FROM f
 """
