@@ -16,6 +16,9 @@ class Files(ABC):
     def names(self, path: str) -> list[str]:
         """What is in a folder; nothing, if it isn't there."""
 
+    @abstractmethod
+    def has(self, path: str) -> bool: ...
+
     @abstractmethod
     def publish(self, staged: str, target: str) -> bool:
         """Moves a folder that isn't empty to ``target``, if nothing is there."""
@@ -44,6 +47,9 @@ class LocalFiles(Files):
         except FileNotFoundError:
             return []
 
+    def has(self, path: str) -> bool:
+        return os.path.exists(path)
+
     def publish(self, staged: str, target: str) -> bool:
         os.makedirs(os.path.dirname(target), exist_ok=True)
         try:
@@ -95,6 +101,9 @@ class HadoopFiles(Files):
             return []
         return [s.getPath().getName() for s in self._fs.listStatus(self._path(path))]
 
+    def has(self, path: str) -> bool:
+        return bool(self._fs.exists(self._path(path)))
+
     def publish(self, staged: str, target: str) -> bool:
         self._fs.mkdirs(self._path(target).getParent())
         none = self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
