@@ -105,8 +105,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], length: int, seed_words: int, siz
             ties.append(t)
             n += len(w)
             if n >= size:
-                yield Chunk(words, hashes, length, seed_words), np.array(ids), np.array(ties)
-                words, ids, ties, n = [], [], [], 0
+                chunk, words = Chunk(words, hashes, length, seed_words), []  # the words themselves are free to go
+                yield chunk, np.array(ids), np.array(ties)
+                ids, ties, n = [], [], 0
     if words:
         yield Chunk(words, hashes, length, seed_words), np.array(ids), np.array(ties)
 
