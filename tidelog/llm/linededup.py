@@ -97,7 +97,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.select("_d", "_t", "line_no", F.xxhash64("norm").alias("lid"), "norm")
 
 
-def line_classes(docs: DataFrame, slim: DataFrame, shingle: int = 8, rows: int = 3, n_bands: int = 7, threshold: float = 0.8, least_alike: int = 11, small: int = 8, broadcast_rows: int = 2_000_000) -> DataFrame:
+def line_classes(docs: DataFrame, slim: DataFrame, shingle: int = 8, rows: int = 3, n_bands: int = 7, threshold: float = 0.8, least_alike: int = 11, small: int = 8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``(node, component)`` of the line hashes that have near-duplicates. ``slim``: the occurrences, without text."""
     sketch = settle(sketches(occurrences(docs).select("lid", "norm"), shingle, rows * n_bands))
     shared = settle(stars(bands(sketch, rows, n_bands), "band", "times"))
@@ -118,7 +118,7 @@ def line_classes(docs: DataFrame, slim: DataFrame, shingle: int = 8, rows: int =
     mixed = settle(named.groupBy("band").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.max("n").alias("_n")).where("_a <> _b AND _n > 2").select("band"))
     rest = settle(named.join(mixed, "band"))
     side = lambda x: rest.where(F.col("n") <= small).select("band", F.col("lid").alias(x), F.col("comp").alias(f"_{x}"), F.col("pivot").alias(f"_p{x}"))
-    within = side("a").join(side("b"), "band").where("a > b AND _a <> _b AND b <> _pb").select("a", "b")
+    within = side("a").join(side("b"), "band").where("a > b AND _a <> _b AND a <> _pa AND b <> _pb").select("a", "b")
     # lines of large bands: against the line with the most links, in the band and in each two and three in common
     degree = links.select(F.explode(F.array("a", "b")).alias("lid")).groupBy("lid").agg(F.count(F.lit(1)).alias("degree"))
     large = rest.where(F.col("n") > small).select("band", "lid", "times", "comp").join(degree, "lid", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
