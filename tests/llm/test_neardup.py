@@ -179,3 +179,16 @@ def test_lines_of_large_and_mixed_bands(spark):
     out = {r.doc_id: r.n_removed for r in linededup.digest(spark.createDataFrame(rows, SCHEMA)).collect()}
     occ, groups = line_groups(rows)
     assert sum(1 - v for v in out.values()) <= 1.05 * len(set(groups.values())) + 1
+
+
+def test_lines_of_templates_with_slots(spark):
+    """Large bands whose lines are mostly not like their hub: all pairs count, not those with hubs alone."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    fixed, slots = [word(30) for _ in range(5)], [[word(9) for _ in range(8)] for _ in range(3)]
+    lines = {" ".join(x for k in range(5) for x in (fixed[k], rng.choice(slots[k]) if k < 3 else "")) for _ in range(150)}
+    rows = [(k, x, None, None, None) for k, x in enumerate(sorted(lines, key=lambda _: rng.random()))]
+    out = {r.doc_id: r.n_removed for r in linededup.digest(spark.createDataFrame(rows, SCHEMA)).collect()}
+    _, groups = line_groups(rows)
+    assert len(set(groups.values())) < len(rows) / 2
+    assert sum(1 - v for v in out.values()) == len(set(groups.values()))

@@ -17,6 +17,14 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """``df``, settled, without the size estimates of its plan: a checkpoint keeps them, and as a join multiplies
+    them, their digits would double with each round, until the driver does nothing but multiply."""
+    spark, settled = df.sparkSession, settle(df)
+    rows = settled._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, settled._jdf.schema(), False), spark)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
     """``(node, component)`` for every node on an edge; ``component`` is the least node of its component.
 
@@ -25,7 +33,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
     """
     lo, hi = F.least(a, b), F.greatest(a, b)
     # u > v in every edge
-    edges = settle(edges.where(F.col(a) != F.col(b)).select(hi.alias("u"), lo.alias("v")).distinct())
+    edges = _fresh(edges.where(F.col(a) != F.col(b)).select(hi.alias("u"), lo.alias("v")).distinct())
     state = _state(edges)
     for _ in range(rounds):
         if not state[0]:
@@ -37,7 +45,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
         # small star: neighbours below a node, and it, go to the least of them
         least = settle(large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")))
         small = large.join(least, large["u"] == least["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = settle(small.unionAll(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct())
+        edges = _fresh(small.unionAll(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct())
         new = _state(edges)
         if new == state:
             break

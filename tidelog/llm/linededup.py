@@ -5,13 +5,13 @@ line's shingles are its runs of ``shingle`` characters (UTF-16 units; a shorter
 the least shingle hash in each of 21 orders, in seven bands of three: a pair at a similarity of 0.8 shares a band
 with a probability of 99.3 %, more similar ones more surely.
 
-Lines that share a band are verified by the Jaccard similarity of their shingles, against the line of
-the band that is there most often. In bands of up to eight lines, all pairs of lines in different components follow. Lines of larger bands, which
-may be any share of all lines, are split by every two and three such bands that they have in common, and verified
-against the line with the most links in each of these finer groups: so no group's work grows with its square. Pairs with fewer
+Lines that share a band are verified by the Jaccard similarity of their shingles: first against the line of the band
+that is there most often, then, in bands that still have lines of several components, all pairs of lines of different
+components, in blocks, so that no task gets a large band whole. Pairs with fewer
 than 11 equal values of 21 in their signatures aren't verified (at a similarity of 0.8 that is one in a thousand).
 Distributed union-find joins the verified pairs, and of each component the first line is kept (by doc_id, then line
-number). Links are thus found with a high probability, not with certainty; what is removed is always verified.
+number). Links are thus found with a high probability, that of the signatures whatever the size of a band, and not
+with certainty; what is removed is always verified.
 
 Defined results: null texts have one blank line; documents without a doc_id come last; rows equal in doc_id and
 text are one document; lines are told apart by a 64-bit hash; an empty table gives an empty result.
@@ -72,6 +72,30 @@ def stars(keyed: DataFrame, key: str, *weights: str) -> DataFrame:
     return out.where("_a <> _b").drop("_a", "_b")
 
 
+def crossing(rest: DataFrame, texts: DataFrame, least_alike: int, values: int, block: int = 1024) -> DataFrame:
+    """``(a, b)``: all pairs of ``rest (band, lid, pivot, comp)`` that share a band, are of different components and
+    have at least ``least_alike`` equal values of ``values`` in their sketches; not those with the band's pivot.
+
+    The lines outside the largest component of a band meet all its lines, in blocks of about ``block`` by ``block``.
+    """
+    sizes = rest.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.groupBy("band").agg(F.max(F.struct("_n", "comp")).alias("_k"), F.sum("_n").alias("_all"))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    sizes = sizes.select("band", F.col("_k.comp").alias("main"), blocks(F.col("_all") - F.col("_k._n")).alias("_rows"), blocks(F.col("_all")).alias("_cols"))
+    signs = texts.select("lid", *(F.get("sketch", F.lit(k)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias(f"_m{k}") for k in range(values)))
+    lines = settle(rest.where("lid <> pivot").select("band", "lid", "comp").join(sizes, "band").join(signs, "lid"))
+
+    def side(of: DataFrame, x: str, own: str, other: str) -> DataFrame:
+        place = F.pmod(F.xxhash64("lid"), F.col(own)).cast("int")
+        to = of.withColumns({own: place, other: F.explode(F.sequence(F.lit(0), F.col(other) - 1))})
+        return to.select("band", "_rows", "_cols", F.col("lid").alias(x), F.col("comp").alias(f"_{x}"), (F.col("comp") == F.col("main")).alias(f"_main_{x}"), *(F.col(f"_m{k}").alias(f"_{x}{k}") for k in range(values)))
+
+    both = side(lines.where("comp <> main"), "a", "_rows", "_cols").join(side(lines, "b", "_cols", "_rows"), ["band", "_rows", "_cols"])
+    alike = sum((F.col(f"_a{k}") == F.col(f"_b{k}")).cast("int") for k in range(values))
+    both = both.where("_a <> _b AND (_main_b OR a > b)").select("a", "b", _only(alike >= least_alike))
+    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float, least_alike: int) -> DataFrame:
     """The ``pairs (a, b)`` whose lines have at least ``threshold`` of their shingles in common. Pairs with fewer than
     ``least_alike`` equal values in their sketches aren't looked at."""
@@ -97,7 +121,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.select("_d", "_t", "line_no", F.xxhash64("norm").alias("lid"), "norm")
 
 
-def line_classes(docs: DataFrame, slim: DataFrame, shingle: int = 8, rows: int = 3, n_bands: int = 7, threshold: float = 0.8, least_alike: int = 11, small: int = 8, broadcast_rows: int = 1_000_000) -> DataFrame:
+def line_classes(docs: DataFrame, slim: DataFrame, shingle: int = 8, rows: int = 3, n_bands: int = 7, threshold: float = 0.8, least_alike: int = 11, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``(node, component)`` of the line hashes that have near-duplicates. ``slim``: the occurrences, without text."""
     sketch = settle(sketches(occurrences(docs).select("lid", "norm"), shingle, rows * n_bands))
     shared = settle(stars(bands(sketch, rows, n_bands), "band", "times"))
@@ -114,23 +138,12 @@ def line_classes(docs: DataFrame, slim: DataFrame, shingle: int = 8, rows: int =
     links = settle(check(pairs))
     of = components(links)
     # what is left: bands with lines of several components
-    named = settle(shared.join(of, shared["lid"] == of["node"], "left").select("band", "lid", "times", "pivot", "n", F.coalesce("component", "lid").alias("comp")))
+    named = settle(shared.join(of, shared["lid"] == of["node"], "left").select("band", "lid", "pivot", "n", F.coalesce("component", "lid").alias("comp")))
     mixed = settle(named.groupBy("band").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.max("n").alias("_n")).where("_a <> _b AND _n > 2").select("band"))
     rest = settle(named.join(mixed, "band"))
-    side = lambda x: rest.where(F.col("n") <= small).select("band", F.col("lid").alias(x), F.col("comp").alias(f"_{x}"), F.col("pivot").alias(f"_p{x}"))
-    within = side("a").join(side("b"), "band").where("a > b AND _a <> _b AND a <> _pa AND b <> _pb").select("a", "b")
-    # lines of large bands: against the line with the most links, in the band and in each two and three in common
-    degree = links.select(F.explode(F.array("a", "b")).alias("lid")).groupBy("lid").agg(F.count(F.lit(1)).alias("degree"))
-    large = rest.where(F.col("n") > small).select("band", "lid", "times", "comp").join(degree, "lid", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    large = settle(large)
-    own = large.groupBy("lid").agg(F.max("times").alias("times"), F.max("degree").alias("degree"), F.sort_array(F.collect_set("band")).alias("_bands"))
-    tail = lambda i: F.slice("_bands", i + 2, F.size("_bands"))
-    twos = F.flatten(F.transform("_bands", lambda x, i: F.transform(tail(i), lambda y: F.xxhash64(x, y))))
-    threes = F.flatten(F.transform("_bands", lambda x, i: F.flatten(F.transform(tail(i), lambda y, j: F.transform(F.slice("_bands", i + j + 3, F.size("_bands")), lambda z: F.xxhash64(x, y, z))))))
-    sets = own.select("lid", "times", "degree", F.explode(F.concat(twos, threes)).alias("band")).unionByName(large.select("lid", "times", "degree", "band"))
-    across = stars(sets, "band", "degree", "times").where("lid <> pivot").select(F.col("lid").alias("a"), F.col("pivot").alias("b")).distinct()
-    across = across.join(pairs, ["a", "b"], "left_anti")
-    more = settle(check(settle(within.unionByName(across).distinct())))
+    across = crossing(rest, texts, least_alike, rows * n_bands)
+    done = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = settle(check(settle(across.join(done, ["a", "b"], "left_anti"))))
     return of if more.isEmpty() else components(links.unionByName(more))
 
 
