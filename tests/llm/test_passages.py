@@ -93,16 +93,41 @@ def cut(rows, n=20):
     return out
 
 
-@pytest.mark.parametrize(("chunk_words", "bits"), [(1_000_000, 1 << 20), (300, 1 << 20), (50, 1 << 12)])
-def test_substrings(docs, rows, chunk_words, bits):
+@pytest.mark.parametrize("options", [{}, {"chunk_words": 300}, {"chunk_words": 50, "max_bits": 1}, {"chunk_words": 50, "group": 2}, {"chunk_words": 300, "least_hot": 0, "max_hot": 10**9}], ids=str)
+def test_substrings(docs, rows, options):
+    """Also with places joined instead of marked, with groups that are too large, and with every anchor a hot one."""
     some = [r for r in rows if r[0] is not None]
-    out = substring.cut_repeats(docs.where("doc_id IS NOT NULL").withColumn("kept", F.lit("old")), chunk_words=chunk_words, bits=bits).collect()
+    out = substring.cut_repeats(docs.where("doc_id IS NOT NULL").withColumn("kept", F.lit("old")), **options).collect()
     expected = cut(some)
     assert len(out) == len(some) and sum(x[1] for x in expected.values()) > 300
     for r in out:
         assert (r.n_words, r.n_removed, r.kept) == expected[r.doc_id]
 
 
+def test_matches_are_extended_both_ways():
+    """A seed in common is not enough, nor is one side: the words left and right of it are compared."""
+    w = [b"w%d" % k for k in range(32)]
+    place = lambda d, *changed: (d, 0, 100, [b"x%d" % d if k in changed else x for k, x in enumerate(w)])
+    runs, _ = substring.extend([place(1), place(2), place(3, 11), place(4, 20), place(5, 11, 20), place(6, 5, 26), place(7, 6, 25)], 20)
+    # seed at 12 to 19; what is equal to an earlier place and at least 20 words long
+    assert runs == [(2, 0, 100, 132), (3, 0, 112, 132), (4, 0, 100, 120), (6, 0, 106, 126)]
+    periodic = [b"a", b"b"] * 16
+    runs, first = substring.extend([(1, 0, 0, periodic)], 20)
+    assert runs == [(1, 0, 2, 32)] and len(first) == 2
+
+
+def test_substrings_in_one_hot_passage(spark):
+    """Many documents around one passage, in small chunks: edges of the passage have a context of their own each."""
+    rng = random.Random(6)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    rows = [(k, " ".join([word() for _ in range(rng.randint(0, 15))] + passage[rng.randint(0, 3) :] + [word() for _ in range(rng.randint(0, 15))])) for k in range(200)]
+    expected = cut(rows)
+    for options in ({}, {"chunk_words": 500, "group": 7}, {"chunk_words": 500, "least_hot": 50, "max_hot": 10**9}):
+        out = substring.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), **options).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in out} == expected
+
+
 def test_substrings_without_ids_and_with_shared_ids(docs, rows):
     out = substring.cut_repeats(docs).collect()
     assert len(out) == len(rows)

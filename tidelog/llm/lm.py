@@ -32,13 +32,23 @@ from pyspark.sql import functions as F
 
 from .common import settle
 from .langid import fold
-from .substring import _Hashes
 
 ADD, DISCOUNT = 0.1, 0.5
 #: Words hold no space, so this is the hash of no word.
 END = np.uint64(xxhash.xxh64_intdigest(b" "))
 
 
+class _Hashes(dict):
+    """The 64-bit hash of each word; the cache is emptied when it has grown large."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(self) >= 400_000:
+            self.clear()
+        self[word] = h
+        return h
+
+
 class _Ids(dict):
     """The number of each word, by its hash in ``known``; -1 for others. The cache is emptied when it has grown
     large."""
