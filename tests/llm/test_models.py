@@ -7,6 +7,8 @@ from functools import cache
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -67,64 +69,69 @@ def test_ngram_counts_in_pieces(monkeypatch):
     assert whole.sum() == n + (n - 1) + (n - 2) and langid.counts("1 2") is None
 
 
-def brute_lm(rows, order=3, rate=1e-5):
-    tok = [words(lower(t or "")) + [None] for _, t, *_ in rows]
+def brute_lm(rows, priors):
+    """The whole model, with every n-gram that training has, and each text's score by recursion."""
+    tok = [["<s>", *words(lower(t or "")), None] for _, t, *_ in rows]
     train = [k for k, r in enumerate(rows) if fold(r[0], 10) != 0]
-    c = collections.Counter(w for k in train for w in tok[k])
-    n = sum(c.values())
-    z, least = n + 0.1 * (len(c) + 1), max(2, math.ceil(rate * n))
-    kept = {1: {}}
-    for size in range(2, order + 1):
-        all_ = collections.Counter(tuple((["<s>"] + tok[k])[i : i + size]) for k in train for i in range(len(tok[k]) + 2 - size))
-        kept[size] = {g: x for g, x in all_.items() if x >= least}
-    after = collections.defaultdict(dict)
-    for g, x in ((g, x) for k in kept for g, x in kept[k].items()):
-        after[g[:-1]][g[-1]] = x
-    seen = lambda h: len(train) if h == ("<s>",) else c[h[0]] if len(h) == 1 else kept[len(h)][h]
+    c = collections.Counter()
+    for k in train:
+        for size in (1, 2, 3):
+            c.update(tuple(tok[k][i : i + size]) for i in range(len(tok[k]) + 1 - size))
+    n = sum(len(tok[k]) - 1 for k in train)
+    vocabulary = {g[0] for g in c if len(g) == 1 and g != ("<s>",)}
+    z = n + 0.1 * (len(vocabulary) + 1)
 
     @cache
-    def back(h):
-        return (1 - sum(x - 0.5 for x in after[h].values()) / seen(h)) / (1 - sum(p(w, h[1:]) for w in after[h]))
-
     def p(w, h):
         if not h:
-            return (c[w] + 0.1) / z
-        if h not in after:
-            return p(w, h[1:])
-        return (after[h][w] - 0.5) / seen(h) if w in after[h] else back(h) * p(w, h[1:])
+            return ((c[w,] if w != "<s>" else 0) + 0.1) / z
+        k = priors[len(h) - 1]
+        return (c[*h, w] + k * p(w, h[1:])) / (c[h] + k)
 
-    score = [sum(math.log10(p(t[i], tuple((["<s>"] + t)[max(0, i + 2 - order) : i + 1]))) for i in range(len(t))) for t in tok]
-    base = [sum(math.log10((c[w] + 0.1) / z) for w in t) for t in tok]
-    return tok, c, n, base, score
+    score = [sum(math.log10(p(t[i], tuple(t[max(0, i - 2) : i]))) for i in range(1, len(t))) for t in tok]
+    base = [sum(math.log10((c[w,] + 0.1) / z) for w in t[1:]) for t in tok]
+    return [t[1:] for t in tok], c, n, base, score, p, vocabulary
 
 
-@pytest.mark.parametrize(("order", "rate", "word_rate"), [(3, 1e-5, 1e-6), (2, 1e-5, 1e-6), (3, 2e-3, 2e-3), (1, 1e-5, 1e-6)])
-def test_scores(docs, rows, order, rate, word_rate):
-    """Also where most words are not in the broadcast part of the model."""
+@pytest.mark.parametrize("options", [{}, {"chunk_tokens": 300, "part_tokens": 700}, {"chunk_tokens": 40, "part_tokens": 100, "priors": (3.0, 0.5)}], ids=str)
+def test_scores(docs, rows, options):
+    """Also in small chunks and many parts."""
     got: dict = {}
-    for r in lm.digest(docs.withColumn("score", F.lit("old")), order=order, rate=rate, word_rate=word_rate).collect():
+    for r in lm.digest(docs.withColumns({"score": F.lit("old"), "rest": F.lit(1)}), **options).collect():
         got.setdefault((r.doc_id, r.n_tokens), []).append(r)
-    tok, c, n, base, score = brute_lm(rows, order, rate)
+    tok, c, n, base, score, *_ = brute_lm(rows, options.get("priors", lm.PRIORS))
     for k, r in enumerate(rows):
         same = got[r[0], len(tok[k])]
         for x in same:
-            assert x.train_tokens == n and x.held_out == (fold(r[0], 10) == 0) and x.n_known == sum(c[w] > 0 for w in tok[k])
+            assert x.train_tokens == n and x.held_out == (fold(r[0], 10) == 0) and x.n_known == sum(c[w,] > 0 for w in tok[k])
             assert x.base_score == pytest.approx(base[k], abs=1e-6) and x.score == pytest.approx(score[k], abs=1e-6)
     assert sum(map(len, got.values())) == len(rows)
 
 
-def test_small_chunks_count_the_same(docs):
-    read = docs.select("text", F.lit(True).alias("train"))
-    a, b = ({tuple(r) for r in lm.word_counts(read, n).collect()} for n in (10**6, 50))
-    assert a == b
+def test_the_model_is_a_distribution(rows):
+    """After any history, known or not, the probabilities of the words, the end and one unseen sum to one."""
+    *_, p, vocabulary = brute_lm(rows, lm.PRIORS)
+    for h in ((), ("<s>",), ("the",), ("of", "the"), ("never", "seen"), ("never", "the")):
+        assert sum(p(w, h) for w in [*vocabulary, "unseen word"]) == pytest.approx(1)
+
+
+def test_scores_keep_further_columns(docs, rows):
+    out = lm.score(docs.withColumns({"n_known": F.lit("old"), "train": F.lit("x"), "chunk": F.array(F.lit(1))}), F.col("lang").isNull()).collect()
+    assert sorted((str(r.doc_id), str(r.lang), str(r.source), r.n_chars or 0) for r in out) == sorted((str(r[0]), str(r[2]), str(r[3]), r[4] or 0) for r in rows)
+    assert all(r.train == "x" and r.chunk == [1] and r.score < 0 for r in out)
+    nothing = lm.score(docs, F.lit(False)).collect()
+    assert len(nothing) == len(rows) and all(r.score == r.base_score == 0 and r.train_tokens == r.n_known == 0 for r in nothing)
+
+
+@given(st.lists(st.integers(0, (1 << 64) - 1)))
+def test_packed_numbers(x):
+    assert lm._unpack(lm._pack(np.array(x, np.uint64))).tolist() == x
 
 
 def test_lm_of_nothing(empty, docs):
     assert lm.digest(empty).count() == 0
     only = docs.where("doc_id = 103")
     assert lm.digest(only).first().n_tokens == 1
-    with pytest.raises(ValueError, match="word_rate"):
-        lm.digest(docs, rate=1e-6, word_rate=1e-3)
 
 
 def test_pipeline(spark, docs, tmp_path):

@@ -1,23 +1,25 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is an interpolation-free backoff model with absolute discounts. Its lowest level is the smoothed
-unigram distribution over all training tokens, exact for every word. The higher levels hold each n-gram whose
-count in the training tokens is at least ``max(2, rate * N)``, so there are at most 1 / rate of an order, whatever
-the size of the corpus; an n-gram can only reach that count if its parts do, so the parts found before leave out
-nearly all candidates before they are counted.
-
-States are histories with kept continuations. A state has arcs for these, with their log-probabilities, and a
-failure arc to the state of the longest shorter history, with its backoff weight. A text is scored in one
-traversal from left to right: it follows failure arcs, adding their weights, until an arc fits or the root is
-reached, where the unigram level scores the token.
-
-Counts of words that make ``word_rate`` of all tokens or more (at most 1 / word_rate words) are broadcast; the
-counts of the other words are joined to the texts that use them. All counts are over all training documents, and
-are summed in chunks before they are shuffled.
+The model is a backoff model of n-grams up to three words, with all that training has: nothing is cut off. It is
+smoothed by Dirichlet priors: after a history ``h`` that training has ``c(h)`` times, a word has
+``(c(h w) + k * p(w | h')) / (c(h) + k)``, where ``h'`` is ``h`` without its first word; the lowest level is the smoothed
+unigram distribution over all training tokens. As an automaton: the states are the seen histories; a seen
+continuation is an arc with that probability; whatever else takes the failure arc, of weight ``k / (c(h) + k)``, to the
+state of ``h'``, and so on down to the root, which has an arc for every word. Probabilities after any history
+sum to one over the V seen words and one unseen. A text is scored in one traversal from left to right, which
+carries the state and sums the logarithms of what it passes.
+
+The automaton is never in one place. Texts are numbered once into chunks of about ``chunk_tokens`` tokens (documents stay
+whole), kept in the checkpoint folder. A chunk sends its distinct n-grams, with their training counts, to parts of
+the range of their hashes; a part adds up what all chunks say, about ``part_tokens`` tokens' worth of it at once, and
+returns to each chunk the totals of just its n-grams: the arcs and states its texts can touch. So the model grows with
+the corpus, memory doesn't, and an n-gram that a third of all texts have is one entry for each chunk. What is sent is
+sorted and packed, some five bytes for an n-gram.
 
 Defined results: a null or blank text is the end token alone; unseen words are scored by the smoothing; a null
 doc_id counts as an empty one (and is in training); repeated rows count as often as they are there and get equal
-scores; with no training tokens every text gets the uniform smoothing of the unseen; no rows give no rows.
+scores; with no training tokens every text gets the uniform smoothing of the unseen; no rows give no rows. Words and
+n-grams are told apart by 62 bits of hash. Further columns stay; those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -27,15 +29,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import settle
 from .langid import fold
 
-ADD, DISCOUNT = 0.1, 0.5
-#: Words hold no space, so this is the hash of no word.
-END = np.uint64(xxhash.xxh64_intdigest(b" "))
+ADD = 0.1
+#: The weight of the shorter history, in occurrences, after one word and after two; chosen on the held-out fold.
+PRIORS = (40.0, 8.0)
+#: Words hold no space, so these are the hashes of no word.
+END, START = np.uint64(xxhash.xxh64_intdigest(b" ")), np.uint64(xxhash.xxh64_intdigest(b"  "))
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _Hashes(dict):
@@ -43,245 +49,229 @@ class _Hashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h
         return h
 
 
-class _Ids(dict):
-    """The number of each word, by its hash in ``known``; -1 for others. The cache is emptied when it has grown
-    large."""
-
-    def __init__(self, words: np.ndarray, ids: np.ndarray) -> None:
-        super().__init__()
-        self.known = dict(zip(words.tolist(), ids.tolist(), strict=True))
-        self.end = self.known.get(int(END), -1)
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        i = self[word] = self.known.get(xxhash.xxh64_intdigest(word), -1)
-        return i
-
-
 def split(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def tokens(w: list[bytes], values: dict, end: int, kind: type) -> np.ndarray:
-    """The value of each word, and of the end after them."""
-    out = np.empty(len(w) + 1, kind)
-    out[:-1] = np.fromiter(map(values.__getitem__, w), kind, len(w))
-    out[-1] = end
-    return out
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers from 0, byte by byte of all, compressed; small ones take little."""
+    x = np.ascontiguousarray(x, np.uint64)
+    used = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T[:used])
+    return len(x).to_bytes(8, "little") + bytes([used]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int, values: dict, end: int, kind: type) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Values of the tokens, document numbers in the chunk, and whether each token is for training."""
-    held, train, n = [], [], 0
+def _unpack(data: bytes) -> np.ndarray:
+    n, used = int.from_bytes(data[:8], "little"), data[8]
+    out = np.zeros((8, n), np.uint8)
+    if n and used:
+        out[:used] = np.frombuffer(pa.decompress(data[9:], n * used, codec="zstd", asbytes=True), np.uint8).reshape(used, n)
+    return np.ascontiguousarray(out.T).view(np.uint64).reshape(-1)
 
-    def out() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.fromiter(map(len, held), np.int64, len(held))
-        return np.concatenate(held), np.repeat(np.arange(len(held)), sizes), np.repeat(np.array(train, bool), sizes)
 
-    for batch in batches:
-        for text, t in zip(batch.column("text"), batch.column("train").to_pylist(), strict=True):
-            held.append(tokens(split(text.as_py()), values, end, kind))
-            train.append(t)
-            n += len(held[-1])
-            if n >= size:
-                yield out()
-                held, train, n = [], [], 0
-    if held:
-        yield out()
+def _mixed(x: np.ndarray, order: int) -> np.ndarray:
+    """Well spread keys, with the order in the last two bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) & ~np.uint64(3) | np.uint64(order)
 
 
-def _pieces(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(columns[0]), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=names)
+def ngrams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of the n-grams that end at each token, of 1, 2 and 3 words. ``first``: whether it begins a document,
+    before which is the start; such a token ends no n-gram of 3."""
+    before = np.concatenate((h[:1], h[:-1]))
+    before[first] = START
+    pair = before * _A + h
+    last = np.concatenate((pair[:1], pair[:-1]))
+    return _mixed(h, 1), _mixed(pair, 2), _mixed(last * _B + h, 3)
 
 
-def word_counts(docs: DataFrame, chunk: int = 1_000_000) -> DataFrame:
-    """``(h, c, seen)``: occurrences of each word hash in training documents and in all, ends included."""
+class Chunk:
+    """Some documents as hashes of words: their distinct n-grams ``keys``, and where each token's are among them."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, _, train in _chunks(batches, chunk, _Hashes(), END, np.uint64):
-            words, seen = np.unique(h, return_counts=True)
-            c = seen.copy()
-            held, n = np.unique(h[~train], return_counts=True)
-            c[np.searchsorted(words, held)] -= n
-            yield from _pieces([words.view(np.int64), c.astype(np.int64), seen.astype(np.int64)], ["h", "c", "seen"])
+    def __init__(self, vocabulary: bytes, tokens: bytes, sizes: bytes, train: bytes) -> None:
+        h = np.frombuffer(vocabulary, np.uint64)[_unpack(tokens)]
+        self.sizes, self.train = _unpack(sizes).astype(np.int64), np.frombuffer(train, bool)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        first = np.zeros(len(h), bool)
+        first[self.begin] = True
+        uni, pair, triple = ngrams(h, first)
+        self.n, self.third = len(h), np.flatnonzero(~first)
+        self.keys, self.at = np.unique(np.concatenate((uni, pair, triple[self.third])), return_inverse=True)
 
-    return docs.mapInArrow(count, "h long, c long, seen long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
+    def counts(self) -> np.ndarray:
+        """Occurrences of each key in training."""
+        train = np.repeat(self.train, self.sizes)
+        return np.bincount(self.at[np.concatenate((train, train, train[self.third]))], minlength=len(self.keys))
+
+    def automaton(self, totals: np.ndarray, n: int, v: int, starts: int, priors: tuple[float, float]) -> Automaton:
+        return Automaton(self, totals.astype(np.float64)[self.at], n, v, starts, priors)
 
 
 class Automaton:
-    """States 1.. are histories (state 0 is the root); words are numbered by their place in ``words``."""
-
-    def __init__(self, words: np.ndarray, c: np.ndarray, n: int, v: int) -> None:
-        order = np.argsort(words)
-        self.words, self.c = words[order], c[order]  # the broadcast part of the unigram level
-        self.norm = n + ADD * (v + 1)
-        self.log_uni = np.log10((self.c + ADD) / self.norm)
-        self.known = self.c > 0
-        self.arcs: dict[int, int] = {}
-        self.log_p: list[float] = []
-        self.to: list[int] = []
-        self.fail, self.log_back, self.state_of = [0], [0.0], {}
-        self.first: dict[int, int] = {}
-
-    @property
-    def start(self) -> int:
-        return len(self.words)
-
-    def build(self, grams: dict[int, dict[tuple[int, ...], int]], starts: int) -> None:
-        """``grams``: by order, the kept n-grams (of word numbers, or the start) and their counts."""
-        wide = len(self.words) + 1
-        p: dict[tuple[int, ...], float] = {}
-        history: dict[tuple[int, ...], dict[int, int]] = {}
-        for kept in grams.values():
-            for g, n in kept.items():
-                history.setdefault(g[:-1], {})[g[-1]] = n
-        ordered = sorted(history, key=lambda h: (len(h), h))
-        self.state_of = {h: k + 1 for k, h in enumerate(ordered)}
-        longest = lambda h: next((self.state_of[h[i:]] for i in range(len(h)) if h[i:] in self.state_of), 0)
-        full = lambda w, h: p[h + (w,)] if h + (w,) in p else (10 ** self.log_uni[w] if not h else self._lower(w, h, p))
-        for h in ordered:
-            seen = starts if h == (self.start,) else int(self.c[h[0]]) if len(h) == 1 else grams[len(h)][h]
-            kept_p = kept_low = 0.0
-            for w, n in sorted(history[h].items()):
-                x = (n - DISCOUNT) / seen
-                low = full(w, h[1:])
-                p[h + (w,)] = x
-                kept_p += x
-                kept_low += low
-                self.arcs[self.state_of[h] * wide + w] = len(self.log_p)
-                self.log_p.append(float(np.log10(x)))
-                self.to.append(longest(h[1:] + (w,) if h + (w,) not in self.state_of else h + (w,)))
-            self.fail.append(longest(h[1:]))
-            self.log_back.append(float(np.log10(max(1 - kept_p, 1e-9) / max(1 - kept_low, 1e-9))))
-        self.first = {h[0]: s for h, s in self.state_of.items() if len(h) == 1}
-
-    def _lower(self, w: int, h: tuple[int, ...], p: dict[tuple[int, ...], float]) -> float:
-        """The model's probability of ``w`` after ``h``, for a history whose continuations are done."""
-        weight = 1.0
-        while h:
-            if h + (w,) in p:
-                return weight * p[h + (w,)]
-            if h in self.state_of:
-                weight *= 10 ** self.log_back[self.state_of[h]]
-            h = h[1:]
-        return weight * 10 ** self.log_uni[w]
-
-    def score(self, ids: list[int], uni: list[float]) -> float:
-        """The traversal; ``uni`` has what the root gives each token."""
-        arcs, log_p, to, fail, back, first = self.arcs, self.log_p, self.to, self.fail, self.log_back, self.first
-        wide, total, state = len(self.words) + 1, 0.0, first.get(self.start, 0)
-        for w, u in zip(ids, uni, strict=True):
-            while state:
-                arc = arcs.get(state * wide + w) if w >= 0 else None
-                if arc is not None:
-                    total += log_p[arc]
-                    state = to[arc]
-                    break
-                total += back[state]
-                state = fail[state]
+    """The states and arcs that the texts of a chunk touch, in the order in which they do: for each token, the arcs
+    from the states of two words, one word and none before it (1 where there is no arc), the failure arcs of the
+    first two, and ``state``: how many words its longest seen history has, once it is read."""
+
+    def __init__(self, chunk: Chunk, c: np.ndarray, n: int, v: int, starts: int, priors: tuple[float, float]) -> None:
+        size = chunk.n
+        one, two, three = c[:size], c[size : 2 * size], np.zeros(size)
+        three[chunk.third] = c[2 * size :]
+        seen_one = np.concatenate((one[:1], one[:-1]))
+        seen_one[chunk.begin] = starts
+        seen_two = np.concatenate((two[:1], two[:-1]))
+        seen_two[chunk.begin] = 0
+        root = (one + ADD) / (n + ADD * (v + 1))
+        p_two = (two + priors[0] * root) / (seen_one + priors[0])
+        p_three = (three + priors[1] * p_two) / (seen_two + priors[1])
+        log = lambda p, has: np.where(has, np.log10(p), 1.0)
+        self.known, self.root = one > 0, np.log10(root)
+        self.two, self.fail_two = log(p_two, two > 0), np.log10(priors[0] / (seen_one + priors[0]))
+        self.three, self.fail_three = log(p_three, three > 0), np.log10(priors[1] / (seen_two + priors[1]))
+        self.state = np.where(two > 0, 2, np.where(one > 0, 1, 0))
+        self.start = 1 if starts else 0
+
+    def score(self, begin: int, end: int) -> float:
+        """The traversal of one document."""
+        total, state = 0.0, self.start
+        columns = (self.three, self.fail_three, self.two, self.fail_two, self.root, self.state)
+        for three, fail_three, two, fail_two, root, after in zip(*(x[begin:end].tolist() for x in columns), strict=True):
+            if state == 2:
+                if three <= 0:
+                    total += three
+                    state = after
+                    continue
+                total += fail_three
+            if state:
+                total += two if two <= 0 else fail_two + root
             else:
-                total += u
-                state = first.get(w, 0)
+                total += root
+            state = after
         return total
 
 
-def fit(docs: DataFrame, counts: DataFrame, order: int = 3, rate: float = 1e-5, word_rate: float = 1e-6, chunk: int = 1_000_000) -> tuple[Automaton, int, int]:
-    """The automaton of ``docs (text, train)``, N and V."""
-    n, v, seen = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("seen"), F.lit(0))).first()
-    frequent = counts.where(F.col("seen") >= word_rate * seen).select("h", "c").toArrow()
-    auto = Automaton(frequent["h"].to_numpy().view(np.uint64), frequent["c"].to_numpy(), n, v)
-    least = max(2, int(np.ceil(rate * n)))
-    sc = docs.sparkSession.sparkContext
-    training = docs.where("train")
-    grams: dict[int, dict[tuple[int, ...], int]] = {}
-    enough = np.flatnonzero(auto.c >= least)
-    part_words = sc.broadcast((auto.words[enough], enough, len(auto.words)))
-    wide = len(auto.words) + 1
-    if order not in (1, 2, 3) or word_rate > rate:
-        raise ValueError("order is 1, 2 or 3, and word_rate at most rate")
-    for size in range(2, order + 1):
-        # a trigram is the number of its first two words, among the kept pairs, and its last
-        kept = sorted(grams.get(size - 1, {}))
-        numbers = sc.broadcast(np.array([a * wide + b for a, b in kept], np.int64) if size == 3 else None)
-
-        def count(batches: Iterator[pa.RecordBatch], size: int = size, numbers=numbers) -> Iterator[pa.RecordBatch]:
-            words, numbered, start = part_words.value
-            wide, known = start + 1, _Ids(words, numbered)
-            for ids, doc, _ in _chunks(batches, chunk, known, known.end, np.int64):
-                begin = np.concatenate(([True], doc[1:] != doc[:-1]))
-                # each document begins with the start, as a history only
-                ids, begin = np.insert(ids, np.flatnonzero(begin), start), np.insert(begin, np.flatnonzero(begin), True)
-                first = np.flatnonzero(begin)[::2]
-                is_start = np.zeros(len(ids), bool)
-                is_start[first] = True
-                ok = (ids[:-1] >= 0) & (ids[1:] >= 0) & ~is_start[1:]
-                pair = np.where(ok, ids[:-1] * wide + ids[1:], -1)
-                if size == 2:
-                    key = pair[ok]
-                else:
-                    table = numbers.value
-                    if not len(table):
-                        continue
-                    at = np.minimum(np.searchsorted(table, pair), len(table) - 1)
-                    number = np.where(table[at] == pair, at, -1)
-                    both = (number[:-1] >= 0) & (number[1:] >= 0)
-                    key = number[:-1][both] * wide + ids[2:][both]
-                x, c = np.unique(key, return_counts=True)
-                yield from _pieces([x, c.astype(np.int64)], ["g", "n"])
-
-        found = training.select("text", "train").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-        pairs = zip(found["g"].to_pylist(), found["n"].to_pylist(), strict=True)
-        grams[size] = {((g // wide, g % wide) if size == 2 else (*kept[g // wide], g % wide)): c for g, c in pairs}
-    starts = training.count()
-    auto.build(grams, starts)
-    return auto, n, v
-
-
-def score(docs: DataFrame, auto: Automaton, counts: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``n_tokens``, ``n_known``, ``base_score`` and ``score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(auto)
-    fields = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("full", pa.float64()), ("rare", pa.list_(pa.int64()))]
-
-    @F.arrow_udf("n_tokens long, n_known long, base double, full double, rare array<long>")
-    def traverse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        auto = shared.value
-        known = _Ids(auto.words, np.arange(len(auto.words)))
+def _numbered(docs: DataFrame, size: int) -> DataFrame:
+    """Chunks ``(chunk, rest, sizes, train, vocabulary, tokens, n, n_train, starts)`` of ``docs (_rest, text, train)``, settled."""
+    rest_type = docs.schema["_rest"].dataType
+    schema = T.StructType([T.StructField("rest", T.ArrayType(rest_type)), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "train", "vocabulary", "tokens")), *(T.StructField(c, T.LongType()) for c in ("n", "n_train", "starts"))])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        held, train, rest, n = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            sizes, learn = np.fromiter(map(len, held), np.int64, len(held)), np.array(train, bool)
+            words, at = np.unique(np.concatenate(held), return_inverse=True)
+            its = pa.concat_arrays(rest)
+            columns = [pa.ListArray.from_arrays(pa.array([0, len(its)], pa.int32()), its), _pack(sizes), learn.tobytes(), words.tobytes(), _pack(at), int(sizes.sum()), int(sizes[learn].sum()), int(learn.sum())]
+            kinds = [None, *[pa.binary()] * 4, *[pa.int64()] * 3]
+            return pa.RecordBatch.from_arrays([c if k is None else pa.array([c], k) for c, k in zip(columns, kinds, strict=True)], names=schema.names)
+
+        for batch in batches:
+            begin = 0
+            for i, (text, t) in enumerate(zip(batch.column("text"), batch.column("train").to_pylist(), strict=True)):
+                w = split(text.as_py())
+                h = np.empty(len(w) + 1, np.uint64)
+                h[:-1] = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
+                h[-1] = END
+                held.append(h)
+                train.append(bool(t))
+                n += len(h)
+                if n >= size:
+                    rest.append(batch.column("_rest").slice(begin, i + 1 - begin))
+                    yield out()
+                    held, train, rest, n, begin = [], [], [], 0, i + 1
+            if begin < len(batch):
+                rest.append(batch.column("_rest").slice(begin))
+        if held:
+            yield out()
+
+    return settle(docs.mapInArrow(number, schema).withColumn("chunk", F.monotonically_increasing_id()))
+
+
+def _totals(chunks: DataFrame, bits: int) -> DataFrame:
+    """``(chunk, part, totals, v)``: the training counts of a chunk's n-grams in a part, over all chunks, in the order of
+    their keys; ``v`` adds up to the number of seen words. There are 2 ** ``bits`` parts."""
+    parts = 1 << bits
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, *data in zip(*(batch.column(c) for c in ("chunk", "vocabulary", "tokens", "sizes", "train")), strict=True):
+                chunk = Chunk(*(x.as_py() for x in data))
+                keys, c = chunk.keys, chunk.counts()
+                to = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+                cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(keys)]
+                rows = [(int(to[a]), _pack(np.diff(keys[a:b], prepend=np.uint64(0))), _pack(c[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                p, k, n = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(p)), pa.array(p, pa.int64()), pa.array(k, pa.binary()), pa.array(n, pa.binary())], names=["chunk", "part", "keys", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            each = [np.cumsum(_unpack(k)) for _, _, k, _ in held]
+            ends = np.cumsum([len(k) for k in each])
+            keys, at = np.unique(np.concatenate(each), return_inverse=True)
+            total = np.bincount(at, np.concatenate([_unpack(c) for *_, c in held]).astype(np.float64)).astype(np.uint64)
+            v = int(np.count_nonzero(total[keys & np.uint64(3) == 1]))
+            replies = [_pack(total[at[a:b]]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([c for c, *_ in held]), pa.array([p for _, p, *_ in held]), pa.array(replies, pa.binary()), pa.array([v] + [0] * (len(held) - 1))], names=["chunk", "part", "totals", "v"])
+
+        for batch in batches:
+            for row in zip(batch.column("chunk").to_pylist(), batch.column("part").to_pylist(), batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if held and held[0][1] != row[1]:
+                    yield out()
+                    held = []
+                held.append(row)
+        if held:
+            yield out()
+
+    sent = chunks.select("chunk", "vocabulary", "tokens", "sizes", "train").mapInArrow(send, "chunk long, part long, keys binary, counts binary")
+    sent = sent.repartition("part") if parts > 1 else sent.coalesce(1)
+    return settle(sent.sortWithinPartitions("part").mapInArrow(add, "chunk long, part long, totals binary, v long"))
+
+
+def score(docs: DataFrame, train: Column, text: str = "text", priors: tuple[float, float] = PRIORS, chunk_tokens: int = 500_000, part_tokens: int = 1_500_000) -> DataFrame:
+    """``docs`` without its text, with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``, by the model of
+    the rows for which ``train`` is true."""
+    results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    rest = [c for c in docs.columns if c not in (text, *results)]
+    packed = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("_rest"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    chunks = _numbered(packed, chunk_tokens)
+    tokens, n, starts = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_train", "starts"))).first()
+    totals = _totals(chunks, max(0, -(-tokens // part_tokens) - 1).bit_length())
+    v = totals.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
+    rest_type = chunks.schema["rest"].dataType
+    figures = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
+    schema = T.StructType([T.StructField("rest", rest_type), *(T.StructField(c, T.ArrayType(k)) for c, k in figures)])
+
+    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for x in batch:
-                w = split(x.as_py())
-                ids = tokens(w, known, known.end, np.int64)
-                here = ids >= 0
-                rare = np.fromiter((xxhash.xxh64_intdigest(w[i]) if i < len(w) else int(END) for i in np.flatnonzero(~here).tolist()), np.uint64)
-                uni = np.zeros(len(ids))
-                uni[here] = auto.log_uni[ids[here]]
-                rows.append((len(ids), int(auto.known[ids[here]].sum()), float(uni.sum()), auto.score(ids.tolist(), uni.tolist()), rare.view(np.int64)))
-            columns = [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)] if rows else [pa.array([], kind) for _, kind in fields]
-            yield pa.StructArray.from_arrays(columns, names=[name for name, _ in fields])
-
-    rest = [c for c in docs.columns if c not in (text, "n_tokens", "n_known", "base_score", "score")]
-    part = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_rest"), traverse(F.col(f"`{text}`")).alias("_x"))
-    part = settle(part.select("_rest", "_x.*", F.monotonically_increasing_id().alias("_id")))
-    rare = part.select("_id", F.explode("rare").alias("h")).join(counts.select("h", "c"), "h", "left")
-    c = F.coalesce("c", F.lit(0))
-    more = rare.groupBy("_id").agg(F.sum(F.log10(c + ADD) - float(np.log10(auto.norm))).alias("_more"), F.count_if(c > 0).alias("_known"))
-    out = part.drop("rare").join(more, "_id", "left")
-    more = F.coalesce("_more", F.lit(0.0))
-    return out.select(*(F.col("_rest")[c].alias(c) for c in rest), "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), (F.col("base") + more).alias("base_score"), (F.col("full") + more).alias("score"))
+            for i in range(len(batch)):
+                of = lambda c, i=i, batch=batch: batch.column(c)[i].as_py()
+                chunk = Chunk(*map(of, ("vocabulary", "tokens", "sizes", "train")))
+                replies = sorted((r["part"], r["totals"]) for r in of("replies"))
+                auto = chunk.automaton(np.concatenate([_unpack(x) for _, x in replies]), n, v, starts, priors)
+                ends = (chunk.begin + chunk.sizes).tolist()
+                full = [auto.score(a, b) for a, b in zip(chunk.begin.tolist(), ends, strict=True)]
+                columns = [chunk.sizes, np.add.reduceat(auto.known, chunk.begin, dtype=np.int64), np.add.reduceat(auto.root, chunk.begin), np.array(full)]
+                bounds = pa.array([0, len(full)], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("rest").slice(i, 1), *(pa.ListArray.from_arrays(bounds, pa.array(c)) for c in columns)], names=schema.names)
+
+    replies = totals.groupBy("chunk").agg(F.collect_list(F.struct("part", "totals")).alias("replies"))
+    out = chunks.join(replies, "chunk").mapInArrow(traverse, schema)
+    out = out.select(F.explode(F.arrays_zip("rest", *(c for c, _ in figures))).alias("x"))
+    return out.select(*(F.col("x.rest")[c].alias(c) for c in rest), "x.n_tokens", "x.n_known", F.lit(n).cast("long").alias("train_tokens"), "x.base_score", "x.score")
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
     """Learns from the documents outside fold 0 of 10 and scores all."""
-    read = docs.select("text", (fold(folds=10) != 0).alias("train"))
-    counts = settle(word_counts(read))
-    auto, n, _ = fit(read, counts, **options)
-    out = score(docs.select("doc_id", "text"), auto, counts)
-    return out.select("doc_id", (fold(folds=10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    read = docs.select("doc_id", (fold(folds=10) == 0).alias("held_out"), "text")
+    out = score(read, ~F.col("held_out"), **options)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
