@@ -8,9 +8,13 @@ depends on its size: with n distinct shingles, of which ceil(threshold * n) must
 n - ceil(threshold * n) may be missing, so one more than that can't all be missing from a contaminated document:
 the search loses nothing. A size partition (a power of two of shingles) shares the sketch length its largest
 member needs and the least document size its smallest member allows. Every document's hashes are looked up in the
-index; each hit is verified on the shingles themselves where it was found, so no text is shuffled.
+index; the hits come down to one for each document and item, and a text that was found is verified once against its
+items: its shingles that an item has too are told by hash and SHA-256, and counted. So the work for a document grows
+with its length, however often it repeats an item. No text is shuffled while the texts found are few enough to
+broadcast their checksums (``broadcast_rows``); beyond, only the search hits' texts are.
 
-The index is broadcast in blocks of at most ``block_shingles`` shingles; more items make more blocks.
+The index has rows of fixed size and is broadcast in blocks of about ``block_rows``; each further block reads the
+documents again.
 
 Defined results: null and blank items match nothing, null and blank documents hold nothing; equal items with
 different ids are reported one by one; repeated document rows give one row. Other columns are not looked at.
@@ -18,6 +22,7 @@ different ids are reported one by one; repeated document rows give one row. Othe
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -44,42 +49,60 @@ def hashes(w: str, k: int = 5) -> Column:
     return F.when(n >= k, runs).when(n > 0, F.array(F.xxhash64(F.array_join(w, " "), F.lit("whole")))).otherwise(F.array().cast("array<bigint>"))
 
 
-def index(items: DataFrame, threshold: float, k: int, block_shingles: int) -> tuple[DataFrame, int]:
-    """Rows ``(_key, item_id, n_shingles, _need, _least, _shingles, _block)`` and the number of blocks."""
+def index(items: DataFrame, threshold: float, k: int) -> DataFrame:
+    """``(_item, item_id, n_shingles, _need, _least, _sketch, _w)``, settled: a row for each item that has words."""
     w = items.where(trimmed(F.col("text")) != "").select("item_id", words(F.lower("text")).alias("_w"))
-    s = w.select("item_id", F.array_distinct(shingles("_w", k)).alias("_shingles"), F.sort_array(F.array_distinct(hashes("_w", k))).alias("_hashes"))
-    s = s.withColumn("n_shingles", F.size("_shingles"))
+    s = w.select("item_id", "_w", F.sort_array(F.array_distinct(hashes("_w", k))).alias("_hashes"), F.size(F.array_distinct(shingles("_w", k))).alias("n_shingles"))
     part = F.floor(F.log2(F.col("n_shingles").cast("double")) + 1e-9)
     low, high = F.pow(F.lit(2.0), part), F.pow(F.lit(2.0), part + 1) - 1
     need = lambda n: F.ceil(n * threshold - 1e-9).cast("int")
     # n - need(n) doesn't fall as n grows, so the largest size of a partition needs the longest sketch
-    s = s.withColumns({"_need": need(F.col("n_shingles")), "_least": need(low), "_sketch": (high - need(high) + 1).cast("int")})
-    s = settle(s)
-    total = s.agg(F.coalesce(F.sum(F.col("n_shingles") * F.col("_sketch")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) // block_shingles))
-    return s.select(F.explode(F.slice("_hashes", F.lit(1), F.col("_sketch"))).alias("_key"), "item_id", "n_shingles", "_need", "_least", "_shingles", F.pmod(F.xxhash64("item_id", "_shingles"), F.lit(blocks)).alias("_block")), blocks
+    s = s.withColumns({"_need": need(F.col("n_shingles")), "_least": need(low), "_sketch": F.slice("_hashes", F.lit(1), (high - need(high) + 1).cast("int"))})
+    return settle(s.drop("_hashes").withColumn("_item", F.monotonically_increasing_id()))
 
 
-def find(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: int = 5, block_shingles: int = 4_000_000) -> DataFrame:
+def _starts(read: DataFrame, k: int) -> DataFrame:
+    """``read (..., _w)`` with ``_key``, the hash of a shingle: a row for each start. Unlike higher-order functions, this
+    is compiled, with the join that follows."""
+    starts = read.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("_w") - k, F.lit(0)))).alias("_i"))
+    short = F.xxhash64(F.array_join("_w", " "), F.lit("whole"))
+    return starts.withColumn("_key", F.when(F.size("_w") >= k, F.xxhash64(*_at("_w", F.col("_i"), k))).otherwise(short))
+
+
+def _in_blocks(rows: DataFrame, keys: DataFrame, n: int, block_rows: int, join: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Joins all ``rows`` with the ``n`` rows of ``keys``, of which ``block_rows`` or so are broadcast at a time."""
+    blocks = max(1, -(-n // block_rows))
+    if blocks == 1:
+        return join(rows, F.broadcast(keys))
+    return reduce(DataFrame.unionByName, [join(rows, F.broadcast(keys.where(F.pmod(F.xxhash64("_key"), F.lit(blocks)) == b))) for b in range(blocks)])
+
+
+def find(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: int = 5, block_rows: int = 2_000_000, broadcast_rows: int = 500_000) -> DataFrame:
     """``(doc_id, _print, item_id, n_shingles, n_found)``: one row for each document and item it is contaminated by.
 
     ``_print`` is the MD5 of the text, which tells apart rows that share a doc_id.
     """
-    keys, blocks = index(items.select("item_id", "text"), threshold, k, block_shingles)
-    read = docs.where(trimmed(F.col("text")) != "").select("doc_id", F.md5(F.col("text").cast("binary")).alias("_print"), words(F.lower("text")).alias("_w"))
-    # a row for each start, hashed there: unlike a higher-order function, this is compiled with the join
-    starts = read.select("doc_id", "_print", "_w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("_w") - k, F.lit(0)))).alias("_i"))
-    short = F.xxhash64(F.array_join("_w", " "), F.lit("whole"))
-    rows = starts.select("doc_id", "_print", "_w", F.when(F.size("_w") >= k, F.xxhash64(*_at("_w", F.col("_i"), k))).otherwise(short).alias("_key"))
-
-    def block(b: int) -> DataFrame:
-        hit = rows.join(F.broadcast(keys.where(F.col("_block") == b).drop("_block")), "_key").where(F.greatest(F.size("_w") - (k - 1), F.lit(1)) >= F.col("_least"))
-        found = F.size(F.array_intersect("_shingles", shingles("_w", k)))
-        # exploded, not filtered, so that the verification isn't moved into the join and keeps it from being compiled
-        enough = F.explode(F.filter(F.array(found), lambda n: n >= F.col("_need")))
-        return hit.select("doc_id", "_print", "item_id", "n_shingles", enough.alias("n_found"))
-
-    return reduce(DataFrame.unionByName, [block(b) for b in range(blocks)]).distinct()
+    held = index(items.select("item_id", "text"), threshold, k)
+    sizes = held.agg(F.coalesce(F.sum(F.size("_sketch")), F.lit(0)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    read = docs.where(trimmed(F.col("text")) != "").select("doc_id", F.md5(F.col("text").cast("binary")).alias("_print"), "text")
+    split = lambda df: df.withColumn("_w", words(F.lower("text"))).drop("text")
+    # search: what has one of an item's least hashes, once for each document and item
+    keys = held.select(F.explode("_sketch").alias("_key"), "_item", "_least")
+    hit = lambda rows, keys: rows.join(keys, "_key").where(F.greatest(F.size("_w") - (k - 1), F.lit(1)) >= F.col("_least")).select("doc_id", "_print", "_item")
+    hits = settle(_in_blocks(_starts(split(read), k), keys, int(sizes[0]), block_rows, hit).distinct())
+    # verification: the distinct shingles of each text and item that were found together, counted
+    texts, pairs = settle(hits.select("_print").distinct()), settle(hits.select("_print", "_item").distinct())
+    few = F.broadcast if pairs.limit(broadcast_rows + 1).count() <= broadcast_rows else lambda x: x
+    runs = F.when(F.size("_w") >= k, F.concat_ws(" ", *_at("_w", F.col("_i"), k))).otherwise(F.array_join("_w", " "))
+    digest = F.sha2(runs.cast("binary"), 256)
+    whole = _starts(held.select("_item", "_w"), k).select("_item", "_key", digest.alias("_digest")).distinct()
+    again = _starts(split(read.join(few(texts), "_print", "left_semi").select("_print", "text")), k)
+    same = lambda rows, keys: rows.join(keys, "_key").where(digest == F.col("_digest")).select("_print", "_item", "_digest")
+    found = _in_blocks(again, whole, int(sizes[1]), block_rows, same).join(few(pairs), ["_print", "_item"]).distinct()
+    found = found.groupBy("_print", "_item").agg(F.count(F.lit(1)).cast("int").alias("n_found"))
+    enough = found.join(F.broadcast(held.select("_item", "item_id", "n_shingles", "_need")) if sizes[1] <= block_rows else held.select("_item", "item_id", "n_shingles", "_need"), "_item").where("n_found >= _need")
+    enough = settle(enough.select("_print", "_item", "item_id", "n_shingles", "n_found"))
+    return hits.join(few(enough), ["_print", "_item"]).select("doc_id", "_print", "item_id", "n_shingles", "n_found").distinct()
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
