@@ -49,8 +49,8 @@ def test_components(spark):
 
 
 @settings(max_examples=25, deadline=None)
-@given(st.sets(st.integers(0, (1 << 64) - 1), min_size=1, max_size=60), st.lists(st.lists(st.integers(0, 63), max_size=4), max_size=60))
-def test_close_pairs_are_all_pairs(seeds, flips):
+@given(st.sets(st.integers(0, (1 << 64) - 1), min_size=1, max_size=60), st.lists(st.lists(st.integers(0, 63), max_size=4), max_size=60), st.integers(1, 4))
+def test_close_pairs_are_all_pairs(seeds, flips, nodes):
     seeds = sorted(seeds)
     fps = set(seeds)
     for k, bits in enumerate(flips):
@@ -58,9 +58,20 @@ def test_close_pairs_are_all_pairs(seeds, flips):
         for b in bits:
             x ^= 1 << b
         fps.add(x)
-    a, b = simhash.close_pairs(np.array(sorted(fps), np.uint64), 2, fan=3)
+    node = {x: x % nodes for x in fps}
+    a, b, _ = simhash.close_pairs(np.array(sorted(fps), np.uint64), np.array([node[x] for x in sorted(fps)]), 2, fan=3)
     got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
-    assert got == {p for p in itertools.combinations(sorted(fps), 2) if (p[0] ^ p[1]).bit_count() <= 2} and len(a) == len(got)
+    assert got == {p for p in itertools.combinations(sorted(fps), 2) if (p[0] ^ p[1]).bit_count() <= 2 and node[p[0]] == node[p[1]]} and len(a) == len(got)
+
+
+def test_the_tree_prunes_groups():
+    """One large node, and very many small ones: few pairs of groups are looked at."""
+    rng = np.random.default_rng(5)
+    fps = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    near = np.concatenate((fps, fps[:300] ^ np.uint64(1 << 40), fps[:300] ^ np.uint64(3 << 7)))
+    for node in (np.zeros(len(near), np.int64), (near >> np.uint64(50)).astype(np.int64)):
+        a, b, looked = simhash.close_pairs(near, node, 2)
+        assert len(a) >= 600 and looked < len(near) ** 2 / 2 / (20 if node.any() else 2)
 
 
 @pytest.mark.parametrize(("limit", "leaf"), [(2, 512), (2, 20), (3, 16), (0, 4)])

@@ -1,13 +1,14 @@
 """SimHash near-duplicates: fingerprints of three-word shingles, linked at few differing bits.
 
 Fingerprints are compared once each, however many documents share one. The links are found with a hierarchical
-index in Gray order. Upper nodes are masked bit patterns: the bits are cut into one part more than may differ, so
+index in Gray order. Its upper nodes are masked bit patterns: the bits are cut into one part more than may differ, so
 two linked fingerprints agree on a whole part, and each part's mask and pattern is a node that holds the
 fingerprints with that pattern. A node with more than ``leaf`` fingerprints is cut again by the bits it leaves
-open, so no task gets a large node. Inside a node the fingerprints are sorted by Gray rank, runs of them are
-groups, and a group keeps the bits that all its members share. Pairs of groups are compared from the top down: the
-differences on shared bits are a lower bound for all pairs below, and a pair of groups above the limit is dropped
-whole. What is left is compared bit by bit. Nothing is capped, so the links are complete.
+open, so no task gets a large node. A task builds the tree below its nodes: fingerprints sorted by Gray rank in
+each, runs of them as groups, runs of groups as groups, each with the bits that all its members share. Pairs of
+groups are compared from the top down; the differences are handed down and added up over the bits that each level
+shares anew, and a pair of groups above the limit is dropped with all below it. Every link is found there, in nodes
+of any size. Nothing is capped, so the links are complete.
 
 Defined results: a text without words (or null) has fingerprint 0 and is linked like any other; with one or two
 words, its whole sequence is the only shingle; repeated rows each get the component of their fingerprint; the
@@ -80,61 +81,55 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def close_pairs(fps: np.ndarray, limit: int, fan: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of the distinct ``fps`` with at most ``limit`` differing bits, by the group tree of one node."""
-    fps = fps[np.argsort(gray_rank(fps))]
-    # a level has, for each group, the AND and the OR of its members: bits alike in both are shared
-    levels = [(fps, fps)]
+def close_pairs(fps: np.ndarray, node: np.ndarray, limit: int, fan: int = 8) -> tuple[np.ndarray, np.ndarray, int]:
+    """All pairs in a node of distinct ``fps`` with at most ``limit`` differing bits, and how many pairs of groups were
+    looked at. ``node`` has the index node of each.
+
+    The tree: fingerprints in the order of nodes and, in a node, of Gray ranks; runs of ``fan`` are groups, and so on up.
+    A group has the masked pattern that all below it share. On the way down, a pair of groups inherits what its
+    parents differ by and which bits that covers, adds the differences on the bits that are new in its own patterns,
+    and goes with all below it once the sum is above the limit (or no node reaches from one to the other).
+    """
+    order = np.lexsort((gray_rank(fps), node))
+    fps, node = fps[order], node[order]
+    place = np.cumsum(np.concatenate(([0], node[1:] != node[:-1])))
+    levels = [(fps, fps, place, place)]  # bits set in all and in any; the first and the last node
     while len(levels[-1][0]) > fan:
-        ands, ors = levels[-1]
+        ands, ors, low, high = levels[-1]
         at = np.arange(0, len(ands), fan)
-        levels.append((np.bitwise_and.reduceat(ands, at), np.bitwise_or.reduceat(ors, at)))
-    n = len(levels[-1][0])
-    i, j = np.triu_indices(n)
+        levels.append((np.bitwise_and.reduceat(ands, at), np.bitwise_or.reduceat(ors, at), low[at], high[np.minimum(at + fan, len(ands)) - 1]))
+    i, j = np.triu_indices(len(levels[-1][0]))
+    differ, covered = np.zeros(len(i), np.uint8), np.zeros(len(i), np.uint64)
+    step, looked = np.arange(fan), 0
     for depth in range(len(levels) - 1, -1, -1):
-        ands, ors = levels[depth]
-        kept_i, kept_j = [], []
-        for at in range(0, len(i), 1 << 18):  # in pieces, so that memory is bounded
-            a, b = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
-            apart = (ands[a] & ~ors[b]) | (ands[b] & ~ors[a])  # bits set in all of one group and in none of the other
-            near = np.bitwise_count(apart) <= limit
-            kept_i.append(a[near])
-            kept_j.append(b[near])
-        i, j = np.concatenate(kept_i), np.concatenate(kept_j)
-        if depth:
-            below = len(levels[depth - 1][0])
-            step = np.arange(fan)
-            a = (i[:, None] * fan + step)[:, :, None]
-            b = (j[:, None] * fan + step)[:, None, :]
-            a, b = np.broadcast_arrays(a, b)
-            ok = (a <= b) & (a < below) & (b < below)
-            i, j = a[ok], b[ok]
+        ands, ors, low, high = levels[depth]
+        shared = ~(ands ^ ors)
+        kept = []
+        for at in range(0, len(i), 4096):  # in pieces, so that memory is bounded
+            a, b, d, known = (x[at : at + 4096] for x in (i, j, differ, covered))
+            if depth < len(levels) - 1:  # the groups below
+                a, b = np.broadcast_arrays((a[:, None] * fan + step)[:, :, None], (b[:, None] * fan + step)[:, None, :])
+                d, known = (np.broadcast_to(x[:, None, None], a.shape) for x in (d, known))
+                ok = (a <= b) & (b < len(ands))
+                a, b, d, known = a[ok], b[ok], d[ok], known[ok]
+            looked += len(a)
+            both = shared[a] & shared[b]
+            d = d + np.bitwise_count((ands[a] ^ ands[b]) & both & ~known)
+            near = (d <= limit) & (low[b] <= high[a])
+            kept.append((a[near], b[near], d[near], both[near]))
+        i, j, differ, covered = (np.concatenate(x) for x in zip(*kept, strict=True))
     apart = i != j
-    return fps[i[apart]], fps[j[apart]]
+    return fps[i[apart]], fps[j[apart]], looked
 
 
 def _links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Links inside the nodes of a partition that is sorted by node."""
+    """Links inside the nodes of a partition that is sorted by node, some nodes at a time."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     rest: tuple[np.ndarray, np.ndarray] | None = None
 
     def within(node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        at = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-        size = np.diff(np.append(at, len(node)))
-        left, right = [], []
-        small = np.repeat(size <= 16, size)
-        for d in range(1, 16):  # small nodes all at once
-            if d >= len(fp):
-                break
-            hit = small[:-d] & (node[d:] == node[:-d]) & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= limit)
-            left.append(fp[:-d][hit])
-            right.append(fp[d:][hit])
-        for s, n in zip(at[size > 16].tolist(), size[size > 16].tolist(), strict=True):
-            a, b = close_pairs(fp[s : s + n], limit)
-            left.append(a)
-            right.append(b)
-        empty = np.zeros(0, np.uint64)
-        a, b = np.concatenate(left or [empty]).view(np.int64), np.concatenate(right or [empty]).view(np.int64)
+        a, b, _ = close_pairs(fp, node, limit)
+        a, b = a.view(np.int64), b.view(np.int64)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
