@@ -53,7 +53,7 @@ def test_no_item_is_missed_at_any_threshold(spark, threshold):
 
 
 def test_blocks_of_items(docs, items):
-    one, many = (table(decontaminate.find(docs, items, block_shingles=n).drop("_print"), "doc_id", "item_id", "n_found") for n in (10**6, 40))
+    one, many = (table(decontaminate.find(docs, items, block_rows=n, broadcast_rows=m).drop("_print"), "doc_id", "item_id", "n_found") for n, m in ((10**6, 10**6), (40, 0)))
     assert one == many
 
 

@@ -6,7 +6,7 @@ A window is ``length`` consecutive words of one document; a window is repeated i
 Seeds are winnowed anchors: of the hashes of ``seed_words`` words that start in a window, the least (the leftmost of
 equals). Equal windows have equal anchors at equal places, so whatever is repeated shares an anchor, and about one
 word in seven begins one. A first pass counts the places of each anchor; a second gives each place of an anchor with
-two or more its context, the words within a window's reach on both sides. Places with equal anchors are brought
+two or more its context, the words on both sides that the windows with this anchor reach. Places with equal anchors are brought
 together, and there each is extended both ways: every way to take ``i`` words to the left of the seed and the rest
 of a window to the right is compared, word for word, with what earlier places have there. Matches that overlap or
 touch form the maximal repeats, which are cut from the text. All that removes a word is a comparison of words; hashes
@@ -86,7 +86,8 @@ def _least(x: np.ndarray, n: int) -> np.ndarray:
 
 
 class Chunk:
-    """Some documents as numbers of words: ``no``; and the places of their anchors, in flat positions: ``at``."""
+    """Some documents as numbers of words: ``no``; and, in flat positions, the places of their anchors: ``at``, with the
+    words from ``a`` to before ``b`` as their contexts: those of the windows that have this anchor, a run of starts."""
 
     def __init__(self, docs: list[np.ndarray], ids: list[int], ties: list[int], words: _Words, length: int, seed: int) -> None:
         self.ids, self.ties, self.names, self.length, self.seed = np.array(ids, np.int64), np.array(ties, np.int64), words.names, length, seed
@@ -94,19 +95,19 @@ class Chunk:
         self.h = np.array(words.hashes, np.uint64)[self.no]
         sizes = np.fromiter(map(len, docs), np.int64, len(docs))
         self.begin = np.cumsum(sizes) - sizes
-        self.end = self.begin + sizes
         doc = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
         seeds = _runs(self.h, seed)
         inside = doc[: len(doc) - length + 1] == doc[length - 1 :]
-        self.at = np.unique(_least(seeds, length - seed + 1)[inside])
+        start, at = np.flatnonzero(inside), _least(seeds, length - seed + 1)[inside]
+        cut = np.flatnonzero(np.diff(at, prepend=-1))
+        self.at, self.a, self.b = at[cut], start[cut], start[np.append(cut[1:], len(at))[: len(cut)] - 1] + length
         self.anchor = seeds[self.at].view(np.int64)
         self.doc = doc[self.at]
 
     def settled(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the places ``some`` (a mask): the context of each, from ``a`` to ``b``; those to compare further, in
         the order of documents; and those whose context is an earlier one's in this chunk."""
-        at, doc = self.at[some], self.doc[some]
-        a, b = np.maximum(self.begin[doc], at - (self.length - self.seed)), np.minimum(self.end[doc], at + self.length)
+        at, doc, a, b = self.at[some], self.doc[some], self.a[some], self.b[some]
         powers = np.cumprod(np.full(len(self.h), _B))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.h * powers)))
         back = np.cumprod(np.full(len(self.h), _B_INVERSE))
