@@ -14,12 +14,13 @@ whole), kept in the checkpoint folder. A chunk sends its distinct n-grams, with
 the range of their hashes; a part adds up what all chunks say, about ``part_tokens`` tokens' worth of it at once, and
 returns to each chunk the totals of just its n-grams: the arcs and states its texts can touch. So the model grows with
 the corpus, memory doesn't, and an n-gram that a third of all texts have is one entry for each chunk. What is sent is
-sorted and packed, some five bytes for an n-gram.
+sorted and packed, some four bytes for an n-gram.
 
 Defined results: a null or blank text is the end token alone; unseen words are scored by the smoothing; a null
 doc_id counts as an empty one (and is in training); repeated rows count as often as they are there and get equal
-scores; with no training tokens every text gets the uniform smoothing of the unseen; no rows give no rows. Words and
-n-grams are told apart by 62 bits of hash. Further columns stay; those named like the results are replaced.
+scores; with no training tokens every text gets the uniform smoothing of the unseen; no rows give no rows. Words are told
+apart by 64 bits of hash, longer n-grams by as many as leave less than one in a million that shares its hash with
+another (64 at most). Further columns stay; those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -75,43 +76,55 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(out.T).view(np.uint64).reshape(-1)
 
 
-def _mixed(x: np.ndarray, order: int) -> np.ndarray:
-    """Well spread keys, with the order in the last two bits."""
+def _mixed(x: np.ndarray, order: int, width: int) -> np.ndarray:
+    """Well spread keys of ``width`` bits, with the order in the last two."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))) & ~np.uint64(3) | np.uint64(order)
+    x ^= x >> np.uint64(31)
+    return x >> np.uint64(66 - width) << np.uint64(2) | np.uint64(order)
 
 
-def ngrams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The keys of the n-grams that end at each token, of 1, 2 and 3 words. ``first``: whether it begins a document,
+def ngrams(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the n-grams of 2 and 3 words that end at each token. ``first``: whether it begins a document,
     before which is the start; such a token ends no n-gram of 3."""
     before = np.concatenate((h[:1], h[:-1]))
     before[first] = START
     pair = before * _A + h
     last = np.concatenate((pair[:1], pair[:-1]))
-    return _mixed(h, 1), _mixed(pair, 2), _mixed(last * _B + h, 3)
+    return _mixed(pair, 2, width), _mixed(last * _B + h, 3, width)
 
 
 class Chunk:
-    """Some documents as hashes of words: their distinct n-grams ``keys``, and where each token's are among them."""
+    """Some documents as hashes of words: their distinct ``words``, and ``keys`` of longer n-grams, in order; and which
+    each token's are: ``word_at`` and ``at`` (for all tokens, then for those of ``third``)."""
 
-    def __init__(self, vocabulary: bytes, tokens: bytes, sizes: bytes, train: bytes) -> None:
-        h = np.frombuffer(vocabulary, np.uint64)[_unpack(tokens)]
+    def __init__(self, vocabulary: bytes, tokens: bytes, sizes: bytes, train: bytes, width: int) -> None:
+        words, no = np.cumsum(_unpack(vocabulary)), _unpack(tokens)
         self.sizes, self.train = _unpack(sizes).astype(np.int64), np.frombuffer(train, bool)
         self.begin = np.cumsum(self.sizes) - self.sizes
-        first = np.zeros(len(h), bool)
+        self.n, self.width = len(no), width
+        first = np.zeros(self.n, bool)
         first[self.begin] = True
-        uni, pair, triple = ngrams(h, first)
-        self.n, self.third = len(h), np.flatnonzero(~first)
-        self.keys, self.at = np.unique(np.concatenate((uni, pair, triple[self.third])), return_inverse=True)
-
-    def counts(self) -> np.ndarray:
-        """Occurrences of each key in training."""
+        self.third = np.flatnonzero(~first)
+        order = np.argsort(words)
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        self.words, self.word_at = words[order], place[no]
+        pair, triple = ngrams(words[no], first, width)
+        self.keys, self.at = np.unique(np.concatenate((pair, triple[self.third])), return_inverse=True)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of each word and key in training."""
         train = np.repeat(self.train, self.sizes)
-        return np.bincount(self.at[np.concatenate((train, train, train[self.third]))], minlength=len(self.keys))
+        words = np.bincount(self.word_at[train], minlength=len(self.words))
+        return words, np.bincount(self.at[np.concatenate((train, train[self.third]))], minlength=len(self.keys))
 
-    def automaton(self, totals: np.ndarray, n: int, v: int, starts: int, priors: tuple[float, float]) -> Automaton:
-        return Automaton(self, totals.astype(np.float64)[self.at], n, v, starts, priors)
+    def parts(self, bits: int) -> Iterator[tuple[int, slice, slice]]:
+        """Where the words and keys of each part are."""
+        each = [[0, *np.searchsorted(x, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(width - bits)).tolist(), len(x)] for x, width in ((self.words, 64), (self.keys, self.width))]
+        for p, (a, b, c, d) in enumerate(zip(each[0][:-1], each[0][1:], each[1][:-1], each[1][1:], strict=True)):
+            if a < b or c < d:
+                yield p, slice(a, b), slice(c, d)
 
 
 class Automaton:
@@ -119,10 +132,10 @@ class Automaton:
     from the states of two words, one word and none before it (1 where there is no arc), the failure arcs of the
     first two, and ``state``: how many words its longest seen history has, once it is read."""
 
-    def __init__(self, chunk: Chunk, c: np.ndarray, n: int, v: int, starts: int, priors: tuple[float, float]) -> None:
-        size = chunk.n
-        one, two, three = c[:size], c[size : 2 * size], np.zeros(size)
-        three[chunk.third] = c[2 * size :]
+    def __init__(self, chunk: Chunk, words: np.ndarray, longer: np.ndarray, n: int, v: int, starts: int, priors: tuple[float, float]) -> None:
+        c, three = longer.astype(np.float64)[chunk.at], np.zeros(chunk.n)
+        one, two = words.astype(np.float64)[chunk.word_at], c[: chunk.n]
+        three[chunk.third] = c[chunk.n :]
         seen_one = np.concatenate((one[:1], one[:-1]))
         seen_one[chunk.begin] = starts
         seen_two = np.concatenate((two[:1], two[:-1]))
@@ -167,9 +180,12 @@ def _numbered(docs: DataFrame, size: int) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             sizes, learn = np.fromiter(map(len, held), np.int64, len(held)), np.array(train, bool)
-            words, at = np.unique(np.concatenate(held), return_inverse=True)
+            words, at, c = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            order = np.argsort(-c, kind="stable")  # numbers of frequent words are small, and compress
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
             its = pa.concat_arrays(rest)
-            columns = [pa.ListArray.from_arrays(pa.array([0, len(its)], pa.int32()), its), _pack(sizes), learn.tobytes(), words.tobytes(), _pack(at), int(sizes.sum()), int(sizes[learn].sum()), int(learn.sum())]
+            columns = [pa.ListArray.from_arrays(pa.array([0, len(its)], pa.int32()), its), _pack(sizes), learn.tobytes(), _pack(np.diff(words[order], prepend=np.uint64(0))), _pack(place[at]), int(sizes.sum()), int(sizes[learn].sum()), int(learn.sum())]
             kinds = [None, *[pa.binary()] * 4, *[pa.int64()] * 3]
             return pa.RecordBatch.from_arrays([c if k is None else pa.array([c], k) for c, k in zip(columns, kinds, strict=True)], names=schema.names)
 
@@ -195,36 +211,38 @@ def _numbered(docs: DataFrame, size: int) -> DataFrame:
     return settle(docs.mapInArrow(number, schema).withColumn("chunk", F.monotonically_increasing_id()))
 
 
-def _totals(chunks: DataFrame, bits: int) -> DataFrame:
-    """``(chunk, part, totals, v)``: the training counts of a chunk's n-grams in a part, over all chunks, in the order of
-    their keys; ``v`` adds up to the number of seen words. There are 2 ** ``bits`` parts."""
-    parts = 1 << bits
+def _totals(chunks: DataFrame, bits: int, width: int) -> DataFrame:
+    """``(chunk, part, words, longer, v)``: the training counts of a chunk's words and longer n-grams in a part, over all
+    chunks, in the order of their keys; ``v`` adds up to the number of seen words. There are 2 ** ``bits`` parts."""
+    sending = "chunk long, part long, words binary, n_words binary, keys binary, n_keys binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, *data in zip(*(batch.column(c) for c in ("chunk", "vocabulary", "tokens", "sizes", "train")), strict=True):
-                chunk = Chunk(*(x.as_py() for x in data))
-                keys, c = chunk.keys, chunk.counts()
-                to = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-                cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(keys)]
-                rows = [(int(to[a]), _pack(np.diff(keys[a:b], prepend=np.uint64(0))), _pack(c[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                p, k, n = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(p)), pa.array(p, pa.int64()), pa.array(k, pa.binary()), pa.array(n, pa.binary())], names=["chunk", "part", "keys", "counts"])
+                chunk = Chunk(*(x.as_py() for x in data), width)
+                n_words, n_keys = chunk.counts()
+                gaps = lambda x: _pack(np.diff(x, prepend=np.uint64(0)))
+                rows = [(name.as_py(), p, gaps(chunk.words[w]), _pack(n_words[w]), gaps(chunk.keys[k]), _pack(n_keys[k])) for p, w, k in chunk.parts(bits)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=["chunk", "part", "words", "n_words", "keys", "n_keys"])
+
+    def summed(keys: list[bytes], counts: list[bytes]) -> tuple[list[bytes], int]:
+        """The total of each key, for each of the lists; and how many keys have one."""
+        each = [np.cumsum(_unpack(k)) for k in keys]
+        ends = np.cumsum([len(k) for k in each]).tolist()
+        _, at = np.unique(np.concatenate(each), return_inverse=True)
+        total = np.bincount(at, np.concatenate([_unpack(c) for c in counts]).astype(np.float64)).astype(np.uint64)
+        return [_pack(total[at[a:b]]) for a, b in zip([0, *ends[:-1]], ends, strict=True)], int(np.count_nonzero(total))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            each = [np.cumsum(_unpack(k)) for _, _, k, _ in held]
-            ends = np.cumsum([len(k) for k in each])
-            keys, at = np.unique(np.concatenate(each), return_inverse=True)
-            total = np.bincount(at, np.concatenate([_unpack(c) for *_, c in held]).astype(np.float64)).astype(np.uint64)
-            v = int(np.count_nonzero(total[keys & np.uint64(3) == 1]))
-            replies = [_pack(total[at[a:b]]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([c for c, *_ in held]), pa.array([p for _, p, *_ in held]), pa.array(replies, pa.binary()), pa.array([v] + [0] * (len(held) - 1))], names=["chunk", "part", "totals", "v"])
+            chunk, part, words, n_words, keys, n_keys = zip(*held, strict=True)
+            (to_words, v), (to_keys, _) = summed(words, n_words), summed(keys, n_keys)
+            return pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(part), pa.array(to_words, pa.binary()), pa.array(to_keys, pa.binary()), pa.array([v] + [0] * (len(held) - 1))], names=["chunk", "part", "words", "longer", "v"])
 
         for batch in batches:
-            for row in zip(batch.column("chunk").to_pylist(), batch.column("part").to_pylist(), batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[0][1] != row[1]:
                     yield out()
                     held = []
@@ -232,12 +250,11 @@ def _totals(chunks: DataFrame, bits: int) -> DataFrame:
         if held:
             yield out()
 
-    sent = chunks.select("chunk", "vocabulary", "tokens", "sizes", "train").mapInArrow(send, "chunk long, part long, keys binary, counts binary")
-    sent = sent.repartition("part") if parts > 1 else sent.coalesce(1)
-    return settle(sent.sortWithinPartitions("part").mapInArrow(add, "chunk long, part long, totals binary, v long"))
+    sent = chunks.select("chunk", "vocabulary", "tokens", "sizes", "train").mapInArrow(send, sending)
+    return settle(sent.repartition("part").sortWithinPartitions("part").mapInArrow(add, "chunk long, part long, words binary, longer binary, v long"))
 
 
-def score(docs: DataFrame, train: Column, text: str = "text", priors: tuple[float, float] = PRIORS, chunk_tokens: int = 500_000, part_tokens: int = 1_500_000) -> DataFrame:
+def score(docs: DataFrame, train: Column, text: str = "text", priors: tuple[float, float] = PRIORS, chunk_tokens: int = 700_000, part_tokens: int = 1_500_000) -> DataFrame:
     """``docs`` without its text, with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``, by the model of
     the rows for which ``train`` is true."""
     results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -245,7 +262,8 @@ def score(docs: DataFrame, train: Column, text: str = "text", priors: tuple[floa
     packed = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("_rest"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     chunks = _numbered(packed, chunk_tokens)
     tokens, n, starts = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_train", "starts"))).first()
-    totals = _totals(chunks, max(0, -(-tokens // part_tokens) - 1).bit_length())
+    width = min(64, 23 + (3 * tokens).bit_length())
+    totals = _totals(chunks, max(0, -(-tokens // part_tokens) - 1).bit_length(), width)
     v = totals.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
     rest_type = chunks.schema["rest"].dataType
     figures = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
@@ -255,16 +273,16 @@ def score(docs: DataFrame, train: Column, text: str = "text", priors: tuple[floa
         for batch in batches:
             for i in range(len(batch)):
                 of = lambda c, i=i, batch=batch: batch.column(c)[i].as_py()
-                chunk = Chunk(*map(of, ("vocabulary", "tokens", "sizes", "train")))
-                replies = sorted((r["part"], r["totals"]) for r in of("replies"))
-                auto = chunk.automaton(np.concatenate([_unpack(x) for _, x in replies]), n, v, starts, priors)
+                chunk = Chunk(*map(of, ("vocabulary", "tokens", "sizes", "train")), width)
+                replies = sorted(of("replies"), key=lambda r: r["part"])
+                auto = Automaton(chunk, *(np.concatenate([_unpack(r[c]) for r in replies]) for c in ("words", "longer")), n, v, starts, priors)
                 ends = (chunk.begin + chunk.sizes).tolist()
                 full = [auto.score(a, b) for a, b in zip(chunk.begin.tolist(), ends, strict=True)]
                 columns = [chunk.sizes, np.add.reduceat(auto.known, chunk.begin, dtype=np.int64), np.add.reduceat(auto.root, chunk.begin), np.array(full)]
                 bounds = pa.array([0, len(full)], pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column("rest").slice(i, 1), *(pa.ListArray.from_arrays(bounds, pa.array(c)) for c in columns)], names=schema.names)
 
-    replies = totals.groupBy("chunk").agg(F.collect_list(F.struct("part", "totals")).alias("replies"))
+    replies = totals.groupBy("chunk").agg(F.collect_list(F.struct("part", "words", "longer")).alias("replies"))
     out = chunks.join(replies, "chunk").mapInArrow(traverse, schema)
     out = out.select(F.explode(F.arrays_zip("rest", *(c for c, _ in figures))).alias("x"))
     return out.select(*(F.col("x.rest")[c].alias(c) for c in rest), "x.n_tokens", "x.n_known", F.lit(n).cast("long").alias("train_tokens"), "x.base_score", "x.score")
