@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 from collections import Counter
 
 import public_tokenizers
@@ -29,13 +30,28 @@ def test_counter_is_the_library(library):
         assert c.count(text) == len(library.encode(text, add_special_tokens=False)), repr(text)
 
 
-def test_every_known_character_is_cut_as_in_the_library(library):
+def test_every_assigned_character_is_cut_as_in_the_library(library):
     c = tokens.Counter(public_tokenizers.path("byte_bpe_50k.json"))
-    for i in range(0x250):
-        s = "a{0}1{0} {0}{0}x  {0}\n{0}".format(chr(i))
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    known = [x for x in every if not c.foreign(x)]
+    assert len(known) > 280_000 and all(unicodedata.category(x) == "Cn" for x in set(every) - set(known))
+    for at in range(0, len(known), 20_000):
+        s = "".join("a{0}1{0} {0}{0}x  {0}\n{0}".format(x) for x in known[at : at + 20_000])
         assert c.pieces(s) == [s[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(s)]
 
 
+def test_both_tiers_serve_every_script(library):
+    """Curly quotes, dashes, other scripts and pictures: no text is encoded as a whole."""
+    c = tokens.Counter(public_tokenizers.path("byte_bpe_50k.json"))
+    whole, asked = c.whole, []
+    c.whole = lambda x: asked.append(x) or whole(x)
+    texts = ["It\u2019s \u201cquoted\u201d \u2013 and so on\u2026 ", "Съешь же ещё этих мягких булок. ", "東京都は日本の首都です。", "مرحبا بالعالم ", "\U0001f600\U0001f468\u200d\U0001f469 ok ", "e\u0301\u00a0x\u3000y\u2028z"]
+    for text in texts:
+        text *= 30
+        assert c.count(text) == whole(text) and text not in asked
+    assert c.count("\U000e0fff x") == whole("\U000e0fff x")
+
+
 def test_counts(docs, library):
     out = tokens.count_tokens(docs.withColumn("n_tokens", F.lit("old")))
     n = lambda t: len(library.encode(t or "", add_special_tokens=False))

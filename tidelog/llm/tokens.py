@@ -5,9 +5,9 @@ documents by mergeable sketches of fixed size, so no pre-token is shuffled; the
 most. Second tier: each Python worker encodes what the table lacks, once, and keeps the length in a cache of
 bounded size. Either tier holds what the tokenizer's own library returns, so the tiers affect only the speed.
 
-A text is cut into pre-tokens here only where that is known to be as in the library: for a byte-level tokenizer
-with the usual pattern and characters below U+0250. Any other text is cut by the library, and any other tokenizer
-encodes whole texts.
+A text is cut into pre-tokens here where that is as in the library: for a byte-level tokenizer with the usual pattern,
+whatever the script, by the categories of Unicode. Only a text with a character that this Python's tables don't have
+assigned (the library's may) is cut by the library, and any other tokenizer encodes whole texts.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; whole texts of any length are counted, nothing is
 cut or padded; special tokens are not added, their strings inside a text count as the library's default has it;
@@ -20,6 +20,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,19 +30,30 @@ from .common import settle
 
 #: Fixed value: the pattern of the sketch pass, for Java; it only proposes table entries.
 JAVA_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_KNOWN = 0x250
+#: What the pattern's white space is.
+WHITE_SPACE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _MAX_CACHED = 300_000
 _LONG = 128
 
 
-def _ranges(test) -> str:
-    return "".join(re.escape(chr(c)) for c in range(_KNOWN) if test(chr(c)))
+@cache
+def _classes() -> dict[str, str]:
+    """Letters (L), numbers (N) and unassigned code points (Cn), as what stands between the brackets of a pattern."""
+    ends: dict[str, list[list[int]]] = {"L": [], "N": [], "Cn": []}
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))
+        if (kind := kind if kind == "Cn" else kind[0]) in ends:
+            its = ends[kind]
+            if its and its[-1][1] == c - 1:
+                its[-1][1] = c
+            else:
+                its.append([c, c])
+    return {kind: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in its) for kind, its in ends.items()}
 
 
 def _pattern() -> re.Pattern:
-    letters = _ranges(lambda c: unicodedata.category(c)[0] == "L")
-    numbers = _ranges(lambda c: unicodedata.category(c)[0] == "N")
-    spaces = "\t\n\x0b\x0c\r \x85\xa0"
+    letters, numbers = _classes()["L"], _classes()["N"]
+    spaces = "".join(f"\\U{c:08x}" for c in WHITE_SPACE)
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
 
 
@@ -69,7 +81,7 @@ class Counter:
         self.by_piece = bool(plain and byte_level and simple)
         if self.by_piece:
             self.pieces = _pattern().findall
-            self.foreign = re.compile(f"[^\\x00-\\u{_KNOWN - 1:04x}]").search
+            self.foreign = re.compile(f"[{_classes()['Cn']}]").search
             names = sorted((a["content"] for a in added), key=len, reverse=True)
             self.special = re.compile("|".join(map(re.escape, names))) if names else None
 
@@ -84,7 +96,7 @@ class Counter:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if not self.by_piece or self.foreign(text):
+        if not self.by_piece or not text.isascii() and self.foreign(text):
             return self.whole(text)
         if self.special is None:
             parts = [text]
