@@ -59,8 +59,9 @@ def test_close_pairs_are_all_pairs(seeds, flips, nodes):
             x ^= 1 << b
         fps.add(x)
     node = {x: x % nodes for x in fps}
-    a, b, _ = simhash.close_pairs(np.array(sorted(fps), np.uint64), np.array([node[x] for x in sorted(fps)]), 2, fan=3)
-    got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    every = np.array(sorted(fps), np.uint64)
+    a, b, _ = simhash.close_pairs(every, np.array([node[x] for x in sorted(fps)]), 2, fan=3)
+    got = {tuple(sorted(p)) for p in zip(every[a].tolist(), every[b].tolist(), strict=True)}
     assert got == {p for p in itertools.combinations(sorted(fps), 2) if (p[0] ^ p[1]).bit_count() <= 2 and node[p[0]] == node[p[1]]} and len(a) == len(got)
 
 
@@ -85,9 +86,13 @@ def test_links_at_every_depth_of_the_index(spark, limit, leaf):
                 y ^= 1 << rng.randrange(64)
             fps.add(y)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    rows = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), limit, leaf).collect()
-    got = [tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in rows]
-    assert len(got) == len(set(got)) and set(got) == {p for p in itertools.combinations(sorted(fps), 2) if (p[0] ^ p[1]).bit_count() <= limit}
+    pairs = {p for p in itertools.combinations(sorted(fps), 2) if (p[0] ^ p[1]).bit_count() <= limit}
+    found = lambda df: [tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in simhash.links(df, limit, leaf).collect()]
+    got = found(spark.createDataFrame([(x, x % 7) for x in signed], "fp long, comp long"))
+    assert len(got) == len(set(got)) and set(got) == {p for p in pairs if len({(x - (1 << 64) if x >> 63 else x) % 7 for x in p}) == 2}
+    # without classes, pairs that connect the same
+    some = found(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    assert union(some) == union(pairs) and len(some) <= len(fps) * (limit + 1) * (1 if leaf == 512 else limit + 1)
 
 
 def test_fingerprints_and_components(docs, rows):
@@ -113,13 +118,38 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
 def test_keep_one(docs, rows, empty):
     kept = simhash.keep_one(docs.withColumn("fp", F.lit("old")))
     assert kept.columns == [*docs.columns, "fp"]
-    out = simhash.classes(docs.select("doc_id", "text")).collect()
-    assert kept.count() == len({(r.component_id, r.fp if r.component_id is None else 0) for r in out})
     ids = [r.doc_id for r in kept.collect()]
-    assert 3 in ids and 100 not in ids and 101 not in ids and ids.count(5) == 1
+    assert 3 in ids and 100 not in ids and 101 not in ids and 102 not in ids and ids.count(5) == 1 and 112 not in ids
     assert simhash.keep_one(empty).count() == 0 and simhash.digest(empty).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0, "leaf": 8}], ids=str)
+def test_keep_one_against_all_pairs(spark, options):
+    """Copies with some words changed: those that SimHash proposes and that have 0.8 in common go, and no others."""
+    rng = random.Random(3)
+    vocab = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(vocab) for _ in range(rng.randint(60, 200))]
+        for k in range(8):
+            w = list(base)
+            for _ in range(rng.randint(0, k)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            texts.append(" ".join(w))
+    texts += [texts[0], texts[0].upper(), "a b", "a b", "A B", None, "", " "]
+    rows = [(k, t, "x", "y", k % 3) for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+    rows += [(0, texts[0], "x", "y", -1), (None, texts[0], "x", "y", 0), (None, "no id", "x", "y", 0), (None, "no id", "x", "y", 0)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA).repartition(3), **options).collect()
+    sets = {k: frozenset(simhash.shingle_set(t, 5).tolist()) for k, t in enumerate(texts)}
+    fp = {k: simhash.fingerprint(t, 2) for k, t in enumerate(texts)}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    groups = union([(a, b) for a, b in itertools.combinations_with_replacement(range(len(texts)), 2) if alike(a, b) and (fp[a] ^ fp[b]).bit_count() <= 6])
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({g for g in groups.values()})
+    assert len({a for a in groups if groups[a] != a}) > 20
+    assert [r.text for r in kept if r.doc_id is None] == ["no id"] and next(r.n_chars for r in kept if r.doc_id == 0) == -1
+
+
 def line_groups(rows, k=8, threshold=0.8):
     """Lines kept and removed by comparing all pairs of lines."""
     def order(r):

@@ -1,8 +1,10 @@
-"""Connected components of a graph in a DataFrame: distributed union-find by alternating large and small stars.
+"""Connected components of a graph in a DataFrame: distributed union-find by least labels and pointer jumping.
 
-Each round points every node's larger neighbours, then its smaller ones, at the least node it knows of; the rounds
-needed grow with the logarithm of the longest path. A round is two aggregations of minima, which combine before
-they shuffle, and two joins, so a node with very many neighbours does not meet in one task.
+A node's label is a node of its component, at first the least of it and its neighbours. In a round each node takes the
+least label among its neighbours', and then the label of that label, until no label changes; so the reach of a label
+about doubles with each round. A round is one aggregation of minima, which combines before it shuffles, and three joins
+with a row for each node on one side; the edges of a node with very many meet that row by a join on the node, which
+adaptive execution splits where the node's edges make a partition too large.
 """
 
 from __future__ import annotations
@@ -13,10 +15,6 @@ from pyspark.sql import functions as F
 from .common import settle
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-
 def _fresh(df: DataFrame) -> DataFrame:
     """``df``, settled, without the size estimates of its plan: a checkpoint keeps them, and as a join multiplies
     them, their digits would double with each round, until the driver does nothing but multiply."""
@@ -31,25 +29,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
     ``a`` and ``b`` are of one orderable type. Edges from a node to itself, and repeated edges, change nothing;
     edges with a null end are left out; no edges give no rows.
     """
-    lo, hi = F.least(a, b), F.greatest(a, b)
-    # u > v in every edge
-    edges = _fresh(edges.where(F.col(a) != F.col(b)).select(hi.alias("u"), lo.alias("v")).distinct())
-    state = _state(edges)
+    ends = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v"))
+    both = _fresh(ends.unionAll(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    of = _fresh(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("component")))
     for _ in range(rounds):
-        if not state[0]:
-            break
-        # large star: neighbours above a node go to the least of it and its neighbours
-        least = settle(edges.select(F.col("v").alias("n"), F.col("v").alias("m")).unionAll(edges.select(F.col("u").alias("n"), F.col("v").alias("m"))).groupBy("n").agg(F.min("m").alias("m")))
-        large = edges.join(least, edges["v"] == least["n"]).select("u", F.col("m").alias("v"))
-        large = settle(large.where("u <> v").distinct())
-        # small star: neighbours below a node, and it, go to the least of them
-        least = settle(large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")))
-        small = large.join(least, large["u"] == least["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = _fresh(small.unionAll(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct())
-        new = _state(edges)
-        if new == state:
-            break
-        state = new
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+        least = both.join(of.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("m"))
+        moved = of.join(least, "node").select("node", F.col("component").alias("before"), F.least("component", "m").alias("at"))
+        jumped = moved.join(of.select(F.col("node").alias("at"), "component"), "at")
+        new = _fresh(jumped.select("node", F.least("at", "component").alias("component"), (F.least("at", "component") != F.col("before")).alias("_new")))
+        of = new.select("node", "component")
+        if new.where("_new").isEmpty():
+            return of
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

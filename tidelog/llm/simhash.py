@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -82,8 +82,8 @@ def _signed(x: int) -> int:
 
 
 def close_pairs(fps: np.ndarray, node: np.ndarray, limit: int, fan: int = 8) -> tuple[np.ndarray, np.ndarray, int]:
-    """All pairs in a node of distinct ``fps`` with at most ``limit`` differing bits, and how many pairs of groups were
-    looked at. ``node`` has the index node of each.
+    """All pairs in a node of distinct ``fps`` with at most ``limit`` differing bits, as two arrays of their places, and
+    how many pairs of groups were looked at. ``node`` has the index node of each.
 
     The tree: fingerprints in the order of nodes and, in a node, of Gray ranks; runs of ``fan`` are groups, and so on up.
     A group has the masked pattern that all below it share. On the way down, a pair of groups inherits what its
@@ -119,47 +119,68 @@ def close_pairs(fps: np.ndarray, node: np.ndarray, limit: int, fan: int = 8) ->
             kept.append((a[near], b[near], d[near], both[near]))
         i, j, differ, covered = (np.concatenate(x) for x in zip(*kept, strict=True))
     apart = i != j
-    return fps[i[apart]], fps[j[apart]], looked
+    return order[i[apart]], order[j[apart]], looked
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the edges ``a`` to ``b`` among ``n`` connect, fewer than ``n``: stars around the least."""
+    least = np.arange(n)
+    while True:
+        before = least.copy()
+        np.minimum.at(least, a, before[b])
+        np.minimum.at(least, b, least[a])
+        least = least[least]
+        if (least == before).all():
+            break
+    at = np.flatnonzero(least != np.arange(n))
+    return at, least[at]
 
 
 def _links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Links inside the nodes of a partition that is sorted by node, some nodes at a time."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    rest: tuple[np.ndarray, np.ndarray] | None = None
-
-    def within(node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        a, b, _ = close_pairs(fp, node, limit)
-        a, b = a.view(np.int64), b.view(np.int64)
+    rest: tuple[np.ndarray, ...] | None = None
+
+    def within(node: np.ndarray, fp: np.ndarray, comp: np.ndarray | None = None) -> pa.RecordBatch:
+        i, j, _ = close_pairs(fp, node, limit)
+        if comp is None:
+            i, j = forest(len(fp), i, j)
+        else:
+            apart = comp[i] != comp[j]
+            i, j = i[apart], j[apart]
+        a, b = fp[i].view(np.int64), fp[j].view(np.int64)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
     for batch in batches:
-        node = batch.column("node").to_numpy(zero_copy_only=False)
-        fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        now[1] = now[1].view(np.uint64)
         if rest is not None:
-            node, fp = np.concatenate((rest[0], node)), np.concatenate((rest[1], fp))
-        if not len(node):
+            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+        if not len(now[0]):
             continue
-        last = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
-        rest = (node[last:], fp[last:])
+        last = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on in the next batch
+        rest = tuple(x[last:] for x in now)
         if last:
-            yield within(node[:last], fp[:last])
+            yield within(*(x[:last] for x in now))
     if rest is not None and len(rest[0]):
         yield within(*rest)
 
 
 def links(distinct: DataFrame, limit: int = 2, leaf: int = 512) -> DataFrame:
-    """``(a, b)``, a < b: every pair of the distinct longs ``fp`` with at most ``limit`` differing bits."""
+    """``(a, b)``, a < b, of the distinct longs ``fp``: pairs that connect what all pairs with at most ``limit`` differing
+    bits connect. With a column ``comp``: every such pair whose ``comp`` differ."""
     parts = limit + 1
+    rest = [c for c in distinct.columns if c == "comp"]
     first = _cut(list(range(64)), parts)
     node = lambda path, mask: F.xxhash64(F.lit(path), F.col("fp").bitwiseAND(F.lit(_signed(mask)).cast("long")))
-    level = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(str(k)).alias("path"), F.lit(_signed(m)).cast("long").alias("mask"), node(str(k), m).alias("node")) for k, m in enumerate(first)))).alias("x")).select("fp", "x.*")
+    level = distinct.select("fp", *rest, F.explode(F.array(*(F.struct(F.lit(str(k)).alias("path"), F.lit(_signed(m)).cast("long").alias("mask"), node(str(k), m).alias("node")) for k, m in enumerate(first)))).alias("x")).select("fp", *rest, "x.path", "x.node")
     masks = {str(k): m for k, m in enumerate(first)}
     found = None
     while True:
         level = settle(level)
         sizes = settle(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        ready = level.join(sizes.where(F.col("n") <= leaf), "node").select("node", "fp")
+        ready = level.join(sizes.where(F.col("n") <= leaf), "node").select("node", "fp", *rest)
         some = ready.repartition("node").sortWithinPartitions("node").mapInArrow(lambda it: _links(it, limit), "a long, b long").distinct()
         found = some if found is None else found.unionByName(some)
         large = sizes.where(F.col("n") > leaf)
@@ -177,24 +198,23 @@ def links(distinct: DataFrame, limit: int = 2, leaf: int = 512) -> DataFrame:
             here = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(_signed(m)).cast("long").alias("mask"), node(p, m).alias("node")) for p, m in new.items()))
             branches = here if path == next(iter(masks)) else F.when(F.col("path") == path, here).otherwise(branches)
         masks = cuts
-        level = level.join(large.select("node"), "node").select("fp", F.explode(branches).alias("x")).select("fp", "x.*")
+        level = level.join(large.select("node"), "node").select("fp", *rest, F.explode(branches).alias("x")).select("fp", *rest, "x.path", "x.node")
 
 
 def mapping(slim: DataFrame, limit: int = 2) -> DataFrame:
-    """``(fp, component_id, keeper)`` for each fingerprint of ``slim (doc_id, fp)``: the smallest doc_id reachable
-    over links, and the (least) fingerprint of a document with this id in the component."""
+    """``(fp, component_id)`` for each fingerprint of ``slim (doc_id, fp)``: the smallest doc_id reachable over links."""
     distinct = settle(slim.groupBy("fp").agg(F.min("doc_id").alias("_first")))
     joined = components(links(distinct.select("fp"), limit))
     mine = distinct.join(joined, distinct["fp"] == joined["node"], "left")
     mine = settle(mine.select("fp", "_first", F.coalesce("component", "fp").alias("_class")))
-    firsts = settle(mine.groupBy("_class").agg(F.min(F.struct(F.col("_first").isNull().alias("none"), "_first", "fp")).alias("_k")))
-    return settle(mine.join(firsts, "_class").select("fp", F.col("_k._first").alias("component_id"), F.col("_k.fp").alias("keeper")))
+    firsts = settle(mine.groupBy("_class").agg(F.min("_first").alias("component_id")))
+    return settle(mine.join(firsts, "_class").select("fp", "component_id"))
 
 
 def classes(docs: DataFrame, text: str = "text", limit: int = 2, shingle: int = 3) -> DataFrame:
     """``docs`` without its text, with ``fp`` and ``component_id``: the smallest doc_id reachable over links."""
     slim = settle(fingerprints(docs, text, shingle))
-    return slim.join(mapping(slim.select("doc_id", "fp"), limit).drop("keeper"), "fp")
+    return slim.join(mapping(slim.select("doc_id", "fp"), limit), "fp")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -202,14 +222,76 @@ def digest(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, limit: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs``, one for each component: a row of the smallest doc_id in it.
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The distinct hashes of the runs of ``k`` words of a text in lower case, in order; of the whole, if it has fewer."""
+    w = (text or "").encode().lower().split()
+    runs = {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+    return np.sort(np.fromiter(map(xxhash.xxh64_intdigest, runs), np.uint64, len(runs)).view(np.int64))
+
+
+def verified(pairs: DataFrame, homes: DataFrame, docs: DataFrame, k: int, threshold: float, broadcast_rows: int = 200_000) -> DataFrame:
+    """The ``pairs (a, b)`` of texts, by their MD5, that have at least ``threshold`` of their shingles of ``k`` words in common
+    (two texts without words do). ``homes (_t, _first)`` names a document of each text; ``docs`` has ``doc_id`` and ``text``."""
+
+    @F.arrow_udf("array<long>")
+    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([shingle_set(t.as_py(), k) for t in batch], pa.list_(pa.int64()))
+
+    wanted = settle(pairs.select(F.col("a").alias("_t")).union(pairs.select("b")).distinct().join(homes.select("_t", "_first"), "_t"))
+    few = F.broadcast if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows else lambda x: x
+    found = docs.withColumn("_t", _print()).join(few(wanted.withColumnRenamed("_t", "_w")), (F.col("_t") == F.col("_w")) & F.col("doc_id").eqNullSafe(F.col("_first")))
+    shingles = settle(found.select("_t", sets("text").alias("_s")).dropDuplicates(["_t"]))
+    side = lambda x: shingles.select(F.col("_t").alias(x), F.col("_s").alias(f"_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("_a", "_b")).alias("_i"), (F.size("_a") + F.size("_b")).alias("_n"))
+    return both.where(F.col("_i") >= threshold * (F.col("_n") - F.col("_i")) - 1e-9).select("a", "b")
+
+
+def _print() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
+def keep_one(docs: DataFrame, limit: int = 6, shingle: int = 2, k: int = 5, threshold: float = 0.8, leaf: int = 1024, broadcast_rows: int = 200_000) -> DataFrame:
+    """The rows of ``docs``, one for each group of near-duplicates: texts connected by pairs that have at least
+    ``threshold`` of their shingles of ``k`` words in common. SimHash proposes: fingerprints over runs of ``shingle`` words
+    (shorter runs move fewer bits for a changed word) that differ in at most ``limit`` bits; the pairs are verified.
+
+    Two rounds, so that a large group isn't verified pair by pair: first a forest of the links, then all links between
+    texts that are still apart. Different texts of one fingerprint are compared with one of them.
 
-    Rows with the same doc_id and fingerprint are combined before the shuffle, so copies don't meet in one task.
+    Of a group, the row of the smallest doc_id stays (those without come last; then the least MD5 of the text; of
+    several rows equal in both, the one whose columns are least, in their order). Null texts count as empty, and texts
+    without words are near-duplicates of each other. No text is shuffled but those of proposed pairs, unless more than
+    ``broadcast_rows`` texts have copies or are dropped.
     """
-    slim = settle(fingerprints(docs.select("doc_id", "text"), "text", shingle))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("_name")
-    keep = mapping(slim, limit).where("fp = keeper").select("fp", F.coalesce(F.col("component_id").cast("string"), F.lit("none")).alias("_name"))
-    rows = fingerprints(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all"), name, "text"), "text", shingle)
-    first = rows.groupBy("_name", "fp").agg(F.first("_all").alias("_all"))
-    return first.join(keep, ["_name", "fp"], "left_semi").select(*(F.col("_all")[c].alias(c) for c in docs.columns))
+    read = docs.select("doc_id", "text")
+    slim = settle(fingerprints(read.withColumn("_t", _print()), "text", shingle).groupBy("_t", "doc_id").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")))
+    texts = slim.groupBy("_t").agg(F.min("fp").alias("fp"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("_k"), F.count(F.lit(1)).alias("_docs"))
+    texts = settle(texts.select("_t", "fp", F.col("_k.doc_id").alias("_first"), F.col("_k.n").alias("_rows"), "_docs"))
+    reps = settle(texts.groupBy("fp").agg(F.min("_t").alias("rep")))
+
+    def named(pairs: DataFrame) -> DataFrame:
+        side = lambda x: reps.select(F.col("fp").alias(x), F.col("rep").alias(f"_{x}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+
+    same = texts.join(reps, "fp").where("_t <> rep").select(F.least("_t", "rep").alias("a"), F.greatest("_t", "rep").alias("b"))
+    tried = settle(named(links(reps.select("fp"), limit, leaf)).unionByName(same))
+    good = settle(verified(tried, texts, read, k, threshold, broadcast_rows))
+    of = components(good)
+    apart = reps.join(of, reps["rep"] == of["node"], "left").select("fp", F.xxhash64(F.coalesce("component", "rep")).alias("comp"))
+    more = settle(named(links(settle(apart), limit, leaf)).join(tried, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        of = components(settle(good.unionByName(verified(more, texts, read, k, threshold, broadcast_rows))))
+    mine = texts.join(of, texts["_t"] == of["node"], "left").withColumn("_class", F.coalesce("component", "_t"))
+    firsts = mine.groupBy("_class").agg(F.min(F.struct(F.col("_first").isNull().alias("none"), "_first", "_t")).alias("_k"))
+    # what is to be dropped: texts of which none stays, and rows of those that stay but are there several times
+    judged = mine.join(firsts, "_class").select("_t", "_first", "_rows", "_docs", (F.col("_t") == F.col("_k._t")).alias("_stays"))
+    table = settle(judged.where("NOT _stays OR _docs > 1 OR _rows > 1").select(F.col("_t").alias("_w"), "_first", "_rows", "_stays"))
+    few = F.broadcast if table.limit(broadcast_rows + 1).count() <= broadcast_rows else lambda x: x
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all"), "doc_id", _print().alias("_t"))
+    rows = rows.join(few(table), F.col("_t") == F.col("_w"), "left").where(F.col("_w").isNull() | (F.col("_stays") & F.col("doc_id").eqNullSafe(F.col("_first"))))
+    once = rows.where("_w IS NULL OR _rows = 1").select("_all")
+    if table.where("_stays AND _rows > 1").isEmpty():
+        return once.select(*(F.col("_all")[c].alias(c) for c in docs.columns))
+    several = rows.where("_rows > 1").groupBy("doc_id", "_t").agg(F.min("_all").alias("_all")).select("_all")
+    return once.unionByName(several).select(*(F.col("_all")[c].alias(c) for c in docs.columns))
