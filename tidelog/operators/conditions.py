@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import has_all
 from ..model import AppendCondition, canonical_tags, unpack_position
 from ..plans import match_column, simplify
-from .index import subset_index, subset_key
+from .index import subset_key, wanted_entries
 
 #: Rows of a condition table up to which it is broadcast.
 BROADCAST_ROWS = 200_000
@@ -46,22 +46,29 @@ def _later() -> object:
 def conflicts(log: DataFrame, conditions: DataFrame) -> DataFrame:
     """``(cond_id, n_events)``: the conditions (as ``condition_rows`` gives them) that events match, and how many.
 
-    A join by predicate with the condition side broadcast, never the log; beyond ``BROADCAST_ROWS`` rows of
-    conditions the subset index does the same by equality.
+    A join by equality on a key of each item, one of its tags (that the fewest items ask for) or else its type, with the
+    rest checked on what meets; the condition side is broadcast, never the log. Beyond ``BROADCAST_ROWS`` rows of
+    conditions the subset index does the same without a broadcast.
     """
     if conditions.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         return conflicts_indexed(log, conditions)
-    match = _later() & ((F.size("types") == 0) | F.array_contains("types", F.col("type_name"))) & has_all(F.col("e_tags"), F.col("tags"))
-    events = log.select("commit_version", "batch_index", "type_name", F.col("tags").alias("e_tags"))
-    pairs = events.join(F.broadcast(conditions), match).select("cond_id", "commit_version", "batch_index")
-    return pairs.distinct().groupBy("cond_id").agg(F.count(F.lit(1)).alias("n_events"))
+    asked = conditions.select(F.explode("tags").alias("_tag")).groupBy("_tag").agg(F.count(F.lit(1)).alias("_n"))
+    items = conditions.withColumn("_item", F.monotonically_increasing_id())
+    rarest = items.select("_item", F.explode("tags").alias("_tag")).join(asked, "_tag").groupBy("_item").agg(F.min(F.struct("_n", "_tag"))["_tag"].alias("_tag"))
+    by_tag = items.join(rarest, "_item").withColumn("_key", F.concat(F.lit("tag "), "_tag")).drop("_tag")
+    by_type = items.where(F.size("tags") == 0).withColumn("_key", F.explode(F.transform("types", lambda t: F.concat(F.lit("type "), t))))
+    keyed = by_tag.unionByName(by_type).drop("_item")
+    keys = F.array_append(F.transform(F.array_distinct("tags"), lambda t: F.concat(F.lit("tag "), t)), F.concat(F.lit("type "), "type_name"))
+    events = log.select("commit_version", "batch_index", "type_name", F.col("tags").alias("e_tags"), F.explode(keys).alias("_key"))
+    hit = events.join(F.broadcast(keyed), "_key").where(_later() & ((F.size("types") == 0) | F.array_contains("types", F.col("type_name"))) & has_all(F.col("e_tags"), F.col("tags")))
+    return hit.select("cond_id", "commit_version", "batch_index").distinct().groupBy("cond_id").agg(F.count(F.lit(1)).alias("n_events"))
 
 
 def conflicts_indexed(log: DataFrame, conditions: DataFrame) -> DataFrame:
     """The same by an equality join on tag subsets. Only subsets that a condition asks for are joined; the hot ones
     are left to adaptive skew joins, as neither side is bounded."""
     wanted = conditions.withColumn("_key", subset_key("tags")).drop("tags")
-    entries = subset_index(log).withColumn("_key", subset_key("subset")).drop("subset")
+    entries = wanted_entries(log.select("commit_version", "batch_index", "type_name", "tags"), conditions).drop("tags")
     small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hit = entries.join(F.broadcast(wanted) if small else wanted, "_key")
     hit = hit.where(_later() & ((F.size("types") == 0) | F.array_contains("types", F.col("type_name"))))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store_queries
 from .functions import canonical_tags, position_hex, position_index, position_version
 from .model import AppendCondition, Query, QueryItem, ReadOptions, pack_position
 from .operators import conditions, index, reads
@@ -117,13 +118,15 @@ def powerset_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index rows of one subset and type, after a position."""
-    rows = index.subset_index(events_log(spark, sf_dir)).where("array_join(subset, '|') = 'k:7' AND type_name = 'click' AND (commit_version > 40 OR (commit_version = 40 AND batch_index > 3))")
-    return rows.select(position_hex().alias("position"), "type_name")
+    log = events_log(spark, sf_dir).where("type_name = 'click' AND (commit_version > 40 OR (commit_version = 40 AND batch_index > 3))")
+    rows = index.wanted_entries(log.drop("data"), spark.createDataFrame([(["k:7"],)], "tags array<string>"))
+    return rows.where(F.col("_key") == index.subset_key(F.array(F.lit("k:7")))).select(position_hex().alias("position"), "type_name")
 
 
 def index_fetch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = events_log(spark, sf_dir)
-    rows = index.subset_index(log).select("type_name", "commit_version", "batch_index", F.array_join("subset", "|").alias("subset")).where("subset = 'k:7'")
+    rows = index.wanted_entries(log.drop("data"), spark.createDataFrame([(["k:7"],)], "tags array<string>"))
+    rows = rows.where(F.col("_key") == index.subset_key(F.array(F.lit("k:7")))).select("type_name", "commit_version", "batch_index")
     return index.fetch(rows, log).select(position_hex().alias("position"), "type_name", F.decode("data", "UTF-8").alias("data"))
 
 
@@ -166,6 +169,15 @@ def position_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.lower(F.hex("p")).alias("position"), position_version("p").alias("commit_version"), position_index("p").cast("long").alias("batch_index"))
 
 
+def read_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both directions, with the running number of each row as it was returned."""
+    rows = []
+    for name, options in (("ascending", ReadOptions()), ("descending", ReadOptions(reverse=True))):
+        found = reads.read(events_log(spark, sf_dir), OR_ITEMS, options).select(F.lower(F.hex("position")))
+        rows += [(name, k, r[0]) for k, r in enumerate(found.toLocalIterator())]
+    return spark.createDataFrame(rows, "direction string, number long, position string")
+
+
 def all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A read by pages: the last position and the count of each page of 40."""
     found = reads.pages(events_log(spark, sf_dir), OR_ITEMS, 40)
@@ -189,6 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "read_reverse_limit_after": _read(TYPES, LATEST),
     "read_or_reverse_after_limit": _read(OR_ITEMS, LATEST),
     "read_pages": all_pages,
+    "read_order": read_order,
     "type_discovery": type_discovery,
     "condition_exists": condition_exists,
     "conditions_bulk": _bulk(conditions.conflicts),
@@ -222,6 +235,7 @@ ORACLE_SQL: dict[str, str] = {
     "read_reverse_limit_after": _sql(f"type_name IN ('click', 'purchase') AND {_AFTER}", "ORDER BY position DESC LIMIT 25"),
     "read_or_reverse_after_limit": _sql(f"{_OR} AND {_AFTER}", "ORDER BY position DESC LIMIT 25"),
     "read_pages": f"{_LOG}, m AS (SELECT position, (row_number() OVER (ORDER BY position) - 1) // 40 AS page FROM log WHERE {_OR}) SELECT page::BIGINT AS page, count(*)::BIGINT AS n_events, max(position) AS last_position FROM m GROUP BY page",
+    "read_order": f"{_LOG}, m AS (SELECT position FROM log WHERE {_OR}) SELECT 'ascending' AS direction, (row_number() OVER (ORDER BY position) - 1)::BIGINT AS number, position FROM m UNION ALL SELECT 'descending', (row_number() OVER (ORDER BY position DESC) - 1)::BIGINT, position FROM m",
     "type_discovery": f"{_LOG} SELECT DISTINCT type_name FROM log WHERE list_contains(t, 'user:8')",
     "condition_exists": f"{_LOG} {_CONDITIONS_SQL} SELECT cond_id::BIGINT AS cond_id, bool_or(EXISTS (SELECT 1 FROM log WHERE (v > v0 OR (v = v0 AND i > i0)) AND (len(types) = 0 OR list_contains(types, type_name)) AND list_has_all(t, tags))) AS violated FROM c GROUP BY cond_id",
     "conditions_bulk": _BULK_SQL,
@@ -238,5 +252,9 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 
+QUERIES |= store_queries.QUERIES
+ORACLE_SQL |= store_queries.ORACLE_SQL
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["read_or_items"](spark, sf_dir)

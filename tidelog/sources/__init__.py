@@ -1,6 +1,6 @@
 """Where a log is kept."""
 
-from .files import Files, HadoopFiles, LocalFiles, files_for
+from .files import Files, HadoopFiles, LocalFiles, files_for, shared_folder
 from .store import Snapshot, Store
 
-__all__ = ["Files", "HadoopFiles", "LocalFiles", "Snapshot", "Store", "files_for"]
+__all__ = ["Files", "HadoopFiles", "LocalFiles", "Snapshot", "Store", "files_for", "shared_folder"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import tempfile
 import uuid
 from abc import ABC, abstractmethod
 
@@ -142,3 +143,14 @@ class HadoopFiles(Files):
 
 def files_for(spark: SparkSession, root: str) -> Files:
     return HadoopFiles(spark, root) if "://" in root and not root.startswith("file://") else LocalFiles()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names. Only a local session without
+    that setting, as in tests, gets one of its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="shared-")

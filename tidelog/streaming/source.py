@@ -25,11 +25,15 @@ class Commits(InputPartition):
 
 class _Reader(DataSourceStreamReader):
     def __init__(self, options: dict) -> None:
-        self.base, self.group = options["path"], int(options.get("commitsPerTask", 64))
+        self.base, self.group = options["path"].removeprefix("file://"), int(options.get("commitsPerTask", 64))
+        if "://" in self.base:
+            raise ValueError(f"the streaming source reads mounted folders, not {self.base}; use tail() of a Store")
         self.start = int(options.get("startingVersion", 0))
 
     def _listed(self) -> tuple[list[int], list[tuple[int, int]]]:
         names = os.listdir(self.base) if os.path.isdir(self.base) else []
+        if "commit_version=1" in names and not any(n.startswith("range=1-") for n in names) and os.path.exists(f"{self.base}/commit_version=1/_load"):
+            names = []  # a load whose range isn't in its place yet
         return sorted(int(m[1]) for n in names if (m := _COMMIT.match(n))), sorted((int(m[1]), int(m[2])) for n in names if (m := _RANGE.match(n)))
 
     def initialOffset(self) -> dict:
