@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,56 @@ def test_mix(docs, rows):
         assert abs(taken[s] - goal[s]) <= max(32, 0.01 * goal[s])
 
 
+def test_block_selection_by_brute_force(docs, rows, spark):
+    """The whole mix computed anew, document by document and word by word."""
+    seed, block, each = 11, 4, 256
+    options = {"shard_words": each, "blocks": each // block}
+    some = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    h = {r.doc_id: (r.h, r.s) for r in some.select("doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("h")).withColumn("s", F.xxhash64(F.lit(seed + 1), "h")).collect()}
+    size = {r.doc_id: len(words(r.text)) for r in some.collect()}
+    source = {r.doc_id: r.source for r in some.collect()}
+    names = sorted(set(source.values()), key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[d] for d in size if source[d] == s) for s in names}
+    # targets by filling step by step
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    goal, left, open_ = {}, 1.5 * sum(total.values()), [s for s in names if total[s]]
+    while True:
+        full = [s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > 2 * total[s]]
+        if not full:
+            break
+        goal |= {s: 2 * total[s] for s in full}
+        left -= sum(goal[s] for s in full)
+        open_ = [s for s in open_ if s not in full]
+    goal |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    quota = quotients([goal.get(s, 0) for s in names], round(sum(goal.values()) / block))
+    rng, expected = np.random.default_rng(seed), {}
+    for s, q in zip(names, quota, strict=True):
+        parts = max(1, total[s] // each)
+        shards: dict = {}
+        for d in sorted((d for d in size if source[d] == s), key=lambda d: (h[d][0], d)):
+            shards.setdefault(h[d][1] % parts, []).append(d)
+        n = {k: sum(size[d] for d in v) for k, v in sorted(shards.items())}
+        for (k, words_), blocks in zip(n.items(), quotients(list(n.values()), q) if sum(n.values()) else [0] * len(n), strict=True):
+            m = max(1, round(words_ / block))
+            blocks = min(blocks, 2 * m)
+            first = int(rng.integers(m))
+            run = [(first + j) % m for j in range(blocks % m)]
+            line = [d for d in shards[k] for _ in range(size[d])]
+            expected |= {d: size[d] * (blocks // m) for d in shards[k]}
+            for b in run:
+                for d in line[b * words_ // m : (b + 1) * words_ // m]:
+                    expected[d] += 1
+    got = {r.doc_id: r.taken for r in mixing.digest(some, **options).collect()}
+    assert got == expected and len({h[d][1] for d in h}) > 30
+
+
+def test_columns_named_like_those_used_inside_stay(docs):
+    names = ["_h", "_no", "_shard", "_size", "_in", "_end", "_bucket", "_stratum", "_slice", "_place", "_total", "_p", "_row", "_o0", "n"]
+    clash = docs.withColumns({c: F.lit(f"own {c}") for c in names})
+    for out in (sharding.shard(clash, 4), mixing.mix(clash.withColumn("size", F.lit(3)))):
+        assert all(r[c] == f"own {c}" for r in out.collect() for c in names)
+
+
 def test_resample_gives_whole_documents(docs, empty):
     out = mixing.resample(docs.withColumn("size", F.lit("old")).withColumn("target", F.lit(1)))
     assert out.columns == [*docs.columns, "size", "target"]
@@ -83,8 +134,8 @@ def test_every_shard_has_the_mixture(spark):
 
 def test_interleaving_matches_a_plain_sort(spark):
     df = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.floor(F.sqrt("id") % 5).cast("string")).alias("source"))
-    placed = sharding.interleave(df, "source", ["doc_id"], slices=7, buckets=3).select("doc_id", "source", "_place").collect()
-    h = {r.doc_id: r.h for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(3)).alias("b"), F.xxhash64(F.lit(7), "doc_id").alias("x")).select("doc_id", F.struct("b", "x").alias("h")).collect()}
+    placed = sharding.interleave(df, "source", ["doc_id"], each=50).select("doc_id", "source", "_place").collect()
+    h = {r.doc_id: r.h for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(10)).alias("b"), F.xxhash64(F.lit(7), "doc_id").alias("x")).select("doc_id", F.struct("b", "x").alias("h")).collect()}
     by: dict = {}
     for r in placed:
         by.setdefault(r.source, []).append(r.doc_id)

@@ -46,6 +46,63 @@ def test_language_of_held_out_texts(letters):
     assert next(r for r in out if r.doc_id == 1004).lang_pred == "aa"
 
 
+def dense_vector(text, weigh):
+    """The weighted n-gram vector of a text, string by string; None without a letter."""
+    text = (text or "").lower()
+    if not any(x.isalpha() for x in text):
+        return None
+    s = " " + "".join(x if x.isalpha() else "\0" for x in text) + "\0"
+    while "\0\0" in s:
+        s = s.replace("\0\0", "\0")
+    s = s.replace("\0", " ")
+    if not text[-1].isalpha():  # the run of others at the end, and the end
+        s += " "
+    n = collections.Counter()
+    for size in (1, 2, 3):
+        for i in range(len(s) - size + 1):
+            h = 0
+            for k, x in enumerate(s[i : i + size]):
+                h = (h * 0xC2B2AE3D + ord(x) * 0x9E3779B1 + k) % 2**32
+            h = (h ^ h >> 15) * 0x85EBCA77 % 2**32
+            n[(h ^ h >> 13) % langid.DIMS] += 1
+    v = np.zeros(langid.DIMS)
+    for at, x in n.items():
+        v[at] = weigh(at, x)
+    return v
+
+
+def test_model_against_a_dense_one(letters):
+    """Document frequencies of all labelled texts, centroids that are the means of what is nearest to them, and labels
+    by the greatest cosine, computed anew."""
+    rows = [r for r in letters.select("doc_id", "text", "lang").distinct().collect() if r.doc_id != 1004]
+    docs = letters.where("doc_id <> 1004").dropDuplicates(["doc_id", "text"])
+    model = langid.fit(docs, per_lang=10**6, centroids=3, rounds=100)
+    learned = [r for r in rows if r.lang and r.doc_id is not None and dense_vector(r.text, lambda at, x: x) is not None]
+    df = sum((dense_vector(r.text, lambda at, x: 1) for r in learned), np.zeros(langid.DIMS))
+    idf = np.log((1 + len(learned)) / (1 + df)) + 1
+    assert np.allclose(model.idf, idf)
+    unit = lambda text: (lambda v: v / np.linalg.norm(v))(dense_vector(text, lambda at, x: (1 + math.log(x)) * idf[at]))
+    for k, lang in enumerate(model.langs):
+        x = np.stack([unit(r.text) for r in learned if r.lang == lang])
+        own = model.table[:, model.owner == k].T
+        near = np.argmax(x @ own.T, axis=1)
+        for c in range(len(own)):
+            mean = x[near == c].sum(axis=0)
+            assert np.allclose(own[c], mean / np.linalg.norm(mean), atol=1e-3)
+    for r in rows:
+        lang, score, _ = model.predict(r.text)
+        if (v := dense_vector(r.text, lambda at, x: (1 + math.log(x)) * idf[at])) is None:
+            assert (lang, score) == ("und", 0)
+        else:
+            cos = v @ model.table / np.linalg.norm(v)
+            assert lang == model.langs[model.owner[int(np.argmax(cos))]] and score == pytest.approx(min(1, max(0, cos.max())), abs=1e-5)
+
+
+def test_the_sample_is_bounded(letters):
+    model = langid.fit(letters, per_lang=40, max_texts=9)
+    assert len(model.langs) == 3 and model.table.shape[1] <= 9
+
+
 def test_prediction_uses_the_text_alone(letters):
     model = langid.fit(letters, per_lang=30)
     plain = langid.predict(letters, model).select("doc_id", "text", "lang_pred", "score")
@@ -123,6 +180,15 @@ def test_scores_keep_further_columns(docs, rows):
     assert len(nothing) == len(rows) and all(r.score == r.base_score == 0 and r.train_tokens == r.n_known == 0 for r in nothing)
 
 
+def test_a_source_that_changes_is_an_error(spark):
+    """Rows whose order changes between two reads, and with it the chunks."""
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.col("id") % 50, F.round(F.rand() * 1000)).alias("text"))
+    docs = docs.withColumn("text", F.concat("text", F.lit(" "), F.expr("uuid()")))
+    counter = spark.sparkContext.accumulator(0)
+    with pytest.raises(Exception, match="settle them first"):
+        lm.score(docs.mapInPandas(lambda it: (counter.add(1) or x.sample(frac=1) for x in it), "doc_id long, text string"), F.lit(True), chunk_tokens=100).collect()
+
+
 @given(st.lists(st.integers(0, (1 << 64) - 1)))
 def test_packed_numbers(x):
     assert lm._unpack(lm._pack(np.array(x, np.uint64))).tolist() == x

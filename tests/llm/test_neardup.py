@@ -87,12 +87,14 @@ def test_links_at_every_depth_of_the_index(spark, limit, leaf):
             fps.add(y)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     pairs = {p for p in itertools.combinations(sorted(fps), 2) if (p[0] ^ p[1]).bit_count() <= limit}
-    found = lambda df: [tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in simhash.links(df, limit, leaf).collect()]
-    got = found(spark.createDataFrame([(x, x % 7) for x in signed], "fp long, comp long"))
-    assert len(got) == len(set(got)) and set(got) == {p for p in pairs if len({(x - (1 << 64) if x >> 63 else x) % 7 for x in p}) == 2}
-    # without classes, pairs that connect the same
-    some = found(spark.createDataFrame([(x,) for x in signed], "fp long"))
-    assert union(some) == union(pairs) and len(some) <= len(fps) * (limit + 1) * (1 if leaf == 512 else limit + 1)
+    distinct = spark.createDataFrame([(x,) for x in signed], "fp long")
+    found = lambda **o: [tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in simhash.links(distinct, limit, leaf, **o).collect()]
+    every = found(few=10**9)
+    assert len(every) == len(set(every)) and set(every) == pairs
+    for options in ({}, {"few": 5, "stars": 3}):  # fewer pairs that connect the same
+        some = found(**options)
+        assert union(some) == union(pairs)
+        assert len(some) < len(pairs) or leaf < 512
 
 
 def test_fingerprints_and_components(docs, rows):
@@ -207,6 +209,12 @@ def test_line_dedup_returns_texts(docs, empty, spark):
     assert linededup.digest(empty).count() == 0 and linededup.dedup(empty).count() == 0
 
 
+def test_line_dedup_keeps_columns_named_like_those_used_inside(docs):
+    names = ["_d", "_t", "_lines", "_row", "lid", "line_no", "norm"]
+    out = linededup.dedup(docs.withColumns({c: F.lit(f"own {c}") for c in names}))
+    assert out.count() == docs.count() and all(r[c] == f"own {c}" for r in out.collect() for c in names)
+
+
 def test_lines_of_large_and_mixed_bands(spark):
     """Many variants of one line: no pairs are formed in their component, and what differs stays apart."""
     rng = random.Random(1)
@@ -219,7 +227,25 @@ def test_lines_of_large_and_mixed_bands(spark):
         rows.append((k, " ".join(x), None, None, None))
     out = {r.doc_id: r.n_removed for r in linededup.digest(spark.createDataFrame(rows, SCHEMA)).collect()}
     occ, groups = line_groups(rows)
-    assert sum(1 - v for v in out.values()) <= 1.05 * len(set(groups.values())) + 1
+    assert sum(1 - v for v in out.values()) == len(set(groups.values()))
+
+
+def test_lines_in_clusters_around_a_hub(spark):
+    """One line, 400 clusters 0.7 alike to it, two lines in each: all share bands with the hub, few are linked to it."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    hub = word(200)
+    lines = [hub] * 1
+    for _ in range(400):
+        at = rng.randrange(170)
+        x = hub[:at] + word(28) + hub[at + 28 :]
+        at = rng.randrange(195)
+        lines += [x, x[:at] + word(3) + x[at + 3 :]]
+    rows = [(k, x, None, None, None) for k, x in enumerate(lines)]
+    rng.shuffle(rows)
+    removed = sum(r.n_removed for r in linededup.digest(spark.createDataFrame(rows, SCHEMA)).collect())
+    occ, groups = line_groups(rows)
+    assert len(occ) == 801 and removed >= 0.99 * (801 - len(set(groups.values()))) and len(set(groups.values())) > 300
 
 
 def test_lines_of_templates_with_slots(spark):

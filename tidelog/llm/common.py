@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import shared_folder
+
 #: The characters that separate words, 0x20 and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -19,14 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the reliable checkpoint folder of the session.
 
-    The folder is what ``spark.checkpoint.dir`` names (shared by all executors on a cluster); only a session
+    The folder is what ``spark.checkpoint.dir`` names (shared by all executors on a cluster); only a local session
     without that setting, as in tests, gets one of its own. The files go when the frame is no longer referenced
     and ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

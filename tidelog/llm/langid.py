@@ -5,8 +5,9 @@ to ``DIMS`` places, weighted by 1 + ln(count) times inverse document frequency a
 language are clustered by spherical k-means; a text gets the language of the centroid with the highest cosine.
 ``rejected`` tells that the text is farther from it than nearly all texts the language was learned from.
 
-The model is fitted on at most ``per_lang`` labelled texts of each language (a stated, seeded sample); they are
-reduced to vectors where they are read, so what the driver gets is bounded by ``per_lang`` times the languages.
+Document frequencies are of all labelled texts, counted where they are read. The centroids are fitted on at most
+``per_lang`` texts of each language and ``max_texts`` in all (a stated, seeded sample); they are reduced to vectors where
+they are read, so what the driver gets is bounded by ``max_texts`` vectors. More than ``max_langs`` languages are refused.
 Every text is predicted whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text when there is
@@ -103,14 +104,37 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return centres
 
 
-def fit(labelled: DataFrame, per_lang: int = 1000, centroids: int = 4, rounds: int = 12, quantile: float = 0.002, max_langs: int = 500, seed: int = 5) -> Model:
-    """A model from ``labelled (doc_id, text, lang)``, of at most ``per_lang`` texts for each language."""
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many of ``texts (text)`` each n-gram place is, and how many have a letter."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(DIMS + 1, np.int64)
+        for batch in batches:
+            for text in batch.column("text"):
+                n = counts(text.as_py())
+                if n is not None:
+                    total[:DIMS] += n > 0
+                    total[DIMS] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
+
+    out = np.zeros(DIMS + 1, np.int64)
+    for r in texts.select("text").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out[:DIMS], int(out[DIMS])
+
+
+def fit(labelled: DataFrame, per_lang: int = 1000, max_texts: int = 20_000, centroids: int = 4, rounds: int = 12, quantile: float = 0.002, max_langs: int = 500, seed: int = 5) -> Model:
+    """A model from ``labelled (doc_id, text, lang)``; its centroids are of at most ``per_lang`` texts for each language and
+    ``max_texts`` in all."""
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(max_langs + 1).collect()}
     if len(sizes) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     if not sizes:
         return Model([], np.zeros(0, np.int64), np.zeros((DIMS, 0), np.float32), np.zeros(DIMS), np.zeros(0))
+    per_lang = max(1, min(per_lang, max_texts // len(sizes)))
+    df, total = document_frequencies(labelled)
     # thinned to little more than the sample by a seeded hash, then cut exactly
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     rate = F.create_map(*(F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, (per_lang + 6 * per_lang**0.5 + 20) / v))))
@@ -130,12 +154,8 @@ def fit(labelled: DataFrame, per_lang: int = 1000, centroids: int = 4, rounds: i
     by_lang: dict[str, list] = {}
     for r in thin.select("lang", "text").mapInArrow(vectors, "lang string, at binary, n binary").collect():
         by_lang.setdefault(r["lang"], []).append((r["at"], r["n"]))
-    df, total = np.zeros(DIMS), 0
     for rows in by_lang.values():
         rows.sort()
-        total += len(rows)
-        for at, _ in rows:
-            df[np.frombuffer(at, np.uint16)] += 1
     idf = np.log((1 + total) / (1 + df)) + 1
     langs, owner, columns, least = sorted(by_lang), [], [], []
     rng = np.random.default_rng(seed)

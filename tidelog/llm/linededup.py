@@ -8,7 +8,7 @@ with a probability of 99.3 %, more similar ones more surely.
 Lines that share a band are verified by the Jaccard similarity of their shingles: first against the line of the band
 that is there most often, then, in bands that still have lines of several components, all pairs of lines of different
 components, in blocks, so that no task gets a large band whole. Pairs with fewer
-than 11 equal values of 21 in their signatures aren't verified (at a similarity of 0.8 that is one in a thousand).
+than 9 equal values of 21 in their signatures aren't verified (at a similarity of 0.8 that is one in 30,000).
 Distributed union-find joins the verified pairs, and of each component the first line is kept (by doc_id, then line
 number). Links are thus found with a high probability, that of the signatures whatever the size of a band, and not
 with certainty; what is removed is always verified.
@@ -20,7 +20,7 @@ text are one document; lines are told apart by a 64-bit hash; an empty table giv
 from __future__ import annotations
 
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, settle
@@ -38,7 +38,7 @@ def shingle_hashes(units: str, k: int) -> Column:
 
 def _seeds(n: int) -> list[int]:
     """Fixed by a rule: the constants that make one hash into ``n`` orders."""
-    return [xxhash.xxh64_intdigest(k.to_bytes(4, "big")) for k in range(n)]
+    return [xxhash.xxh32_intdigest(k.to_bytes(4, "big")) - (1 << 31) for k in range(n)]
 
 
 def sketches(lines: DataFrame, shingle: int, n: int) -> DataFrame:
@@ -51,9 +51,8 @@ def sketches(lines: DataFrame, shingle: int, n: int) -> DataFrame:
     units = (F.octet_length("_u") / 2).cast("int")
     starts = lines.select("lid", F.encode("norm", "UTF-16BE").alias("_u"))
     starts = starts.select("lid", "_u", F.explode(F.sequence(F.lit(0), F.greatest(units - shingle, F.lit(0)))).alias("_i"))
-    h = starts.select("lid", "_i", F.xxhash64(F.substring("_u", 2 * F.col("_i") + 1, F.lit(2 * shingle))).alias("_h"))
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    least = [F.min(F.col("_h").bitwiseXOR(F.lit(signed(c)).cast("long"))).alias(f"_m{k}") for k, c in enumerate(_seeds(n))]
+    h = starts.select("lid", "_i", F.hash(F.substring("_u", 2 * F.col("_i") + 1, F.lit(2 * shingle))).alias("_h"))
+    least = [F.min(F.col("_h").bitwiseXOR(F.lit(c))).alias(f"_m{k}") for k, c in enumerate(_seeds(n))]
     times = F.count_if(F.col("_i") == 0).alias("times")
     return h.groupBy("lid").agg(times, *least).select("lid", "times", F.array(*(f"_m{k}" for k in range(n))).alias("sketch"))
 
@@ -65,11 +64,10 @@ def bands(sketch: DataFrame, rows: int, n_bands: int) -> DataFrame:
 
 def stars(keyed: DataFrame, key: str, *weights: str) -> DataFrame:
     """``keyed`` where two lines or more share a key, with their number ``n`` and ``pivot``: the line of the greatest
-    weight, as what others were made from is likely to be the line that most resemble or that is there most often."""
-    w = Window.partitionBy(key)
-    heaviest = F.max(F.struct(*weights, "lid")).over(w)
-    out = keyed.withColumns({"pivot": heaviest["lid"], "_a": F.min("lid").over(w), "_b": F.max("lid").over(w), "n": F.count(F.lit(1)).over(w)})
-    return out.where("_a <> _b").drop("_a", "_b")
+    weight, as what others were made from is likely to be the line that most resemble or that is there most often.
+    What is known of a key is summed before it is shuffled and joined back, so no task needs a key's lines together."""
+    of = keyed.groupBy(key).agg(F.max(F.struct(*weights, "lid")).alias("_p"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keyed.join(of.select(key, F.col("_p.lid").alias("pivot"), "n"), key)
 
 
 def crossing(rest: DataFrame, texts: DataFrame, least_alike: int, values: int, block: int = 1024) -> DataFrame:
@@ -82,7 +80,7 @@ def crossing(rest: DataFrame, texts: DataFrame, least_alike: int, values: int, b
     sizes = sizes.groupBy("band").agg(F.max(F.struct("_n", "comp")).alias("_k"), F.sum("_n").alias("_all"))
     blocks = lambda n: F.ceil(n / block).cast("int")
     sizes = sizes.select("band", F.col("_k.comp").alias("main"), blocks(F.col("_all") - F.col("_k._n")).alias("_rows"), blocks(F.col("_all")).alias("_cols"))
-    signs = texts.select("lid", *(F.get("sketch", F.lit(k)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias(f"_m{k}") for k in range(values)))
+    signs = texts.select("lid", *(F.get("sketch", F.lit(k)).alias(f"_m{k}") for k in range(values)))
     lines = settle(rest.where("lid <> pivot").select("band", "lid", "comp").join(sizes, "band").join(signs, "lid"))
 
     def side(of: DataFrame, x: str, own: str, other: str) -> DataFrame:
@@ -121,7 +119,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.select("_d", "_t", "line_no", F.xxhash64("norm").alias("lid"), "norm")
 
 
-def line_classes(docs: DataFrame, slim: DataFrame, shingle: int = 8, rows: int = 3, n_bands: int = 7, threshold: float = 0.8, least_alike: int = 11, broadcast_rows: int = 1_000_000) -> DataFrame:
+def line_classes(docs: DataFrame, slim: DataFrame, shingle: int = 8, rows: int = 3, n_bands: int = 7, threshold: float = 0.8, least_alike: int = 9, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``(node, component)`` of the line hashes that have near-duplicates. ``slim``: the occurrences, without text."""
     sketch = settle(sketches(occurrences(docs).select("lid", "norm"), shingle, rows * n_bands))
     shared = settle(stars(bands(sketch, rows, n_bands), "band", "times"))
@@ -164,11 +162,14 @@ def duplicate_lines(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with ``text`` less the lines that go, ``n_lines`` and ``removed``."""
-    out, gone = duplicate_lines(docs.drop("n_lines", "removed", "_d", "_t"), **options)
-    joined = out.join(gone, ["_d", "_t"], "left").withColumn("_lines", F.split("text", "\n"))
-    kept = F.filter("_lines", lambda x, i: ~F.array_contains(F.coalesce("removed", F.array().cast("array<int>")), i))
-    return joined.withColumn("text", F.array_join(kept, "\n")).drop("_d", "_t", "_lines")
+    """``docs`` with ``text`` less the lines that go, ``n_lines`` and ``removed``. Other columns stay; those named like the
+    results are replaced."""
+    rest = [c for c in docs.columns if c not in ("n_lines", "removed")]
+    out, gone = duplicate_lines(docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"), "doc_id", "text"), **options)
+    joined = out.join(gone, ["_d", "_t"], "left")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("removed", F.array().cast("array<int>")), i))
+    text = F.array_join(kept, "\n").alias("text")
+    return joined.select(*(text if c == "text" else F.col("_row")[c].alias(c) for c in rest), "n_lines", "removed")
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:

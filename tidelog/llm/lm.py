@@ -9,8 +9,9 @@ state of ``h'``, and so on down to the root, which has an arc for every word. Pr
 sum to one over the V seen words and one unseen. A text is scored in one traversal from left to right, which
 carries the state and sums the logarithms of what it passes.
 
-The automaton is never in one place. Texts are numbered once into chunks of about ``chunk_tokens`` tokens (documents stay
-whole), kept in the checkpoint folder. A chunk sends its distinct n-grams, with their training counts, to parts of
+The automaton is never in one place. Texts are numbered into chunks of about ``chunk_tokens`` tokens (documents stay
+whole), twice: to count and to score; a chunk that isn't the same both times is an error, so a source that changes
+order when it is read again is to be settled first. A chunk sends its distinct n-grams, with their training counts, to parts of
 the range of their hashes; a part adds up what all chunks say, about ``part_tokens`` tokens' worth of it at once, and
 returns to each chunk the totals of just its n-grams: the arcs and states its texts can touch. So the model grows with
 the corpus, memory doesn't, and an n-gram that a third of all texts have is one entry for each chunk. What is sent is
@@ -19,8 +20,8 @@ sorted and packed, some four bytes for an n-gram.
 Defined results: a null or blank text is the end token alone; unseen words are scored by the smoothing; a null
 doc_id counts as an empty one (and is in training); repeated rows count as often as they are there and get equal
 scores; with no training tokens every text gets the uniform smoothing of the unseen; no rows give no rows. Words are told
-apart by 64 bits of hash, longer n-grams by as many as leave less than one in a million that shares its hash with
-another (64 at most). Further columns stay; those named like the results are replaced.
+apart by 56 bits of hash, longer n-grams by as many as leave about one in 60,000 that shares its hash with
+another (62 at most). Further columns stay; those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -39,17 +40,19 @@ from .langid import fold
 
 ADD = 0.1
 #: The weight of the shorter history, in occurrences, after one word and after two; chosen on the held-out fold.
-PRIORS = (40.0, 8.0)
+PRIORS = (500.0, 4.0)
 #: Words hold no space, so these are the hashes of no word.
-END, START = np.uint64(xxhash.xxh64_intdigest(b" ")), np.uint64(xxhash.xxh64_intdigest(b"  "))
+END, START = (np.uint64(xxhash.xxh64_intdigest(x) >> 8) for x in (b" ", b"  "))
+#: Bits of the hash of a word.
+WORD = 56
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _Hashes(dict):
-    """The 64-bit hash of each word; the cache is emptied when it has grown large."""
+    """The hash of each word; the cache is emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word) >> 8
         if len(self) >= 200_000:
             self.clear()
         self[word] = h
@@ -121,7 +124,7 @@ class Chunk:
 
     def parts(self, bits: int) -> Iterator[tuple[int, slice, slice]]:
         """Where the words and keys of each part are."""
-        each = [[0, *np.searchsorted(x, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(width - bits)).tolist(), len(x)] for x, width in ((self.words, 64), (self.keys, self.width))]
+        each = [[0, *np.searchsorted(x, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(width - bits)).tolist(), len(x)] for x, width in ((self.words, WORD), (self.keys, self.width))]
         for p, (a, b, c, d) in enumerate(zip(each[0][:-1], each[0][1:], each[1][:-1], each[1][1:], strict=True)):
             if a < b or c < d:
                 yield p, slice(a, b), slice(c, d)
@@ -170,9 +173,10 @@ class Automaton:
 
 
 def _numbered(docs: DataFrame, size: int) -> DataFrame:
-    """Chunks ``(chunk, rest, sizes, train, vocabulary, tokens, n, n_train, starts)`` of ``docs (_rest, text, train)``, settled."""
+    """Chunks ``(chunk, mark, rest, sizes, train, vocabulary, tokens)`` of ``docs (_rest, text, train)``; ``mark`` is a hash
+    of what is in it."""
     rest_type = docs.schema["_rest"].dataType
-    schema = T.StructType([T.StructField("rest", T.ArrayType(rest_type)), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "train", "vocabulary", "tokens")), *(T.StructField(c, T.LongType()) for c in ("n", "n_train", "starts"))])
+    schema = T.StructType([T.StructField("rest", T.ArrayType(rest_type)), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "train", "vocabulary", "tokens"))])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -185,8 +189,8 @@ def _numbered(docs: DataFrame, size: int) -> DataFrame:
             place = np.empty(len(words), np.int64)
             place[order] = np.arange(len(words))
             its = pa.concat_arrays(rest)
-            columns = [pa.ListArray.from_arrays(pa.array([0, len(its)], pa.int32()), its), _pack(sizes), learn.tobytes(), _pack(np.diff(words[order], prepend=np.uint64(0))), _pack(place[at]), int(sizes.sum()), int(sizes[learn].sum()), int(learn.sum())]
-            kinds = [None, *[pa.binary()] * 4, *[pa.int64()] * 3]
+            columns = [pa.ListArray.from_arrays(pa.array([0, len(its)], pa.int32()), its), _pack(sizes), learn.tobytes(), _pack(np.diff(words[order], prepend=np.uint64(0))), _pack(place[at])]
+            kinds = [None, *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([c if k is None else pa.array([c], k) for c, k in zip(columns, kinds, strict=True)], names=schema.names)
 
         for batch in batches:
@@ -208,22 +212,25 @@ def _numbered(docs: DataFrame, size: int) -> DataFrame:
         if held:
             yield out()
 
-    return settle(docs.mapInArrow(number, schema).withColumn("chunk", F.monotonically_increasing_id()))
+    out = docs.mapInArrow(number, schema)
+    return out.withColumns({"chunk": F.monotonically_increasing_id(), "mark": F.xxhash64("sizes", "train", "vocabulary", "tokens")})
 
 
 def _totals(chunks: DataFrame, bits: int, width: int) -> DataFrame:
-    """``(chunk, part, words, longer, v)``: the training counts of a chunk's words and longer n-grams in a part, over all
-    chunks, in the order of their keys; ``v`` adds up to the number of seen words. There are 2 ** ``bits`` parts."""
-    sending = "chunk long, part long, words binary, n_words binary, keys binary, n_keys binary"
+    """``(chunk, mark, part, words, longer, v, n, starts)``: the training counts of a chunk's words and longer n-grams in a
+    part, over all chunks, in the order of their keys; the last three add up to the numbers of seen words, of training
+    tokens and of training documents. There are 2 ** ``bits`` parts."""
+    sending = "chunk long, mark long, part long, n long, starts long, words binary, n_words binary, keys binary, n_keys binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, *data in zip(*(batch.column(c) for c in ("chunk", "vocabulary", "tokens", "sizes", "train")), strict=True):
+            for name, mark, *data in zip(*(batch.column(c) for c in ("chunk", "mark", "vocabulary", "tokens", "sizes", "train")), strict=True):
                 chunk = Chunk(*(x.as_py() for x in data), width)
                 n_words, n_keys = chunk.counts()
                 gaps = lambda x: _pack(np.diff(x, prepend=np.uint64(0)))
-                rows = [(name.as_py(), p, gaps(chunk.words[w]), _pack(n_words[w]), gaps(chunk.keys[k]), _pack(n_keys[k])) for p, w, k in chunk.parts(bits)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=["chunk", "part", "words", "n_words", "keys", "n_keys"])
+                own = int(chunk.sizes[chunk.train].sum()), int(chunk.train.sum())
+                rows = [(name.as_py(), mark.as_py(), p, *((0, 0) if i else own), gaps(chunk.words[w]), _pack(n_words[w]), gaps(chunk.keys[k]), _pack(n_keys[k])) for i, (p, w, k) in enumerate(chunk.parts(bits))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 5 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=["chunk", "mark", "part", "n", "starts", "words", "n_words", "keys", "n_keys"])
 
     def summed(keys: list[bytes], counts: list[bytes]) -> tuple[list[bytes], int]:
         """The total of each key, for each of the lists; and how many keys have one."""
@@ -237,21 +244,22 @@ def _totals(chunks: DataFrame, bits: int, width: int) -> DataFrame:
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            chunk, part, words, n_words, keys, n_keys = zip(*held, strict=True)
+            chunk, mark, part, n, starts, words, n_words, keys, n_keys = zip(*held, strict=True)
             (to_words, v), (to_keys, _) = summed(words, n_words), summed(keys, n_keys)
-            return pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(part), pa.array(to_words, pa.binary()), pa.array(to_keys, pa.binary()), pa.array([v] + [0] * (len(held) - 1))], names=["chunk", "part", "words", "longer", "v"])
+            columns = [chunk, mark, part, to_words, to_keys, [v] + [0] * (len(held) - 1), n, starts]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i in (3, 4) else pa.int64()) for i, c in enumerate(columns)], names=["chunk", "mark", "part", "words", "longer", "v", "n", "starts"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][1] != row[1]:
+                if held and held[0][2] != row[2]:
                     yield out()
                     held = []
                 held.append(row)
         if held:
             yield out()
 
-    sent = chunks.select("chunk", "vocabulary", "tokens", "sizes", "train").mapInArrow(send, sending)
-    return settle(sent.repartition("part").sortWithinPartitions("part").mapInArrow(add, "chunk long, part long, words binary, longer binary, v long"))
+    sent = chunks.select("chunk", "mark", "vocabulary", "tokens", "sizes", "train").mapInArrow(send, sending)
+    return settle(sent.repartition("part").sortWithinPartitions("part").mapInArrow(add, "chunk long, mark long, part long, words binary, longer binary, v long, n long, starts long"))
 
 
 def score(docs: DataFrame, train: Column, text: str = "text", priors: tuple[float, float] = PRIORS, chunk_tokens: int = 700_000, part_tokens: int = 1_500_000) -> DataFrame:
@@ -261,10 +269,11 @@ def score(docs: DataFrame, train: Column, text: str = "text", priors: tuple[floa
     rest = [c for c in docs.columns if c not in (text, *results)]
     packed = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("_rest"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     chunks = _numbered(packed, chunk_tokens)
-    tokens, n, starts = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_train", "starts"))).first()
-    width = min(64, 23 + (3 * tokens).bit_length())
-    totals = _totals(chunks, max(0, -(-tokens // part_tokens) - 1).bit_length(), width)
-    v = totals.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
+    # sizes alone follow from this: a token for every six bytes, or more in texts of longer words
+    size = packed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) / 6 + F.count(F.lit(1))).first()[0]
+    width = min(64, 18 + int(3 * size).bit_length())
+    totals = _totals(chunks, int(size / part_tokens).bit_length(), width)
+    v, n, starts = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "n", "starts"))).first()
     rest_type = chunks.schema["rest"].dataType
     figures = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
     schema = T.StructType([T.StructField("rest", rest_type), *(T.StructField(c, T.ArrayType(k)) for c, k in figures)])
@@ -274,7 +283,9 @@ def score(docs: DataFrame, train: Column, text: str = "text", priors: tuple[floa
             for i in range(len(batch)):
                 of = lambda c, i=i, batch=batch: batch.column(c)[i].as_py()
                 chunk = Chunk(*map(of, ("vocabulary", "tokens", "sizes", "train")), width)
-                replies = sorted(of("replies"), key=lambda r: r["part"])
+                if (replies := of("replies")) is None:
+                    raise RuntimeError("the documents were not the same when they were read again: settle them first")
+                replies.sort(key=lambda r: r["part"])
                 auto = Automaton(chunk, *(np.concatenate([_unpack(r[c]) for r in replies]) for c in ("words", "longer")), n, v, starts, priors)
                 ends = (chunk.begin + chunk.sizes).tolist()
                 full = [auto.score(a, b) for a, b in zip(chunk.begin.tolist(), ends, strict=True)]
@@ -282,8 +293,8 @@ def score(docs: DataFrame, train: Column, text: str = "text", priors: tuple[floa
                 bounds = pa.array([0, len(full)], pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column("rest").slice(i, 1), *(pa.ListArray.from_arrays(bounds, pa.array(c)) for c in columns)], names=schema.names)
 
-    replies = totals.groupBy("chunk").agg(F.collect_list(F.struct("part", "words", "longer")).alias("replies"))
-    out = chunks.join(replies, "chunk").mapInArrow(traverse, schema)
+    replies = totals.groupBy("chunk", "mark").agg(F.collect_list(F.struct("part", "words", "longer")).alias("replies"))
+    out = chunks.join(replies, ["chunk", "mark"], "left").mapInArrow(traverse, schema)
     out = out.select(F.explode(F.arrays_zip("rest", *(c for c, _ in figures))).alias("x"))
     return out.select(*(F.col("x.rest")[c].alias(c) for c in rest), "x.n_tokens", "x.n_known", F.lit(n).cast("long").alias("train_tokens"), "x.base_score", "x.score")
 

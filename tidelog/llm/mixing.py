@@ -6,8 +6,8 @@ blocks of a seeded order of its documents: whole passes over the shard first, th
 start, round the end. A document takes the words of its that lie in chosen blocks.
 
 Sources, their sizes and the shards are tables of bounded size (``max_sources``, ``max_shards``); only these come
-to the driver. Documents are ordered inside a shard, which holds some 16,000 words or the input's share of a
-4,096th, so that no task grows with a source.
+to the driver. Documents are ordered inside a shard, which holds some 16,000 words, or one part in ``max_shards`` of
+all if that is more, so that no task grows with a source. More than ``max_sources`` sources are refused.
 
 Defined results: null and blank texts have size 0 and are not taken; a null source is a source (last in order);
 repeated rows are documents of their own; an empty table gives an empty mix. Reruns give the same rows.
@@ -64,14 +64,17 @@ def sainte_lague(shares: Sequence[float], seats: int) -> list[int]:
     return got.tolist()
 
 
-def mix(df: DataFrame, size: str = "size", source: str = "source", order: Sequence[str] = ("doc_id",), cycle: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: int = 11, max_sources: int = 100_000, max_shards: int = 4096, shard_words: int = 16_384, blocks: int = 1024) -> DataFrame:
+def mix(df: DataFrame, size: str = "size", source: str = "source", order: Sequence[str] = ("doc_id",), cycle: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: int = 11, max_sources: int = 100_000, max_shards: int = 100_000, shard_words: int = 16_384, blocks: int = 1024) -> DataFrame:
     """``df`` with ``source_size``, ``target`` (both of the row's source) and ``taken`` (words, with repeats).
 
     Weights repeat ``cycle`` over the sources by code point, null last. ``df`` is read three times, but for its
     last use only ``size``, ``source`` and ``order`` of it.
     """
-    spark = df.sparkSession
-    found = df.groupBy(source).agg(F.sum(size).alias("n")).limit(max_sources + 1).collect()
+    spark, keys = df.sparkSession, [f"_o{k}" for k in range(len(order))]
+    # columns of the caller's are kept in a struct, so that none can clash with those used here
+    kept = [c for c in df.columns if c not in ("source_size", "target", "taken")]
+    slim = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), F.col(f"`{size}`").alias("_size"), F.col(f"`{source}`").alias("_in"), *(F.col(f"`{c}`").alias(k) for c, k in zip(order, keys, strict=True)))
+    found = slim.groupBy("_in").agg(F.sum("_size").alias("n")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources; raise max_sources or group them first")
     found.sort(key=lambda r: (r[0] is None, r[0] or ""))
@@ -80,10 +83,9 @@ def mix(df: DataFrame, size: str = "size", source: str = "source", order: Sequen
     each = max(shard_words, -(-sum(sizes) // max_shards))
     parts = [max(1, n // each) for n in sizes]
     plan = spark.createDataFrame([(names[i], i, parts[i], sizes[i], goal[i]) for i in range(len(names))], "_source string, _no int, _parts int, source_size long, target double")
-    h = F.xxhash64(F.lit(seed), *order)
-    rows = df.join(F.broadcast(plan), F.col(source).eqNullSafe(F.col("_source"))).drop("_source").withColumn("_h", h)
+    rows = slim.join(F.broadcast(plan), F.col("_in").eqNullSafe(F.col("_source"))).drop("_source", "_in").withColumn("_h", F.xxhash64(F.lit(seed), *keys))
     rows = rows.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.col("_parts")).cast("int")).drop("_parts")
-    held = rows.groupBy("_no", "_shard").agg(F.sum(size).alias("n")).collect()
+    held = rows.groupBy("_no", "_shard").agg(F.sum("_size").alias("n")).collect()
     held.sort(key=lambda r: (r["_no"], r["_shard"]))
     block = max(1, each // blocks)
     quota = sainte_lague(goal, round(sum(goal) / block))
@@ -100,11 +102,12 @@ def mix(df: DataFrame, size: str = "size", source: str = "source", order: Sequen
             a, b = first * n // m, (first + run) * n // m  # in words; beyond n it goes on from the start
             shards.append((no, r["_shard"], passes, a, min(b, n), ((first + run - m) * n // m) if first + run > m else 0))
     chosen = spark.createDataFrame(shards, "_no int, _shard int, _passes int, _a long, _b long, _c long")
-    line = Window.partitionBy("_no", "_shard").orderBy("_h", *order, size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumn("_end", F.sum(size).over(line)).join(F.broadcast(chosen), ["_no", "_shard"])
-    start = F.col("_end") - F.col(size)
+    line = Window.partitionBy("_no", "_shard").orderBy("_h", *keys, "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.withColumn("_end", F.sum("_size").over(line)).join(F.broadcast(chosen), ["_no", "_shard"])
+    start = F.col("_end") - F.col("_size")
     part = F.greatest(F.lit(0), F.least("_end", "_b") - F.greatest(start, F.col("_a"))) + F.greatest(F.lit(0), F.least(F.col("_end"), F.col("_c")) - start)
-    return out.withColumn("taken", (F.col("_passes") * F.col(size) + part).cast("long")).drop("_no", "_shard", "_h", "_passes", "_a", "_b", "_c", "_end")
+    taken = (F.col("_passes") * F.col("_size") + part).cast("long")
+    return out.select(*(F.col("_row")[c].alias(c) for c in kept), "source_size", "target", taken.alias("taken"))
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
@@ -118,8 +121,7 @@ def resample(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 
     Only documents at the ends of a run of blocks are taken in part, so rounding moves a shard by a document.
     """
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all"), F.col("doc_id"), F.col("source"), n_words(F.col(text)).alias("_size"))
-    mixed = mix(rows, size="_size", **options)
-    copies = F.floor(F.col("taken") / F.greatest(F.col("_size"), F.lit(1)) + 0.5).cast("int")
-    out = mixed.withColumn("_copies", copies).where("_copies > 0").select("_all", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all"), F.col("doc_id"), F.col("source"), n_words(F.col(text)).alias("size"))
+    copies = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
+    out = mix(rows, **options).withColumn("_copies", copies).where("_copies > 0").select("_all", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
     return out.select(*(F.col("_all")[c].alias(c) for c in docs.columns))

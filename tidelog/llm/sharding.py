@@ -6,8 +6,8 @@ for rounding. Law: ``rows`` (counts of any two shards differ by one at most).
 
 Both orders are found without a global sort and without a task that grows with a source: a rank is the number of
 rows in the lower buckets of a uniform seeded hash plus the rank inside the bucket; the place in the interleaved
-order likewise, over equal slices of the fraction. Only the counts of buckets and slices are summed in one place,
-and their number is set by parameters, not by the rows.
+order likewise, over equal slices of the fraction. There are as many buckets and slices as make some ``each`` rows come
+to one, so no task grows with a source; only their counts are summed in one place.
 
 Defined results: null sources are a stratum; null texts count as empty; rows with equal order keys (equal id,
 size, checksum and source) are interchangeable, so repeated rows are dealt like any others; no rows give no rows.
@@ -28,11 +28,13 @@ def _offsets(counts: DataFrame, within: list[str], key: str, to: str) -> DataFra
     return counts.withColumn(to, F.sum("n").over(w.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
 
 
-def interleave(df: DataFrame, stratum: str, order: list[str], seed: int = 7, buckets: int = 512, slices: int = 4096) -> DataFrame:
-    """Adds ``_place`` (1 to the number of rows): the place in the interleaved order; and ``_total``.
+def interleave(df: DataFrame, stratum: str, order: list[str], seed: int = 7, each: int = 16_384) -> DataFrame:
+    """Adds ``_place`` (1 to the number of rows): the place in the interleaved order; and ``_total``. Columns of ``df`` with
+    a leading underscore may be replaced; see ``shard``.
 
     ``order`` names columns that tell rows of a stratum apart; the seeded hash is over them.
     """
+    buckets = slices = max(1, df.count() // each)
     h = F.xxhash64(F.lit(seed), *order)
     rows = df.withColumns({"_h": h, "_bucket": F.pmod(h, F.lit(buckets)).cast("int")})
     key = F.xxhash64(F.col(stratum).isNull(), stratum)
@@ -52,17 +54,20 @@ def interleave(df: DataFrame, stratum: str, order: list[str], seed: int = 7, buc
     return out.withColumn("_place", F.col("_at") + F.col("_start")).drop("_at", "_start", "_slice", "_r", "_n", "_h", "_stratum")
 
 
-def shard(df: DataFrame, shards: int = 16, stratum: str = "source", order: list[str] | None = None, seed: int = 7) -> DataFrame:
-    """``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard)."""
+def shard(df: DataFrame, shards: int = 16, stratum: str = "source", order: list[str] | None = None, seed: int = 7, each: int = 16_384) -> DataFrame:
+    """``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard). ``df`` is read twice."""
     order = order or ["doc_id"]
-    placed = interleave(df.drop("shard", "slot"), stratum, order, seed)
+    kept, keys = [c for c in df.columns if c not in ("shard", "slot")], [f"_o{k}" for k in range(len(order))]
+    # columns of the caller's are kept in a struct, so that none can clash with those used here
+    slim = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), F.col(f"`{stratum}`").alias("_in"), *(F.col(f"`{c}`").alias(k) for c, k in zip(order, keys, strict=True)))
+    placed = interleave(slim, "_in", keys, seed, each)
     base, extra = F.expr(f"_total div {shards}"), F.expr(f"_total % {shards}")
     placed = placed.withColumns({"_base": base, "_extra": extra, "_p": F.col("_place") - 1})
     long_rows = F.col("_extra") * (F.col("_base") + 1)
     in_long = F.col("_p") < long_rows
     shard_no = F.when(in_long, F.expr("_p div (_base + 1)")).otherwise(F.col("_extra") + F.expr("(_p - _extra * (_base + 1)) div greatest(_base, 1)"))
     slot = F.when(in_long, F.expr("_p % (_base + 1)")).otherwise(F.expr("(_p - _extra * (_base + 1)) % greatest(_base, 1)"))
-    return placed.withColumns({"shard": shard_no.cast("int"), "slot": slot.cast("long")}).drop("_place", "_total", "_base", "_extra", "_p")
+    return placed.select(*(F.col("_row")[c].alias(c) for c in kept), shard_no.cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
 def digest(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:

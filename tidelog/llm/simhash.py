@@ -122,8 +122,9 @@ def close_pairs(fps: np.ndarray, node: np.ndarray, limit: int, fan: int = 8) ->
     return order[i[apart]], order[j[apart]], looked
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the edges ``a`` to ``b`` among ``n`` connect, fewer than ``n``: stars around the least."""
+def forest(n: int, a: np.ndarray, b: np.ndarray, few: int = 1, stars: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the edges ``a`` to ``b`` among ``n`` connect: ``stars`` stars in each component, around the
+    least and around others drawn by a fixed rule; all its edges in a component of at most ``few``."""
     least = np.arange(n)
     while True:
         before = least.copy()
@@ -132,22 +133,27 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
         least = least[least]
         if (least == before).all():
             break
-    at = np.flatnonzero(least != np.arange(n))
-    return at, least[at]
-
-
-def _links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    small = np.bincount(least, minlength=n)[least[a]] <= few
+    left, right = [a[small]], [b[small]]
+    some = np.flatnonzero(np.bincount(least, minlength=n)[least] > few)
+    for k in range(stars):
+        rank = (np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 if k else 1)) >> np.uint64(8 * k)
+        order = some[np.lexsort((rank[some], least[some]))]
+        new = np.concatenate(([True], least[order][1:] != least[order][:-1])) if len(order) else np.zeros(0, bool)
+        centre = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+        left.append(order[order != centre])
+        right.append(centre[order != centre])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _links(batches: Iterator[pa.RecordBatch], limit: int, few: int, stars: int) -> Iterator[pa.RecordBatch]:
     """Links inside the nodes of a partition that is sorted by node, some nodes at a time."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     rest: tuple[np.ndarray, ...] | None = None
 
-    def within(node: np.ndarray, fp: np.ndarray, comp: np.ndarray | None = None) -> pa.RecordBatch:
+    def within(node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         i, j, _ = close_pairs(fp, node, limit)
-        if comp is None:
-            i, j = forest(len(fp), i, j)
-        else:
-            apart = comp[i] != comp[j]
-            i, j = i[apart], j[apart]
+        i, j = forest(len(fp), i, j, few, stars)
         a, b = fp[i].view(np.int64), fp[j].view(np.int64)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
@@ -167,21 +173,20 @@ def _links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordB
         yield within(*rest)
 
 
-def links(distinct: DataFrame, limit: int = 2, leaf: int = 512) -> DataFrame:
+def links(distinct: DataFrame, limit: int = 2, leaf: int = 512, few: int = 1, stars: int = 1) -> DataFrame:
     """``(a, b)``, a < b, of the distinct longs ``fp``: pairs that connect what all pairs with at most ``limit`` differing
-    bits connect. With a column ``comp``: every such pair whose ``comp`` differ."""
+    bits connect. Of what hangs together in a node, every pair up to ``few`` fingerprints and ``stars`` stars beyond."""
     parts = limit + 1
-    rest = [c for c in distinct.columns if c == "comp"]
     first = _cut(list(range(64)), parts)
     node = lambda path, mask: F.xxhash64(F.lit(path), F.col("fp").bitwiseAND(F.lit(_signed(mask)).cast("long")))
-    level = distinct.select("fp", *rest, F.explode(F.array(*(F.struct(F.lit(str(k)).alias("path"), F.lit(_signed(m)).cast("long").alias("mask"), node(str(k), m).alias("node")) for k, m in enumerate(first)))).alias("x")).select("fp", *rest, "x.path", "x.node")
+    level = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(str(k)).alias("path"), F.lit(_signed(m)).cast("long").alias("mask"), node(str(k), m).alias("node")) for k, m in enumerate(first)))).alias("x")).select("fp", "x.path", "x.node")
     masks = {str(k): m for k, m in enumerate(first)}
     found = None
     while True:
         level = settle(level)
         sizes = settle(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        ready = level.join(sizes.where(F.col("n") <= leaf), "node").select("node", "fp", *rest)
-        some = ready.repartition("node").sortWithinPartitions("node").mapInArrow(lambda it: _links(it, limit), "a long, b long").distinct()
+        ready = level.join(sizes.where(F.col("n") <= leaf), "node").select("node", "fp")
+        some = ready.repartition("node").sortWithinPartitions("node").mapInArrow(lambda it: _links(it, limit, few, stars), "a long, b long").distinct()
         found = some if found is None else found.unionByName(some)
         large = sizes.where(F.col("n") > leaf)
         if large.isEmpty():
@@ -198,7 +203,7 @@ def links(distinct: DataFrame, limit: int = 2, leaf: int = 512) -> DataFrame:
             here = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(_signed(m)).cast("long").alias("mask"), node(p, m).alias("node")) for p, m in new.items()))
             branches = here if path == next(iter(masks)) else F.when(F.col("path") == path, here).otherwise(branches)
         masks = cuts
-        level = level.join(large.select("node"), "node").select("fp", *rest, F.explode(branches).alias("x")).select("fp", *rest, "x.path", "x.node")
+        level = level.join(large.select("node"), "node").select("fp", F.explode(branches).alias("x")).select("fp", "x.path", "x.node")
 
 
 def mapping(slim: DataFrame, limit: int = 2) -> DataFrame:
@@ -251,13 +256,14 @@ def _print() -> Column:
     return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
 
 
-def keep_one(docs: DataFrame, limit: int = 6, shingle: int = 2, k: int = 5, threshold: float = 0.8, leaf: int = 1024, broadcast_rows: int = 200_000) -> DataFrame:
+def keep_one(docs: DataFrame, limit: int = 6, shingle: int = 2, k: int = 5, threshold: float = 0.8, leaf: int = 1024, few: int = 8, stars: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
     """The rows of ``docs``, one for each group of near-duplicates: texts connected by pairs that have at least
     ``threshold`` of their shingles of ``k`` words in common. SimHash proposes: fingerprints over runs of ``shingle`` words
     (shorter runs move fewer bits for a changed word) that differ in at most ``limit`` bits; the pairs are verified.
 
-    Two rounds, so that a large group isn't verified pair by pair: first a forest of the links, then all links between
-    texts that are still apart. Different texts of one fingerprint are compared with one of them.
+    A group that is proposed isn't verified pair by pair, which would cost its square: of fingerprints that hang together
+    in a node of the index, all links are verified up to ``few`` of them; in a larger group, the links of each to
+    ``stars`` others, in each node. Different texts of one fingerprint are compared with one of them.
 
     Of a group, the row of the smallest doc_id stays (those without come last; then the least MD5 of the text; of
     several rows equal in both, the one whose columns are least, in their order). Null texts count as empty, and texts
@@ -275,13 +281,8 @@ def keep_one(docs: DataFrame, limit: int = 6, shingle: int = 2, k: int = 5, thre
         return pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
 
     same = texts.join(reps, "fp").where("_t <> rep").select(F.least("_t", "rep").alias("a"), F.greatest("_t", "rep").alias("b"))
-    tried = settle(named(links(reps.select("fp"), limit, leaf)).unionByName(same))
-    good = settle(verified(tried, texts, read, k, threshold, broadcast_rows))
-    of = components(good)
-    apart = reps.join(of, reps["rep"] == of["node"], "left").select("fp", F.xxhash64(F.coalesce("component", "rep")).alias("comp"))
-    more = settle(named(links(settle(apart), limit, leaf)).join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        of = components(settle(good.unionByName(verified(more, texts, read, k, threshold, broadcast_rows))))
+    proposed = settle(named(links(reps.select("fp"), limit, leaf, few, stars)).unionByName(same))
+    of = components(settle(verified(proposed, texts, read, k, threshold, broadcast_rows)))
     mine = texts.join(of, texts["_t"] == of["node"], "left").withColumn("_class", F.coalesce("component", "_t"))
     firsts = mine.groupBy("_class").agg(F.min(F.struct(F.col("_first").isNull().alias("none"), "_first", "_t")).alias("_k"))
     # what is to be dropped: texts of which none stays, and rows of those that stay but are there several times
