@@ -150,3 +150,34 @@ def test_plans(spark, log, tmp_path):
 
 def test_event_defaults():
     assert Event("T") == Event("T", (), b"")
+
+
+def test_stored_index(spark, log, tmp_path):
+    from tidelog.operators.index import build_index, lookup
+
+    build_index(log, str(tmp_path / "index"), buckets=4)
+    for tags in ((), ("a",), ("b", "a", "a"), ("none",)):
+        found = {(r.commit_version, r.batch_index) for r in lookup(spark, str(tmp_path / "index"), tags, buckets=4).collect()}
+        assert found == {(r.commit_version, r.batch_index) for r in log.collect() if set(tags) <= set(r.tags)}
+    plan = lookup(spark, str(tmp_path / "index"), ("a",), ("T1",), pack_position(2, 0), buckets=4)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(subset_key" in plan
+
+
+def test_an_entry_without_its_event_is_an_error(log):
+    from tidelog.errors import EventNotFound
+    from tidelog.operators.index import fetched
+
+    entries = log.select("type_name", "commit_version", "batch_index")
+    assert len(fetched(entries, log)) == log.count()
+    gone = log.agg({"commit_version": "max"}).first()[0]
+    with pytest.raises(EventNotFound, match=f"{gone:020x}"):
+        fetched(entries, log.where(f"commit_version <> {gone}"))
+
+
+def test_entries_without_forming_all_subsets(spark, log):
+    from tidelog.operators.index import wanted_entries
+
+    wanted = spark.createDataFrame([(["a"],), ([],)], "tags array<string>")
+    for few in (1000, 0):  # beyond, all subsets
+        rows = wanted_entries(log, wanted, few).groupBy("_key").count().collect()
+        assert {r["_key"]: r["count"] for r in rows if r["_key"] in ("", "1:a")} == {"": log.count(), "1:a": log.where("array_contains(tags, 'a')").count()}

@@ -7,7 +7,7 @@ import time
 
 import pytest
 
-from tidelog.errors import AppendConditionFailed, CorruptRecord, InvalidQuery, ReservedTag
+from tidelog.errors import AppendConditionFailed, CommitContention, CorruptRecord, InvalidQuery, ReservedTag
 from tidelog.model import AppendCondition, Event, Query, QueryItem, ReadOptions, pack_position, unpack_position
 from tidelog.sources import HadoopFiles, LocalFiles, Store
 from tidelog.streaming import catch_up, tail
@@ -41,6 +41,19 @@ def test_limit_after_reverse(store):
     assert [bytes(r.position) for r in store.read(Query.of_types("T"), ReadOptions(2, reverse=True)).collect()] == [at[3], at[2]]
     assert [bytes(r.position) for r in store.read(Query.of_types("T"), ReadOptions(after=at[1])).collect()] == at[2:]
     assert [len(Store.events(p)) for p in store.pages(Query.of_types("T"), 3)] == [3, 1]
+    assert [len(Store.events(p)) for p in store.pages(Query.of_types("T"), 2, ReadOptions(after=at[0]))] == [2, 1]
+    for options in (ReadOptions(2), ReadOptions(reverse=True)):
+        with pytest.raises(ValueError, match="pages"):
+            next(store.pages(Query.of_types("T"), 3, options))
+
+
+def test_pages_are_of_one_snapshot(store):
+    for _ in range(3):
+        store.append([Event("T")])
+    pages = store.pages(Query.of_types("T"), 2)
+    first = Store.events(next(pages))
+    store.append([Event("T")])
+    assert len(first) == 2 and [len(Store.events(p)) for p in pages] == [1]
 
 
 def test_conditions(store):
@@ -233,3 +246,95 @@ def test_hadoop_files(spark, tmp_path):
     assert unpack_position(other.append([Event("T")])) == (1, 0) and types(other.read_all()) == ["T"]
     with pytest.raises(AppendConditionFailed):
         other.append([Event("T")], [AppendCondition(Query.of_types("T"))])
+
+
+def _log(spark, n):
+    from tidelog.model import LOG
+
+    return spark.createDataFrame([(k // 4 + 1, k % 4, "Old", [], b"") for k in range(n)], LOG)
+
+
+def test_a_writer_between_the_check_and_the_publishing_of_a_load(spark, store, tmp_path):
+    """The load loses, and what was appended stays."""
+    other, publish = Store(spark, str(tmp_path), "ns"), store._publish
+
+    def late(staged, version, txn):
+        other.append([Event("First")])
+        return publish(staged, version, txn)
+
+    store._publish = late
+    with pytest.raises(CommitContention):
+        store.load(_log(spark, 16))
+    assert types(store.read_all()) == ["First"] == types(other.read_all()) and os.listdir(store.base) == ["commit_version=1"]
+
+
+def test_a_load_counts_from_when_it_has_its_version(spark, store, tmp_path):
+    """It stops before its range is in its place: whoever comes next, to read, append or stream, finishes it."""
+    store._finish_load = lambda: None
+    assert store.load(_log(spark, 16)) == 4
+    other = Store(spark, str(tmp_path), "ns")
+    streamed = []
+    from tidelog.streaming.source import _Reader
+
+    assert _Reader({"path": store.base}).latestOffset() == {"version": 0}
+    assert unpack_position(other.append([Event("New")], [AppendCondition(Query.of_types("New"))])) == (5, 0)
+    assert types(other.read_all()) == ["Old"] * 16 + ["New"] == types(Store(spark, str(tmp_path), "ns").read_all())
+    tail(other, Query.of_types("Old", "New"), lambda rows, _: streamed.extend(types(rows)), str(tmp_path / "checkpoint"), once=True).awaitTermination()
+    assert streamed == ["Old"] * 16 + ["New"]
+    with pytest.raises(ValueError, match="commits"):
+        other.load(_log(spark, 4))
+
+
+def test_loads_race_with_appends(spark, tmp_path):
+    for k in range(4):
+        wins = []
+
+        def run(what, call, wins=wins):
+            try:
+                call()
+                wins.append(what)
+            except (CommitContention, ValueError):
+                pass
+
+        ns = f"race{k}"
+        calls = [("load", lambda ns=ns: Store(spark, str(tmp_path), ns).load(_log(spark, 8)))] * 2 + [("append", lambda ns=ns: Store(spark, str(tmp_path), ns).append([Event("A")]))] * 3
+        threads = [threading.Thread(target=run, args=c) for c in calls]
+        [t.start() for t in threads]
+        [t.join() for t in threads]
+        assert wins.count("append") == 3 and wins.count("load") <= 1
+        assert sorted(types(Store(spark, str(tmp_path), ns).read_all())) == ["A"] * 3 + ["Old"] * (8 * wins.count("load"))
+
+
+def test_conditions_read_only_what_is_after_them(store, monkeypatch):
+    at = [store.append([Event("T", (f"k:{k}",))]) for k in range(6)]
+    read, log = [], Store.log
+
+    def seen(self, snapshot=None, after=0):
+        read.append([v for v in snapshot.commits if v > after])
+        return log(self, snapshot, after)
+
+    monkeypatch.setattr(Store, "log", seen)
+    store.append([Event("X")], [AppendCondition(Query.of_types("None"), at[4])])
+    store.append([Event("X")], [AppendCondition(Query.of_types("None"), at[4]), AppendCondition(Query.of_types("None"), at[2])])
+    assert read == [[5, 6], [3, 4, 5, 6, 7]]
+    with pytest.raises(AppendConditionFailed):
+        store.append([Event("X")], [AppendCondition(Query.of_types("X"), at[5])])
+    store.append([Event("X")], [AppendCondition(Query.of_types("T"), b"\xff" * 12)])
+    assert len(read) == 3
+
+
+def test_listing_is_extended_by_later_versions(store, spark, tmp_path):
+    other = Store(spark, str(tmp_path), "ns")
+    store.append([Event("A")], [AppendCondition(Query.of_types("A"))])
+    other.append([Event("B")])
+    other.compact()
+    with pytest.raises(AppendConditionFailed):
+        store.append([Event("C")], [AppendCondition(Query.of_types("B"))])
+    assert unpack_position(store.append([Event("C")], [AppendCondition(Query.of_types("C"))]))[0] == 3
+
+
+def test_streams_of_remote_folders_are_refused():
+    from tidelog.streaming.source import _Reader
+
+    with pytest.raises(ValueError, match="mounted"):
+        _Reader({"path": "hdfs://nn/ns"})

@@ -59,7 +59,7 @@ def append_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
         try:
             rows.append((k, "appended", store.append([Event("Checked", (f"step:{k}",))], [condition]).hex()))
         except AppendConditionFailed as e:
-            rows.append((k, type(e).__name__, None))
+            rows.append((k, type(e).__name__, ""))
     return spark.createDataFrame(rows, "step long, outcome string, position string")
 
 
@@ -109,7 +109,7 @@ def cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.set_cursor("caught up", pack_position(41, 3))
     handled: list[int] = []
     n = catch_up(store, "caught up", Query.of_types("click"), lambda rows: handled.append(rows.count()), page=700)
-    rows = [(name, at.hex() if (at := store.get_cursor(name)) else None, None) for name in ("never", "set", "back")]
+    rows = [(name, at.hex() if (at := store.get_cursor(name)) else "none", 0) for name in ("never", "set", "back")]
     rows.append(("caught up", store.get_cursor("caught up").hex(), n if n == sum(handled) else -1))
     return spark.createDataFrame(rows, "name string, position string, n_handled long")
 
@@ -221,14 +221,14 @@ f AS (SELECT step, bool_or(EXISTS (SELECT 1 FROM log WHERE (v > v0 OR (v = v0 AN
   UNION ALL SELECT 5, true),
 n AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (ORDER BY step) AS k FROM f)
 SELECT step::BIGINT AS step, CASE WHEN failed THEN 'AppendConditionFailed' ELSE 'appended' END AS outcome,
-  CASE WHEN NOT failed THEN printf('%020x%04x', (high + k)::BIGINT, 0) END AS position FROM n, high""",
+  CASE WHEN failed THEN '' ELSE printf('%020x%04x', (high + k)::BIGINT, 0) END AS position FROM n, high""",
     "append_round_trip": f"""{_SHIFTED} SELECT position, type_name, array_to_string(t, '|') AS tags, data FROM log
 UNION ALL SELECT printf('%020x%04x', high + 1, k), 'Batch', 'n:' || k || '|b|a|b', k::VARCHAR FROM high, range(5) r(k)
 UNION ALL SELECT printf('%020x%04x', high + 2, 0), 'Last', '', '' FROM high""",
     "append_retry": f"{_SHIFTED} SELECT printf('%020x%04x', high + k, 0) AS position, type_name, '' AS tags, '' AS data FROM high, (VALUES (1, 'Rival'), (2, 'Mine'), (3, 'Once')) x(k, type_name)",
     "store_pages": f"{_SHIFTED}, m AS (SELECT position, (row_number() OVER (ORDER BY position) - 1) // 500 AS page FROM log WHERE type_name = 'click' AND (v > 41 OR (v = 41 AND i > 3))) SELECT page::BIGINT AS page, count(*)::BIGINT AS n_events, max(position) AS last_position FROM m GROUP BY page",
-    "cursors": f"""{_SHIFTED} SELECT 'never' AS name, NULL AS position, NULL::BIGINT AS n_handled UNION ALL SELECT 'set', printf('%020x%04x', 41, 3), NULL
-UNION ALL SELECT 'back', printf('%020x%04x', 1, 0), NULL
+    "cursors": f"""{_SHIFTED} SELECT 'never' AS name, 'none' AS position, 0::BIGINT AS n_handled UNION ALL SELECT 'set', printf('%020x%04x', 41, 3), 0
+UNION ALL SELECT 'back', printf('%020x%04x', 1, 0), 0
 UNION ALL SELECT 'caught up', max(position), count(*)::BIGINT FROM log WHERE type_name = 'click' AND (v > 41 OR (v = 41 AND i > 3))""",
     "watches": "SELECT step, fired FROM (VALUES ('armed', false), ('appended', true), ('armed again', false)) x(step, fired)",
     "stream_tail": f"""{_SHIFTED} SELECT position, type_name, array_to_string(t, '|') AS tags, data FROM log WHERE type_name = 'click' AND list_contains(t, 'k:7')
