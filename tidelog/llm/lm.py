@@ -110,11 +110,14 @@ class Chunk:
         first[self.begin] = True
         self.third = np.flatnonzero(~first)
         order = np.argsort(words)
-        place = np.empty(len(words), np.int64)
+        place = np.empty(len(words), np.int32)
         place[order] = np.arange(len(words))
         self.words, self.word_at = words[order], place[no]
         pair, triple = ngrams(words[no], first, width)
-        self.keys, self.at = np.unique(np.concatenate((pair, triple[self.third])), return_inverse=True)
+        keys = np.concatenate((pair, triple[self.third]))
+        del no, pair, triple  # a chunk is the largest thing that a worker holds
+        self.keys, at = np.unique(keys, return_inverse=True)
+        self.at = at.astype(np.int32)
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences of each word and key in training."""
@@ -262,7 +265,7 @@ def _totals(chunks: DataFrame, bits: int, width: int) -> DataFrame:
     return settle(sent.repartition("part").sortWithinPartitions("part").mapInArrow(add, "chunk long, mark long, part long, words binary, longer binary, v long, n long, starts long"))
 
 
-def score(docs: DataFrame, train: Column, text: str = "text", priors: tuple[float, float] = PRIORS, chunk_tokens: int = 700_000, part_tokens: int = 1_500_000) -> DataFrame:
+def score(docs: DataFrame, train: Column, text: str = "text", priors: tuple[float, float] = PRIORS, chunk_tokens: int = 350_000, part_tokens: int = 1_500_000) -> DataFrame:
     """``docs`` without its text, with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``, by the model of
     the rows for which ``train`` is true."""
     results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -256,7 +256,7 @@ def _print() -> Column:
     return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
 
 
-def keep_one(docs: DataFrame, limit: int = 6, shingle: int = 2, k: int = 5, threshold: float = 0.8, leaf: int = 1024, few: int = 8, stars: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
+def keep_one(docs: DataFrame, limit: int = 7, shingle: int = 2, k: int = 5, threshold: float = 0.8, leaf: int = 2048, few: int = 8, stars: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
     """The rows of ``docs``, one for each group of near-duplicates: texts connected by pairs that have at least
     ``threshold`` of their shingles of ``k`` words in common. SimHash proposes: fingerprints over runs of ``shingle`` words
     (shorter runs move fewer bits for a changed word) that differ in at most ``limit`` bits; the pairs are verified.
