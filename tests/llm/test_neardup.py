@@ -169,7 +169,9 @@ def line_groups(rows, k=8, threshold=0.8):
     return occ, groups
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("options", [{}, {"chunk": 300, "group": 3, "max_bits": 1, "broadcast_rows": 0}], ids=str)
+def test_lines(spark, options):
+    """Also in small chunks, with bands cut into blocks, and with lines joined with the bands instead of marked."""
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
     base = [" ".join(word() for _ in range(rng.randint(12, 40))) for _ in range(40)]
@@ -189,7 +191,7 @@ def test_lines(spark):
             lines.append(x)
         rows.append((k, "\n".join([*lines, "", " "]), None, None, None))
     rows += [(100, None, None, None, None), (101, "", None, None, None), (102, "aaaaaaaaaaaaaaaaaaaa\nab\nab\nAB", None, None, None), (3, rows[3][1], "x", "y", 1)]
-    out = {r.doc_id: r for r in linededup.digest(spark.createDataFrame(rows, SCHEMA).withColumn("removed", F.lit("old"))).collect()}
+    out = {r.doc_id: r for r in linededup.digest(spark.createDataFrame(rows, SCHEMA).withColumn("removed", F.lit("old")), **options).collect()}
     occ, groups = line_groups(rows)
     first, gone = {}, {}
     for r, n, x in occ:

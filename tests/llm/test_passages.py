@@ -93,7 +93,7 @@ def cut(rows, n=20):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk_words": 300}, {"chunk_words": 50, "max_bits": 1}, {"chunk_words": 50, "group": 2}, {"chunk_words": 300, "least_hot": 0, "max_hot": 10**9}], ids=str)
+@pytest.mark.parametrize("options", [{}, {"chunk_words": 300}, {"chunk_words": 50, "max_bits": 1, "broadcast_spans": 0}, {"chunk_words": 50, "group": 2}, {"chunk_words": 300, "least_hot": 0, "max_hot": 10**9}], ids=str)
 def test_substrings(docs, rows, options):
     """Also with places joined instead of marked, with groups that are too large, and with every anchor a hot one."""
     some = [r for r in rows if r[0] is not None]

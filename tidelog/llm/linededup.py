@@ -1,148 +1,258 @@
-"""Fuzzy line dedup by MinHash, in DataFrame functions alone.
+"""Fuzzy line dedup by MinHash.
 
 Lines are the parts of a text between line feeds, compared trimmed and in lower case; blank lines are kept. A
 line's shingles are its runs of ``shingle`` characters (UTF-16 units; a shorter line is its own). A signature has
 the least shingle hash in each of 21 orders, in seven bands of three: a pair at a similarity of 0.8 shares a band
 with a probability of 99.3 %, more similar ones more surely.
 
-Lines that share a band are verified by the Jaccard similarity of their shingles: first against the line of the band
-that is there most often, then, in bands that still have lines of several components, all pairs of lines of different
-components, in blocks, so that no task gets a large band whole. Pairs with fewer
-than 9 equal values of 21 in their signatures aren't verified (at a similarity of 0.8 that is one in 30,000).
+Lines that share a band meet in a task and are verified there by the Jaccard similarity of their shingles (told apart
+by 64-bit hashes): first with one line of the band, then all that are still in different components, each pair in the
+first band that it shares. Only links that join two components are given out, so what comes of a band is at most its
+number of lines, though the comparisons of lines that are alike but not alike enough grow with their square. Pairs with
+fewer than 9 equal values of 21 in their signatures aren't verified (at a similarity of 0.8 that is one in 30,000).
 Distributed union-find joins the verified pairs, and of each component the first line is kept (by doc_id, then line
 number). Links are thus found with a high probability, that of the signatures whatever the size of a band, and not
 with certainty; what is removed is always verified.
 
+What bounds it: a task works on chunks of ``chunk`` characters, or one longer document; equal lines of a chunk are one.
+Bands with lines of two kinds are marked in a bit table sized by their number, broadcast up to ``max_bits``; beyond,
+the lines are joined with them. A band with more than ``group`` lines is cut into blocks, and every pair of blocks is a
+group of its own, so no task gets a large band whole.
+
+This is not in DataFrame functions alone: in that form the verification of pairs by higher-order functions took most of
+the time, and the pairs were rows (README has the figures). No user function is called for a row.
+
 Defined results: null texts have one blank line; documents without a doc_id come last; rows equal in doc_id and
 text are one document; lines are told apart by a 64-bit hash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, settle
 from .components import components
+from .substring import mark
 
 _LAST = (1 << 63) - 1
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def shingle_hashes(units: str, k: int) -> Column:
-    """Distinct hashes of the runs of ``k`` units; ``units`` is a column in UTF-16BE."""
-    n = (F.octet_length(units) / 2).cast("int")
-    runs = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(F.substring(units, 2 * i + 1, F.lit(2 * k))))
-    return F.array_distinct(F.when(n >= k, runs).otherwise(F.array(F.xxhash64(units))))
-
-
-def _seeds(n: int) -> list[int]:
-    """Fixed by a rule: the constants that make one hash into ``n`` orders."""
-    return [xxhash.xxh32_intdigest(k.to_bytes(4, "big")) - (1 << 31) for k in range(n)]
-
+def normal(line: str) -> str:
+    return line.strip(SPACES).lower()
 
-def sketches(lines: DataFrame, shingle: int, n: int) -> DataFrame:
-    """``(lid, times, sketch)`` of ``lines (lid, norm)``, each line once: how often it is there, and the least
-    shingle hash in each of ``n`` orders.
 
-    A row for each shingle and a minimum for each order: unlike higher-order functions, all of it is compiled, and
-    equal lines are combined before the shuffle.
-    """
-    units = (F.octet_length("_u") / 2).cast("int")
-    starts = lines.select("lid", F.encode("norm", "UTF-16BE").alias("_u"))
-    starts = starts.select("lid", "_u", F.explode(F.sequence(F.lit(0), F.greatest(units - shingle, F.lit(0)))).alias("_i"))
-    h = starts.select("lid", "_i", F.hash(F.substring("_u", 2 * F.col("_i") + 1, F.lit(2 * shingle))).alias("_h"))
-    least = [F.min(F.col("_h").bitwiseXOR(F.lit(c))).alias(f"_m{k}") for k, c in enumerate(_seeds(n))]
-    times = F.count_if(F.col("_i") == 0).alias("times")
-    return h.groupBy("lid").agg(times, *least).select("lid", "times", F.array(*(f"_m{k}" for k in range(n))).alias("sketch"))
+def line_hash(norm: str) -> int:
+    return xxhash.xxh64_intdigest(norm.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def bands(sketch: DataFrame, rows: int, n_bands: int) -> DataFrame:
-    each = [F.xxhash64(F.lit(b), *(F.get("sketch", F.lit(b * rows + r)) for r in range(rows))) for b in range(n_bands)]
-    return sketch.select("lid", "times", F.explode(F.array(*each)).alias("band"))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _B
+    return x ^ (x >> np.uint64(29))
 
 
-def stars(keyed: DataFrame, key: str, *weights: str) -> DataFrame:
-    """``keyed`` where two lines or more share a key, with their number ``n`` and ``pivot``: the line of the greatest
-    weight, as what others were made from is likely to be the line that most resemble or that is there most often.
-    What is known of a key is summed before it is shuffled and joined back, so no task needs a key's lines together."""
-    of = keyed.groupBy(key).agg(F.max(F.struct(*weights, "lid")).alias("_p"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return keyed.join(of.select(key, F.col("_p.lid").alias("pivot"), "n"), key)
+def shingles(norms: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the shingles of all lines, and where each line's begin. A line shorter than ``k`` units is filled up."""
+    units = [x.encode("utf-16-le", "surrogatepass").ljust(2 * k, b"\xff") for x in norms]
+    sizes = np.fromiter(map(len, units), np.int64, len(units)) // 2
+    flat = np.frombuffer(b"".join(units), np.uint16).astype(np.uint64)
+    h = flat[: len(flat) - k + 1].copy()
+    for i in range(1, k):
+        h *= _A
+        h += flat[i : len(flat) - k + 1 + i]
+    line = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    h = _mixed(h[line[: len(h)] == line[k - 1 :]])
+    counts = sizes - k + 1
+    return h, np.cumsum(counts) - counts
 
 
-def crossing(rest: DataFrame, texts: DataFrame, least_alike: int, values: int, block: int = 1024) -> DataFrame:
-    """``(a, b)``: all pairs of ``rest (band, lid, pivot, comp)`` that share a band, are of different components and
-    have at least ``least_alike`` equal values of ``values`` in their sketches; not those with the band's pivot.
+class Signatures:
+    """MinHash signatures of lines, and their bands."""
 
-    The lines outside the largest component of a band meet all its lines, in blocks of about ``block`` by ``block``.
-    """
-    sizes = rest.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.groupBy("band").agg(F.max(F.struct("_n", "comp")).alias("_k"), F.sum("_n").alias("_all"))
-    blocks = lambda n: F.ceil(n / block).cast("int")
-    sizes = sizes.select("band", F.col("_k.comp").alias("main"), blocks(F.col("_all") - F.col("_k._n")).alias("_rows"), blocks(F.col("_all")).alias("_cols"))
-    signs = texts.select("lid", *(F.get("sketch", F.lit(k)).alias(f"_m{k}") for k in range(values)))
-    lines = settle(rest.where("lid <> pivot").select("band", "lid", "comp").join(sizes, "band").join(signs, "lid"))
+    def __init__(self, rows: int, n_bands: int) -> None:
+        self.rows, self.n_bands = rows, n_bands
+        # fixed by a rule: the constants that make one hash into many orders
+        self.orders = [np.uint32(xxhash.xxh32_intdigest(k.to_bytes(4, "big"))) for k in range(rows * n_bands)]
 
-    def side(of: DataFrame, x: str, own: str, other: str) -> DataFrame:
-        place = F.pmod(F.xxhash64("lid"), F.col(own)).cast("int")
-        to = of.withColumns({own: place, other: F.explode(F.sequence(F.lit(0), F.col(other) - 1))})
-        return to.select("band", "_rows", "_cols", F.col("lid").alias(x), F.col("comp").alias(f"_{x}"), (F.col("comp") == F.col("main")).alias(f"_main_{x}"), *(F.col(f"_m{k}").alias(f"_{x}{k}") for k in range(values)))
+    def of(self, norms: list[str], k: int) -> np.ndarray:
+        h, begin = shingles(norms, k)
+        h = (h >> np.uint64(32)).astype(np.uint32)
+        return np.stack([np.minimum.reduceat(h ^ c, begin) for c in self.orders], axis=1)
 
-    both = side(lines.where("comp <> main"), "a", "_rows", "_cols").join(side(lines, "b", "_cols", "_rows"), ["band", "_rows", "_cols"])
-    alike = sum((F.col(f"_a{k}") == F.col(f"_b{k}")).cast("int") for k in range(values))
-    both = both.where("_a <> _b AND (_main_b OR a > b)").select("a", "b", _only(alike >= least_alike))
-    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    def bands(self, signs: np.ndarray) -> np.ndarray:
+        """A key for each band of each signature, which no two bands share but by chance."""
+        out = np.empty((len(signs), self.n_bands), np.uint64)
+        for b in range(self.n_bands):
+            x = np.full(len(signs), b + 1, np.uint64)
+            for r in range(self.rows):
+                x = _mixed(x * _A + signs[:, b * self.rows + r])
+            out[:, b] = x
+        return out.view(np.int64)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float, least_alike: int) -> DataFrame:
-    """The ``pairs (a, b)`` whose lines have at least ``threshold`` of their shingles in common. Pairs with fewer than
-    ``least_alike`` equal values in their sketches aren't looked at."""
-    signs = lambda x: texts.select(F.col("lid").alias(x), F.col("sketch").alias(f"_{x}"))
-    alike = F.size(F.filter(F.zip_with("_a", "_b", lambda x, y: x == y), lambda e: e))
-    some = pairs.join(signs("a"), "a").join(signs("b"), "b").select("a", "b", _only(alike >= least_alike)).select("a", "b")
-    side = lambda x: texts.select(F.col("lid").alias(x), F.encode("norm", "UTF-16BE").alias(f"_{x}"))
-    both = some.join(side("a"), "a").join(side("b"), "b").select("a", "b", shingle_hashes("_a", shingle).alias("_a"), shingle_hashes("_b", shingle).alias("_b"))
-    both = both.select("a", "b", F.size(F.array_intersect("_a", "_b")).alias("_i"), (F.size("_a") + F.size("_b")).alias("_n"))
-    return both.select("a", "b", _only(F.col("_i") >= threshold * (F.col("_n") - F.col("_i")) - 1e-9)).select("a", "b")
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str]]:
+    for batch in batches:
+        for d, t, text in zip(batch.column("_d").to_pylist(), batch.column("_t").to_pylist(), batch.column("text"), strict=True):
+            yield d, t, text.as_py() or ""
 
 
-def _only(condition: Column) -> Column:
-    """Keeps the rows that fulfil the condition, as a generator: a filter would be pushed down into joins, which
-    would compute its expressions again, and uncompiled."""
-    return F.explode(F.when(condition, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))).alias("_ok")
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[str]]:
+    """The different lines of some documents, without the blank one."""
+    seen: dict[str, None] = {}
+    n = 0
+    for _, _, text in _texts(batches):
+        seen.update(dict.fromkeys(map(normal, text.split("\n"))))
+        n += len(text)
+        if n >= size:
+            seen.pop("", None)
+            if seen:
+                yield list(seen)
+            seen, n = {}, 0
+    seen.pop("", None)
+    if seen:
+        yield list(seen)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``(_d, _t, line_no, lid, norm)`` of ``docs (_d, _t, text)``, without blank lines."""
-    lines = docs.select("_d", "_t", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "_line"))
-    lines = lines.select("_d", "_t", "line_no", F.lower(F.btrim("_line", F.lit(SPACES))).alias("norm")).where("norm <> ''")
-    return lines.select("_d", "_t", "line_no", F.xxhash64("norm").alias("lid"), "norm")
-
-
-def line_classes(docs: DataFrame, slim: DataFrame, shingle: int = 8, rows: int = 3, n_bands: int = 7, threshold: float = 0.8, least_alike: int = 9, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """``(node, component)`` of the line hashes that have near-duplicates. ``slim``: the occurrences, without text."""
-    sketch = settle(sketches(occurrences(docs).select("lid", "norm"), shingle, rows * n_bands))
-    shared = settle(stars(bands(sketch, rows, n_bands), "band", "times"))
-    wanted = settle(shared.select("lid").distinct())
-    # the text of each wanted line, from the first document that has it
-    few = F.broadcast if wanted.count() <= broadcast_rows else lambda x: x
-    at = settle(slim.join(few(wanted), "lid").groupBy("lid").agg(F.min(F.struct("_d", "_t", "line_no")).alias("at")).select("lid", "at.*"))
-    homes = docs.join(few(at.select("_d", "_t").distinct()), ["_d", "_t"], "left_semi")
-    norms = occurrences(homes).select("_d", "_t", "line_no", "norm").join(few(at), ["_d", "_t", "line_no"]).select("lid", "norm").dropDuplicates(["lid"])
-    texts = settle(norms.join(sketch.join(few(wanted), "lid"), "lid"))
-    check = lambda pairs: verified(pairs, texts, shingle, threshold, least_alike)
-
-    pairs = shared.where("lid <> pivot").select(F.col("lid").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = settle(check(pairs))
-    of = components(links)
-    # what is left: bands with lines of several components
-    named = settle(shared.join(of, shared["lid"] == of["node"], "left").select("band", "lid", "pivot", "n", F.coalesce("component", "lid").alias("comp")))
-    mixed = settle(named.groupBy("band").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.max("n").alias("_n")).where("_a <> _b AND _n > 2").select("band"))
-    rest = settle(named.join(mixed, "band"))
-    across = crossing(rest, texts, least_alike, rows * n_bands)
-    done = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = settle(check(settle(across.join(done, ["a", "b"], "left_anti"))))
-    return of if more.isEmpty() else components(links.unionByName(more))
+    """``(_d, _t, line_no, lid)`` of ``docs (_d, _t, text)``, without blank lines."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["_d", "_t", "line_no", "lid"])
+
+        for d, t, text in _texts(batches):
+            rows += [(d, t, i, line_hash(x)) for i, x in enumerate(map(normal, text.split("\n"))) if x]
+            if len(rows) >= 50_000:
+                yield out()
+                rows.clear()
+        if rows:
+            yield out()
+
+    return docs.mapInArrow(split, "_d long, _t long, line_no int, lid long")
+
+
+def linked(lids: list[int], norms: list[str], place: list[int] | None, signs: np.ndarray, bands: np.ndarray, band: int, shingle: int, threshold: float, least_alike: int) -> list[tuple[int, int]]:
+    """Links that join the lines of one group as all its verified pairs do. ``place``: the block of each line, of which
+    only lines of different blocks are compared; None if all are."""
+    n = len(lids)
+    sets: dict[int, frozenset[int]] = {}
+    comp, links = np.arange(n), []
+    mine = int(np.flatnonzero(bands[0] == band)[0])
+    side = np.array(place) if place is not None else None
+
+    def of(i: int) -> frozenset[int]:
+        if i not in sets:
+            sets[i] = frozenset(shingles([norms[i]], shingle)[0].tolist())
+        return sets[i]
+
+    def verify(i: int, j: int) -> None:
+        a, b = of(i), of(j)
+        if min(len(a), len(b)) < threshold * max(len(a), len(b)) - 1e-9:
+            return
+        both = len(a & b)
+        if both >= threshold * (len(a) + len(b) - both) - 1e-9:
+            links.append((lids[i], lids[j]))
+            comp[comp == comp[j]] = comp[i]
+
+    for i in range(n - 1):
+        rest = slice(i + 1, n)
+        some = (comp[rest] != comp[i]) & ((signs[rest] == signs[i]).sum(axis=1) >= least_alike)
+        if mine:  # what shares an earlier band meets there
+            some &= ~(bands[rest, :mine] == bands[i, :mine]).any(axis=1)
+        if side is not None:
+            some &= side[rest] != side[i]
+        for j in (np.flatnonzero(some) + i + 1).tolist():
+            if comp[j] != comp[i]:
+                verify(i, j)
+    return links
+
+
+def line_links(docs: DataFrame, shingle: int = 8, rows: int = 3, n_bands: int = 7, threshold: float = 0.8, least_alike: int = 9, chunk: int = 2_000_000, group: int = 2_000, max_bits: int = 1 << 30, broadcast_rows: int = 200_000) -> DataFrame:
+    """``(a, b)``: verified pairs of line hashes that connect the near-duplicate lines of ``docs (_d, _t, text)``."""
+    sign = Signatures(rows, n_bands)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for norms in _chunks(batches, chunk):
+            lids = np.fromiter(map(line_hash, norms), np.int64, len(norms))
+            bands = sign.bands(sign.of(norms, shingle)).reshape(-1)
+            lids = np.repeat(lids, n_bands)
+            for at in range(0, len(bands), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(bands[at : at + 50_000]), pa.array(lids[at : at + 50_000])], names=["band", "lid"])
+
+    met = docs.mapInArrow(keys, "band long, lid long").groupBy("band").agg(F.min("lid").alias("a"), F.max("lid").alias("b"), F.count(F.lit(1)).alias("n"))
+    shared = settle(met.where("a <> b").select("band", "n"))
+    n, most = shared.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
+    bits = 1 << max(10, (64 * n - 1).bit_length())
+    while bits > max_bits and bits >= 16 * n:
+        bits //= 2
+    table = docs.sparkSession.sparkContext.broadcast(mark(shared.select(F.col("band").alias("anchor")), bits)) if bits <= max_bits else None
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string()]
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for norms in _chunks(batches, chunk):
+            signs = sign.of(norms, shingle)
+            bands = sign.bands(signs)
+            if table is None:
+                some = np.ones(bands.shape, bool)
+            else:
+                bit = np.mod(bands, bits)
+                some = (table.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+            line, b = np.nonzero(some)
+            for at in range(0, len(line), 5_000):
+                x = line[at : at + 5_000].tolist()
+                columns = [bands[line[at : at + 5_000], b[at : at + 5_000]], [line_hash(norms[i]) for i in x], [signs[i].tobytes() for i in x], [norms[i] for i in x]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["band", "lid", "signs", "norm"])
+
+    found = docs.mapInArrow(lines, "band long, lid long, signs binary, norm string")
+    if table is None:
+        found = found.join(shared.select("band"), "band", "left_semi")
+    found = found.withColumns({"i": F.lit(0), "j": F.lit(0), "place": F.lit(0)})
+    if most > group:  # every pair of blocks of a large band is a group
+        large = shared.where(F.col("n") > group).select("band", F.ceil(F.col("n") / group).cast("int").alias("blocks"))
+        large = F.broadcast(large) if large.limit(broadcast_rows + 1).count() <= broadcast_rows else large
+        at = F.pmod(F.xxhash64("lid"), F.coalesce("blocks", F.lit(1))).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+        found = found.join(large, "band", "left").withColumn("place", at).withColumn("_other", other)
+        found = found.withColumns({"i": F.least("place", "_other"), "j": F.greatest("place", "_other")})
+    found = found.select("band", "i", "j", "lid", "place", "signs", "norm")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        links: list[tuple[int, int]] = []
+
+        def out() -> pa.RecordBatch:
+            a, b = zip(*links, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for (band, i, j), its in groupby(rows(), itemgetter(0, 1, 2)):
+            once = {r[3]: r for r in its}  # the same line comes from several chunks
+            if len(once) < 2:
+                continue
+            _, _, _, lids, place, signs, norms = zip(*once.values(), strict=True)
+            matrix = np.frombuffer(b"".join(signs), np.uint32).reshape(len(lids), -1)
+            links += linked(list(lids), list(norms), list(place) if i != j else None, matrix, sign.bands(matrix), band, shingle, threshold, least_alike)
+            if len(links) >= 50_000:
+                yield out()
+                links.clear()
+        if links:
+            yield out()
+
+    met = found.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "lid")
+    return settle(met.mapInArrow(verify, "a long, b long").distinct())
 
 
 def duplicate_lines(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
@@ -151,8 +261,8 @@ def duplicate_lines(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     tie = F.lit(0).cast("long") if ids[0] == ids[1] == ids[2] else F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
     keyed = docs.withColumns({"_d": F.coalesce("doc_id", F.lit(_LAST)), "_t": tie})
     texts = keyed.select("_d", "_t", "text")
-    slim = settle(occurrences(texts).select("_d", "_t", "line_no", "lid"))
-    of = line_classes(texts, slim, **options)
+    slim = settle(occurrences(texts))
+    of = components(line_links(texts, **options))
     slim = slim.join(of, F.col("lid") == of["node"], "left").select(F.struct("_d", "_t", "line_no").alias("at"), F.coalesce("component", "lid").alias("class"))
     first = settle(slim.groupBy("class").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     gone = slim.join(first, "class").where(F.col("at") != F.col("first"))
@@ -173,7 +283,8 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: its lines, and the numbers of those that go. No text is shuffled for it."""
+    """One row per document: its lines, and the numbers of those that go. No text is shuffled for it but that of lines that
+    share a band."""
     out, gone = duplicate_lines(docs.select("doc_id", "text"), **options)
     joined = out.drop("text").join(gone, ["_d", "_t"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))

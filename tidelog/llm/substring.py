@@ -42,7 +42,7 @@ from .common import settle
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _B_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
 _LAST = (1 << 63) - 1
-_CACHED = 200_000
+_CACHED = 120_000
 #: A row has a place (anchor, words from ``a`` to ``b``), a window (words), or a run of words to remove.
 _ROWS = pa.schema([("anchor", pa.int64()), ("_d", pa.int64()), ("_t", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("words", pa.binary())])
 _ROWS_SQL = "anchor long, _d long, _t long, a int, b int, words binary"
@@ -186,7 +186,7 @@ def _windows(first: dict[tuple[bytes, ...], tuple[int, int, int]], length: int)
     return ((None, d, t, a, a + length, b" ".join(w)) for w, (d, t, a) in first.items())
 
 
-def _mark(anchors: DataFrame, bits: int, slices: int = 64) -> np.ndarray:
+def mark(anchors: DataFrame, bits: int, slices: int = 64) -> np.ndarray:
     """A table of ``bits`` bits with those of the given anchors set; each slice of it is filled by one task."""
     width = bits // slices
 
@@ -207,7 +207,7 @@ def _mark(anchors: DataFrame, bits: int, slices: int = 64) -> np.ndarray:
     return table
 
 
-def repeats(docs: DataFrame, length: int = 20, seed_words: int = 8, chunk_words: int = 250_000, max_bits: int = 1 << 30, group: int = 2_000, max_hot: int = 10_000, least_hot: int = 20_000) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 20, seed_words: int = 8, chunk_words: int = 200_000, max_bits: int = 1 << 30, group: int = 2_000, max_hot: int = 10_000, least_hot: int = 20_000) -> DataFrame:
     """``(_d, _t, a, b)`` of ``docs (_d, _t, text)``: runs of words, from ``a`` to before ``b``, under repeated windows;
     they may overlap."""
     sc = docs.sparkSession.sparkContext
@@ -226,7 +226,7 @@ def repeats(docs: DataFrame, length: int = 20, seed_words: int = 8, chunk_words:
     while bits > max_bits and bits >= 8 * n:
         bits //= 2
     if bits <= max_bits:
-        table = sc.broadcast(_mark(twice, bits))
+        table = sc.broadcast(mark(twice, bits))
         marked = docs
     else:
         table = None
@@ -305,15 +305,35 @@ def repeats(docs: DataFrame, length: int = 20, seed_words: int = 8, chunk_words:
     return met.where("words IS NULL").drop("words").unionByName(late)
 
 
-def cut_repeats(docs: DataFrame, length: int = 20, seed_words: int = 8, **options) -> DataFrame:
-    """``docs`` with ``n_words``, ``n_removed`` and ``kept`` (the kept words, joined by a space)."""
+def cut_repeats(docs: DataFrame, length: int = 20, seed_words: int = 8, broadcast_spans: int = 1_000_000, **options) -> DataFrame:
+    """``docs`` with ``n_words``, ``n_removed`` and ``kept`` (the kept words, joined by a space).
+
+    Up to ``broadcast_spans`` maximal repeats are broadcast to the texts; more are joined, and the texts shuffled for it."""
     ids = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.count_distinct("doc_id")).first()
     plain = ids[0] == ids[1] == ids[2]
     tie = F.lit(0).cast("long") if plain else F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns if c != "text")).alias("_rest"), F.coalesce("doc_id", F.lit(_LAST)).alias("_d"), tie.alias("_t"), "text")
     found = repeats(keyed.select("_d", "_t", "text"), length, seed_words, **options)
-    spans = found.groupBy("_d", "_t").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
+
+    @F.arrow_udf("array<int>")
+    def maximal(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        """Runs that overlap or touch, as one: begin and end of each."""
+        for begins, ends in batches:
+            rows = []
+            for a, b in zip(begins, ends, strict=True):
+                out: list[int] = []
+                for x, y in sorted(zip(a.as_py(), b.as_py(), strict=True)):
+                    if out and x <= out[-1]:
+                        out[-1] = max(out[-1], y)
+                    else:
+                        out += (x, y)
+                rows.append(out)
+            yield pa.array(rows, pa.list_(pa.int32()))
+
+    spans = found.groupBy("_d", "_t").agg(F.collect_list(F.struct("a", "b")).alias("_s"))
+    spans = settle(spans.select("_d", "_t", maximal("_s.a", "_s.b").alias("_spans")))
+    few = spans.agg(F.coalesce(F.sum(F.size("_spans")), F.lit(0))).first()[0] <= 2 * broadcast_spans
     kind = "n_words long, n_removed long, kept string"
 
     @F.arrow_udf(kind)
@@ -325,18 +345,18 @@ def cut_repeats(docs: DataFrame, length: int = 20, seed_words: int = 8, **option
                 words = (text.as_py() or "").encode().split()
                 its = its.as_py()
                 if its:
-                    kept, at, removed = [], 0, 0
-                    for a, b in sorted((x["a"], x["b"]) for x in its):
-                        kept += words[at : max(at, a)]
-                        removed += max(0, b - max(at, a))
-                        at = max(at, b)
+                    kept, at = [], 0
+                    for a, b in zip(its[::2], its[1::2], strict=True):
+                        kept += words[at:a]
+                        at = b
                     kept += words[at:]
+                    removed = len(words) - len(kept)
                 else:
                     kept, removed = words, 0
                 rows.append({"n_words": len(words), "n_removed": removed, "kept": b" ".join(kept).decode()})
             yield pa.array(rows, out_type)
 
-    out = keyed.join(spans, ["_d", "_t"], "left").select("_rest", "text", apply("text", "_spans").alias("_x"))
+    out = keyed.join(F.broadcast(spans) if few else spans, ["_d", "_t"], "left").select("_rest", "text", apply("text", "_spans").alias("_x"))
     return out.select(*(F.col("text") if c == "text" else F.col("_rest")[c].alias(c) for c in columns), "_x.*")
 
 
