@@ -1,18 +1,18 @@
 """Fuzzy line dedup by MinHash.
 
 Lines are the parts of a text between line feeds, compared trimmed and in lower case; blank lines are kept. A
-line's shingles are its runs of ``shingle`` characters (UTF-16 units; a shorter line is its own). A signature has
-the least shingle hash in each of 21 orders, in seven bands of three: a pair at a similarity of 0.8 shares a band
-with a probability of 99.3 %, more similar ones more surely.
-
-Lines that share a band meet in a task and are verified there by the Jaccard similarity of their shingles (told apart
-by 64-bit hashes): first with one line of the band, then all that are still in different components, each pair in the
-first band that it shares. Only links that join two components are given out, so what comes of a band is at most its
-number of lines, though the comparisons of lines that are alike but not alike enough grow with their square. Pairs with
-fewer than 9 equal values of 21 in their signatures aren't verified (at a similarity of 0.8 that is one in 30,000).
-Distributed union-find joins the verified pairs, and of each component the first line is kept (by doc_id, then line
-number). Links are thus found with a high probability, that of the signatures whatever the size of a band, and not
-with certainty; what is removed is always verified.
+line's shingles are its runs of ``shingle`` characters (a shorter line is its own). A signature has the least shingle
+hash in each of 21 orders, in seven bands of three: a pair at a similarity of 0.8 shares a band with a probability of
+99.3 %, more similar ones more surely.
+
+Lines that share a band meet in a task and are verified there by the Jaccard similarity of their shingles: first with
+one line of the band, then all that are still in different components, each pair in the first band that it shares.
+Only links that join two components are given out, so what comes of a band is at most its number of lines, though the
+comparisons of lines that are alike but not alike enough grow with their square. Pairs with fewer than 9 equal values
+of 21 in their signatures aren't verified (at a similarity of 0.8 that is one in 30,000). Distributed union-find joins
+the verified pairs, and of each component the first line is kept (by doc_id, then line number). Links are thus found
+with a high probability, that of the signatures whatever the size of a band, and not with certainty; what is removed
+is always verified.
 
 What bounds it: a task works on chunks of ``chunk`` characters, or one longer document; equal lines of a chunk are one.
 Bands with lines of two kinds are marked in a bit table sized by their number, broadcast up to ``max_bits``; beyond,
@@ -59,17 +59,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(norms: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the shingles of all lines, and where each line's begin. A line shorter than ``k`` units is filled up."""
+def shingles(norm: str, k: int) -> set[str]:
+    return {norm[i : i + k] for i in range(max(1, len(norm) - k + 1))}
+
+
+def shingle_hashes(norms: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the shingles of all lines, in UTF-16 units, and where each line's begin. A line shorter than ``k``
+    is filled up."""
     units = [x.encode("utf-16-le", "surrogatepass").ljust(2 * k, b"\xff") for x in norms]
     sizes = np.fromiter(map(len, units), np.int64, len(units)) // 2
-    flat = np.frombuffer(b"".join(units), np.uint16).astype(np.uint64)
+    flat = np.frombuffer(b"".join(units), np.uint16).astype(np.uint32)
     h = flat[: len(flat) - k + 1].copy()
     for i in range(1, k):
-        h *= _A
+        h *= np.uint32(0x9E3779B1)
         h += flat[i : len(flat) - k + 1 + i]
-    line = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    h = _mixed(h[line[: len(h)] == line[k - 1 :]])
+    inside = np.ones(len(flat), bool)  # less the starts at the end of each line
+    ends = np.cumsum(sizes)
+    for i in range(1, k):
+        inside[ends - i] = False
+    h = h[inside[: len(h)]]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA77)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE3D)
+    h ^= h >> np.uint32(16)
     counts = sizes - k + 1
     return h, np.cumsum(counts) - counts
 
@@ -83,8 +96,7 @@ class Signatures:
         self.orders = [np.uint32(xxhash.xxh32_intdigest(k.to_bytes(4, "big"))) for k in range(rows * n_bands)]
 
     def of(self, norms: list[str], k: int) -> np.ndarray:
-        h, begin = shingles(norms, k)
-        h = (h >> np.uint64(32)).astype(np.uint32)
+        h, begin = shingle_hashes(norms, k)
         return np.stack([np.minimum.reduceat(h ^ c, begin) for c in self.orders], axis=1)
 
     def bands(self, signs: np.ndarray) -> np.ndarray:
@@ -146,14 +158,14 @@ def linked(lids: list[int], norms: list[str], place: list[int] | None, signs: np
     """Links that join the lines of one group as all its verified pairs do. ``place``: the block of each line, of which
     only lines of different blocks are compared; None if all are."""
     n = len(lids)
-    sets: dict[int, frozenset[int]] = {}
+    sets: dict[int, set[str]] = {}
     comp, links = np.arange(n), []
     mine = int(np.flatnonzero(bands[0] == band)[0])
     side = np.array(place) if place is not None else None
 
-    def of(i: int) -> frozenset[int]:
+    def of(i: int) -> set[str]:
         if i not in sets:
-            sets[i] = frozenset(shingles([norms[i]], shingle)[0].tolist())
+            sets[i] = shingles(norms[i], shingle)
         return sets[i]
 
     def verify(i: int, j: int) -> None:
@@ -230,7 +242,9 @@ def line_links(docs: DataFrame, shingle: int = 8, rows: int = 3, n_bands: int =
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+                signs = np.frombuffer(b"".join(columns["signs"]), np.uint32).reshape(len(batch), -1)
+                yield from zip(columns["band"], columns["i"], columns["j"], columns["lid"], columns["place"], columns["norm"], signs, sign.bands(signs), strict=True)
 
         links: list[tuple[int, int]] = []
 
@@ -242,9 +256,8 @@ def line_links(docs: DataFrame, shingle: int = 8, rows: int = 3, n_bands: int =
             once = {r[3]: r for r in its}  # the same line comes from several chunks
             if len(once) < 2:
                 continue
-            _, _, _, lids, place, signs, norms = zip(*once.values(), strict=True)
-            matrix = np.frombuffer(b"".join(signs), np.uint32).reshape(len(lids), -1)
-            links += linked(list(lids), list(norms), list(place) if i != j else None, matrix, sign.bands(matrix), band, shingle, threshold, least_alike)
+            _, _, _, lids, place, norms, signs, bands = zip(*once.values(), strict=True)
+            links += linked(list(lids), list(norms), list(place) if i != j else None, np.array(signs), np.array(bands), band, shingle, threshold, least_alike)
             if len(links) >= 50_000:
                 yield out()
                 links.clear()
