@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,65 +176,74 @@ class Automaton:
         return total
 
 
-def _numbered(docs: DataFrame, size: int) -> DataFrame:
-    """Chunks ``(chunk, mark, rest, sizes, train, vocabulary, tokens)`` of ``docs (_rest, text, train)``; ``mark`` is a hash
-    of what is in it."""
-    rest_type = docs.schema["_rest"].dataType
-    schema = T.StructType([T.StructField("rest", T.ArrayType(rest_type)), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "train", "vocabulary", "tokens"))])
+Numbered = tuple[int, int, list[pa.Array], bytes, bytes, bytes, bytes]
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        held, train, rest, n = [], [], [], 0
 
-        def out() -> pa.RecordBatch:
-            sizes, learn = np.fromiter(map(len, held), np.int64, len(held)), np.array(train, bool)
-            words, at, c = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-            order = np.argsort(-c, kind="stable")  # numbers of frequent words are small, and compress
-            place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
-            its = pa.concat_arrays(rest)
-            columns = [pa.ListArray.from_arrays(pa.array([0, len(its)], pa.int32()), its), _pack(sizes), learn.tobytes(), _pack(np.diff(words[order], prepend=np.uint64(0))), _pack(place[at])]
-            kinds = [None, *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([c if k is None else pa.array([c], k) for c, k in zip(columns, kinds, strict=True)], names=schema.names)
+def _numbered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Numbered]:
+    """The chunks of a partition of ``(_rest, text, train)``: number, hash of what is in it, rows of ``_rest``; sizes,
+    which are for training, hashes of words and numbers of tokens, all packed."""
+    hashes = _Hashes()
+    held, train, rest, n, no = [], [], [], 0, TaskContext.get().partitionId() << 33
 
-        for batch in batches:
-            begin = 0
-            for i, (text, t) in enumerate(zip(batch.column("text"), batch.column("train").to_pylist(), strict=True)):
-                w = split(text.as_py())
-                h = np.empty(len(w) + 1, np.uint64)
-                h[:-1] = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
-                h[-1] = END
-                held.append(h)
-                train.append(bool(t))
-                n += len(h)
-                if n >= size:
-                    rest.append(batch.column("_rest").slice(begin, i + 1 - begin))
-                    yield out()
-                    held, train, rest, n, begin = [], [], [], 0, i + 1
-            if begin < len(batch):
-                rest.append(batch.column("_rest").slice(begin))
-        if held:
-            yield out()
+    def out() -> Numbered:
+        sizes = np.fromiter(map(len, held), np.int64, len(held))
+        words, at, c = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        order = np.argsort(-c, kind="stable")  # numbers of frequent words are small, and compress
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        data = (_pack(sizes), np.array(train, bool).tobytes(), _pack(np.diff(words[order], prepend=np.uint64(0))), _pack(place[at]))
+        mark = xxhash.xxh64()
+        for x in data:
+            mark.update(x)
+        return no, mark.intdigest() - (1 << 63), rest, *data
+
+    for batch in batches:
+        begin = 0
+        for i, (text, t) in enumerate(zip(batch.column("text"), batch.column("train").to_pylist(), strict=True)):
+            w = split(text.as_py())
+            h = np.empty(len(w) + 1, np.uint64)
+            h[:-1] = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
+            h[-1] = END
+            held.append(h)
+            train.append(bool(t))
+            n += len(h)
+            if n >= size:
+                rest.append(batch.column("_rest").slice(begin, i + 1 - begin))
+                yield out()
+                held, train, rest, n, begin, no = [], [], [], 0, i + 1, no + 1
+        if begin < len(batch):
+            rest.append(batch.column("_rest").slice(begin))
+    if held:
+        yield out()
+
+
+def _chunks(docs: DataFrame, size: int) -> DataFrame:
+    """``(chunk, mark, rest, sizes, train, vocabulary, tokens)`` of ``docs (_rest, text, train)``."""
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("chunk", "mark")), T.StructField("rest", T.ArrayType(docs.schema["_rest"].dataType)), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "train", "vocabulary", "tokens"))])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for no, mark, rest, *data in _numbered(batches, size):
+            its = pa.concat_arrays(rest)
+            rows = pa.ListArray.from_arrays(pa.array([0, len(its)], pa.int32()), its)
+            yield pa.RecordBatch.from_arrays([pa.array([no]), pa.array([mark]), rows, *(pa.array([x], pa.binary()) for x in data)], names=schema.names)
 
-    out = docs.mapInArrow(number, schema)
-    return out.withColumns({"chunk": F.monotonically_increasing_id(), "mark": F.xxhash64("sizes", "train", "vocabulary", "tokens")})
+    return docs.mapInArrow(number, schema)
 
 
-def _totals(chunks: DataFrame, bits: int, width: int) -> DataFrame:
+def _totals(docs: DataFrame, size: int, bits: int, width: int) -> DataFrame:
     """``(chunk, mark, part, words, longer, v, n, starts)``: the training counts of a chunk's words and longer n-grams in a
     part, over all chunks, in the order of their keys; the last three add up to the numbers of seen words, of training
     tokens and of training documents. There are 2 ** ``bits`` parts."""
     sending = "chunk long, mark long, part long, n long, starts long, words binary, n_words binary, keys binary, n_keys binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, mark, *data in zip(*(batch.column(c) for c in ("chunk", "mark", "vocabulary", "tokens", "sizes", "train")), strict=True):
-                chunk = Chunk(*(x.as_py() for x in data), width)
-                n_words, n_keys = chunk.counts()
-                gaps = lambda x: _pack(np.diff(x, prepend=np.uint64(0)))
-                own = int(chunk.sizes[chunk.train].sum()), int(chunk.train.sum())
-                rows = [(name.as_py(), mark.as_py(), p, *((0, 0) if i else own), gaps(chunk.words[w]), _pack(n_words[w]), gaps(chunk.keys[k]), _pack(n_keys[k])) for i, (p, w, k) in enumerate(chunk.parts(bits))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 5 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=["chunk", "mark", "part", "n", "starts", "words", "n_words", "keys", "n_keys"])
+        for no, mark, _, sizes, train, vocabulary, tokens in _numbered(batches, size):
+            chunk = Chunk(vocabulary, tokens, sizes, train, width)
+            n_words, n_keys = chunk.counts()
+            gaps = lambda x: _pack(np.diff(x, prepend=np.uint64(0)))
+            own = int(chunk.sizes[chunk.train].sum()), int(chunk.train.sum())
+            rows = [(no, mark, p, *((0, 0) if i else own), gaps(chunk.words[w]), _pack(n_words[w]), gaps(chunk.keys[k]), _pack(n_keys[k])) for i, (p, w, k) in enumerate(chunk.parts(bits))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 5 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=["chunk", "mark", "part", "n", "starts", "words", "n_words", "keys", "n_keys"])
 
     def summed(keys: list[bytes], counts: list[bytes]) -> tuple[list[bytes], int]:
         """The total of each key, for each of the lists; and how many keys have one."""
@@ -261,21 +271,21 @@ def _totals(chunks: DataFrame, bits: int, width: int) -> DataFrame:
         if held:
             yield out()
 
-    sent = chunks.select("chunk", "mark", "vocabulary", "tokens", "sizes", "train").mapInArrow(send, sending)
+    sent = docs.mapInArrow(send, sending)
     return settle(sent.repartition("part").sortWithinPartitions("part").mapInArrow(add, "chunk long, mark long, part long, words binary, longer binary, v long, n long, starts long"))
 
 
-def score(docs: DataFrame, train: Column, text: str = "text", priors: tuple[float, float] = PRIORS, chunk_tokens: int = 350_000, part_tokens: int = 1_500_000) -> DataFrame:
+def score(docs: DataFrame, train: Column, text: str = "text", priors: tuple[float, float] = PRIORS, chunk_tokens: int = 500_000, part_tokens: int = 1_500_000) -> DataFrame:
     """``docs`` without its text, with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``, by the model of
     the rows for which ``train`` is true."""
     results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     rest = [c for c in docs.columns if c not in (text, *results)]
     packed = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("_rest"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    chunks = _numbered(packed, chunk_tokens)
+    chunks = _chunks(packed, chunk_tokens)
     # sizes alone follow from this: a token for every six bytes, or more in texts of longer words
     size = packed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) / 6 + F.count(F.lit(1))).first()[0]
     width = min(64, 18 + int(3 * size).bit_length())
-    totals = _totals(chunks, int(size / part_tokens).bit_length(), width)
+    totals = _totals(packed, chunk_tokens, int(size / part_tokens).bit_length(), width)
     v, n, starts = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "n", "starts"))).first()
     rest_type = chunks.schema["rest"].dataType
     figures = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
