@@ -53,7 +53,7 @@ def conflicts(log: DataFrame, conditions: DataFrame) -> DataFrame:
     if conditions.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         return conflicts_indexed(log, conditions)
     asked = conditions.select(F.explode("tags").alias("_tag")).groupBy("_tag").agg(F.count(F.lit(1)).alias("_n"))
-    items = conditions.withColumn("_item", F.monotonically_increasing_id())
+    items = conditions.withColumn("_item", F.xxhash64(*conditions.columns))
     rarest = items.select("_item", F.explode("tags").alias("_tag")).join(asked, "_tag").groupBy("_item").agg(F.min(F.struct("_n", "_tag"))["_tag"].alias("_tag"))
     by_tag = items.join(rarest, "_item").withColumn("_key", F.concat(F.lit("tag "), "_tag")).drop("_tag")
     by_type = items.where(F.size("tags") == 0).withColumn("_key", F.explode(F.transform("types", lambda t: F.concat(F.lit("type "), t))))
