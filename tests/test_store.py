@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import multiprocessing
 import os
+import random
 import threading
 import time
 
@@ -10,6 +11,7 @@ import pytest
 from tidelog.errors import AppendConditionFailed, CommitContention, CorruptRecord, InvalidQuery, ReservedTag
 from tidelog.model import AppendCondition, Event, Query, QueryItem, ReadOptions, pack_position, unpack_position
 from tidelog.sources import HadoopFiles, LocalFiles, Store
+from tidelog.sources import store as store_module
 from tidelog.streaming import catch_up, tail
 
 
@@ -56,7 +58,9 @@ def test_pages_are_of_one_snapshot(store):
     assert len(first) == 2 and [len(Store.events(p)) for p in pages] == [1]
 
 
-def test_conditions(store):
+@pytest.mark.parametrize("direct", [0, 16])
+def test_conditions(store, monkeypatch, direct):
+    monkeypatch.setattr(store_module, "DIRECT", direct)
     at = store.append([Event("T", ("a",))])
     for c in (Query.of_types("T"), Query.of_tags("a"), Query((QueryItem(("X",)), QueryItem((), ("a",))))):
         with pytest.raises(AppendConditionFailed):
@@ -305,7 +309,26 @@ def test_loads_race_with_appends(spark, tmp_path):
         assert sorted(types(Store(spark, str(tmp_path), ns).read_all())) == ["A"] * 3 + ["Old"] * (8 * wins.count("load"))
 
 
+def test_both_ways_to_look_at_conditions_agree(store, monkeypatch):
+    rng = random.Random(7)
+    pick = lambda of, n: tuple(rng.choice(of) for _ in range(rng.randint(0, n)))
+    for _ in range(8):
+        store.append([Event(rng.choice("ABC"), pick("xyz", 3)) for _ in range(rng.randint(1, 3))])
+    s, found = store.snapshot(), []
+    for _ in range(30):
+        items = tuple(QueryItem(t, g) for t, g in ((pick("ABD", 2), pick("xyzw", 2)) for _ in range(2)) if t or g) or (QueryItem(("A",)),)
+        c = AppendCondition(Query(items), rng.choice([None, pack_position(rng.randint(1, 9), rng.randint(0, 2))]))
+        by = []
+        for direct in (0, 16):
+            monkeypatch.setattr(store_module, "DIRECT", direct)
+            by.append(store._violated(s, 0, [c]))
+        assert by[0] == by[1]
+        found.append(by[0])
+    assert True in found and False in found
+
+
 def test_conditions_read_only_what_is_after_them(store, monkeypatch):
+    monkeypatch.setattr(store_module, "DIRECT", 0)
     at = [store.append([Event("T", (f"k:{k}",))]) for k in range(6)]
     read, log = [], Store.log
 

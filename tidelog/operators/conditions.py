@@ -27,6 +27,13 @@ def exists(log: DataFrame, conditions: Sequence[AppendCondition]) -> bool:
     return bool(hit.select(F.lit(1)).take(1))
 
 
+def matches(condition: AppendCondition, at: tuple[int, int], type_name: str, tags: Sequence[str]) -> bool:
+    """Whether one event violates a condition, without Spark."""
+    if condition.after is not None and at <= unpack_position(condition.after):
+        return False
+    return any((not i.types or type_name in i.types) and set(i.tags) <= set(tags) for i in condition.query.items)
+
+
 def condition_rows(spark: SparkSession, conditions: Sequence[tuple[int, AppendCondition]]) -> DataFrame:
     """A row for each item; ``after`` as the two numbers of a position, (-1, -1) if none."""
     rows = []
