@@ -169,6 +169,13 @@ def line_groups(rows, k=8, threshold=0.8):
     return occ, groups
 
 
+@given(st.text(alphabet="abcdé ü日", max_size=40))
+def test_packed_shingles_are_as_many(x):
+    packed = linededup.packed_shingles(x, 8)
+    assert packed is None or len(packed) == len(linededup.shingles(x, 8))
+    assert (packed is None) == (len(x) < 8 or "日" in x)
+
+
 @pytest.mark.parametrize("options", [{}, {"chunk": 300, "group": 3, "max_bits": 1, "broadcast_rows": 0}], ids=str)
 def test_lines(spark, options):
     """Also in small chunks, with bands cut into blocks, and with lines joined with the bands instead of marked."""

@@ -30,7 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import groupby
-from operator import itemgetter
+from operator import eq, itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +63,18 @@ def shingles(norm: str, k: int) -> set[str]:
     return {norm[i : i + k] for i in range(max(1, len(norm) - k + 1))}
 
 
+def packed_shingles(norm: str, k: int) -> set[int] | None:
+    """The same as numbers, where ``k`` characters make one of eight bytes; None elsewhere."""
+    if k != 8 or len(norm) < 8:
+        return None
+    try:
+        x = norm.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    n = len(x) - 7
+    return set(np.concatenate([np.frombuffer(x, "<u8", (n - i + 7) // 8, i) for i in range(min(8, n))]).tolist())
+
+
 def shingle_hashes(norms: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of the shingles of all lines, in UTF-16 units, and where each line's begin. A line shorter than ``k``
     is filled up."""
@@ -158,18 +170,24 @@ def linked(lids: list[int], norms: list[str], place: list[int] | None, signs: np
     """Links that join the lines of one group as all its verified pairs do. ``place``: the block of each line, of which
     only lines of different blocks are compared; None if all are."""
     n = len(lids)
-    sets: dict[int, set[str]] = {}
+    sets: dict[int, set | None] = {}
+    first = bands[0].tolist()
+    mine = first.index(band)
+    if n == 2:  # most groups
+        if first[:mine] and any(map(eq, first[:mine], bands[1].tolist())) or np.count_nonzero(signs[0] == signs[1]) < least_alike:
+            return []
     comp, links = np.arange(n), []
-    mine = int(np.flatnonzero(bands[0] == band)[0])
     side = np.array(place) if place is not None else None
 
-    def of(i: int) -> set[str]:
+    def of(i: int) -> set | None:
         if i not in sets:
-            sets[i] = shingles(norms[i], shingle)
+            sets[i] = packed_shingles(norms[i], shingle)
         return sets[i]
 
     def verify(i: int, j: int) -> None:
         a, b = of(i), of(j)
+        if a is None or b is None:
+            a, b = shingles(norms[i], shingle), shingles(norms[j], shingle)
         if min(len(a), len(b)) < threshold * max(len(a), len(b)) - 1e-9:
             return
         both = len(a & b)
@@ -177,6 +195,10 @@ def linked(lids: list[int], norms: list[str], place: list[int] | None, signs: np
             links.append((lids[i], lids[j]))
             comp[comp == comp[j]] = comp[i]
 
+    if n == 2:
+        if side is None or side[0] != side[1]:
+            verify(0, 1)
+        return links
     for i in range(n - 1):
         rest = slice(i + 1, n)
         some = (comp[rest] != comp[i]) & ((signs[rest] == signs[i]).sum(axis=1) >= least_alike)
