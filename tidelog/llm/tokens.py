@@ -37,12 +37,14 @@ _LONG = 128
 
 
 @cache
-def _classes() -> dict[str, str]:
-    """Letters (L), numbers (N) and unassigned code points (Cn), as what stands between the brackets of a pattern."""
-    ends: dict[str, list[list[int]]] = {"L": [], "N": [], "Cn": []}
-    for c in range(0x110000):
+def _classes(below: int = 0x110000) -> dict[str, str]:
+    """Letters (L), numbers (N), white space (S) and unassigned code points (Cn) below a bound, as what stands between
+    the brackets of a pattern."""
+    ends: dict[str, list[list[int]]] = {"L": [], "N": [], "S": [], "Cn": []}
+    for c in range(below):
         kind = unicodedata.category(chr(c))
-        if (kind := kind if kind == "Cn" else kind[0]) in ends:
+        kind = "S" if c in WHITE_SPACE else kind if kind == "Cn" else kind[0] if kind[0] in "LN" else ""
+        if kind:
             its = ends[kind]
             if its and its[-1][1] == c - 1:
                 its[-1][1] = c
@@ -51,9 +53,9 @@ def _classes() -> dict[str, str]:
     return {kind: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in its) for kind, its in ends.items()}
 
 
-def _pattern() -> re.Pattern:
-    letters, numbers = _classes()["L"], _classes()["N"]
-    spaces = "".join(f"\\U{c:08x}" for c in WHITE_SPACE)
+def _pattern(below: int) -> re.Pattern:
+    """The pattern for texts of characters below a bound: the shorter its classes, the faster it is."""
+    letters, numbers, spaces = (_classes(below)[k] for k in "LNS")
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
 
 
@@ -80,11 +82,15 @@ class Counter:
         simple = not any(a.get(k) for a in added for k in ("single_word", "lstrip", "rstrip"))
         self.by_piece = bool(plain and byte_level and simple)
         if self.by_piece:
-            self.pieces = _pattern().findall
+            self.ascii, self.latin, self.all = (_pattern(below).findall for below in (0x80, 0x250, 0x110000))
+            self.beyond = re.compile("[^\\x00-\\u024f]").search
             self.foreign = re.compile(f"[{_classes()['Cn']}]").search
             names = sorted((a["content"] for a in added), key=len, reverse=True)
             self.special = re.compile("|".join(map(re.escape, names))) if names else None
 
+    def pieces(self, text: str) -> list[str]:
+        return (self.ascii if text.isascii() else self.all if self.beyond(text) else self.latin)(text)
+
     def miss(self, piece: str) -> int:
         n = self.whole(piece)
         if len(piece) <= _LONG:
