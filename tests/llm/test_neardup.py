@@ -97,6 +97,21 @@ def test_links_at_every_depth_of_the_index(spark, limit, leaf):
         assert len(some) < len(pairs) or leaf < 512
 
 
+def test_links_of_many_bits_in_deep_nodes(spark):
+    """At seven bits there are eight times as many patterns in each level, and they are cut level after level."""
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    fps = {base}
+    while len(fps) < 40:
+        y = base
+        for _ in range(rng.randint(2, 9)):
+            y ^= 1 << rng.randrange(64)
+        fps.add(y)
+    distinct = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    found = {tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in simhash.links(distinct, 7, 12, few=10**9).collect()}
+    assert found == {p for p in itertools.combinations(sorted(fps), 2) if (p[0] ^ p[1]).bit_count() <= 7}
+
+
 def test_fingerprints_and_components(docs, rows):
     out = simhash.digest(docs.withColumn("fp", F.lit("old"))).collect()
     fp = {t: brute_fingerprint(t) for t in {r[1] for r in rows}}

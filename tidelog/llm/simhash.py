@@ -177,33 +177,36 @@ def links(distinct: DataFrame, limit: int = 2, leaf: int = 512, few: int = 1, st
     """``(a, b)``, a < b, of the distinct longs ``fp``: pairs that connect what all pairs with at most ``limit`` differing
     bits connect. Of what hangs together in a node, every pair up to ``few`` fingerprints and ``stars`` stars beyond."""
     parts = limit + 1
-    first = _cut(list(range(64)), parts)
-    node = lambda path, mask: F.xxhash64(F.lit(path), F.col("fp").bitwiseAND(F.lit(_signed(mask)).cast("long")))
-    level = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(str(k)).alias("path"), F.lit(_signed(m)).cast("long").alias("mask"), node(str(k), m).alias("node")) for k, m in enumerate(first)))).alias("x")).select("fp", "x.path", "x.node")
-    masks = {str(k): m for k, m in enumerate(first)}
+    spark = distinct.sparkSession
+    node = F.xxhash64("path", F.col("fp").bitwiseAND(F.col("mask"))).alias("node")
+    # paths, and their masks, are rows: as expressions they would be eight times as many in each level
+    masks = dict(enumerate(_cut(list(range(64)), parts)))
+    level = distinct.select("fp", F.lit(0).cast("long").alias("path"))
+    below = [(0, k, _signed(m)) for k, m in masks.items()]
     found = None
     while True:
-        level = settle(level)
-        sizes = settle(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        ready = level.join(sizes.where(F.col("n") <= leaf), "node").select("node", "fp")
-        some = ready.repartition("node").sortWithinPartitions("node").mapInArrow(lambda it: _links(it, limit, few, stars), "a long, b long").distinct()
+        table = F.broadcast(spark.createDataFrame(below, "path long, _path long, mask long"))
+        level = settle(level.join(table, "path").select("fp", F.col("_path").alias("path"), "mask").select("fp", "path", node))
+        sizes = settle(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).where("n > 1"))
+        ready = level.join(sizes.where(F.col("n") <= leaf).select("node"), "node").select("node", "fp")
+        some = settle(ready.repartition("node").sortWithinPartitions("node").mapInArrow(lambda it: _links(it, limit, few, stars), "a long, b long").distinct())
         found = some if found is None else found.unionByName(some)
         large = sizes.where(F.col("n") > leaf)
-        if large.isEmpty():
+        paths = [r["path"] for r in large.select("path").distinct().collect()]
+        if not paths:
             return settle(found.distinct())
         # cut large nodes by the bits they leave open: again one part more than may differ
-        cuts: dict[str, int] = {}
-        branches = F.lit(None)
-        for path, mask in masks.items():
-            open_ = [b for b in range(64) if not mask >> b & 1]
+        cuts: dict[int, int] = {}
+        below = []
+        for path in paths:
+            open_ = [b for b in range(64) if not masks[path] >> b & 1]
             if len(open_) < parts:
                 raise RuntimeError("a node of equal fingerprints: they must be distinct")
-            new = {f"{path}.{k}": mask | m for k, m in enumerate(_cut(open_, parts))}
-            cuts |= new
-            here = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(_signed(m)).cast("long").alias("mask"), node(p, m).alias("node")) for p, m in new.items()))
-            branches = here if path == next(iter(masks)) else F.when(F.col("path") == path, here).otherwise(branches)
+            for m in _cut(open_, parts):
+                below.append((path, len(cuts), _signed(masks[path] | m)))
+                cuts[len(cuts)] = masks[path] | m
         masks = cuts
-        level = level.join(large.select("node"), "node").select("fp", F.explode(branches).alias("x")).select("fp", "x.path", "x.node")
+        level = level.join(large.select("node"), "node").select("fp", "path")
 
 
 def mapping(slim: DataFrame, limit: int = 2) -> DataFrame:
