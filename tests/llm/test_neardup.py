@@ -167,6 +167,60 @@ def test_keep_one_against_all_pairs(spark, options):
     assert [r.text for r in kept if r.doc_id is None] == ["no id"] and next(r.n_chars for r in kept if r.doc_id == 0) == -1
 
 
+@pytest.mark.parametrize("limit", [0, 7])
+def test_keep_one_loses_no_link(spark, limit):
+    """Chains and groups of copies whose fingerprints are further apart than ``limit``, or that are too large for all pairs
+    to be proposed; short texts, whose shingles are few; a passage that very many texts share."""
+    rng = random.Random(17)
+    vocab = [f"w{k}" for k in range(4000)]
+    passage = [rng.choice(vocab) for _ in range(60)]
+    texts = []
+    for size in (3, 9, 30, 60, 300):
+        for _ in range(4):
+            w = [rng.choice(vocab) for _ in range(size)]
+            texts.append(w)
+            for _ in range(12):
+                w = list(rng.choice(texts[-3:]))
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, max(1, size // 14))] = [rng.choice(vocab) for _ in range(rng.randint(0, max(1, size // 14)))]
+                texts.append(w)
+    texts += [passage + [rng.choice(vocab) for _ in range(rng.randint(5, 60))] for _ in range(60)]
+    texts = [" ".join(w) for w in texts] + ["", " ", "one"]
+    rows = [(k, t, "x", "y", 0) for k, t in enumerate(texts)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA).repartition(3), limit=limit).collect()
+    sets = [frozenset(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    every = range(len(texts))
+    alike = [(a, b) for a, b in itertools.combinations_with_replacement(every, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    fp = [simhash.fingerprint(t, 2) for t in texts]
+    assert sum((fp[a] ^ fp[b]).bit_count() > 7 for a, b in alike) > 5
+    assert sorted(r.doc_id for r in kept) == sorted(set(union(alike).values()))
+
+
+@pytest.mark.parametrize("most", [4, 1 << 20])
+def test_sets_that_meet(most):
+    """The prefix filter loses no pair, whatever counts as frequent and however a long list is cut."""
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 25))) for _ in range(150)]
+    sets += [np.setdiff1d(s, s[:1]) for s in sets[:60]]
+    cls = rng.integers(0, 40, len(sets))
+    frequent = np.arange(0, 60, 3)
+    first = [simhash.prefix(s, 0.8, frequent, 1 + frequent % 7) for s in sets]
+    many = [len(x) for x in first]
+    columns = np.concatenate(first), np.repeat(np.arange(len(sets)), many), np.repeat(cls, many), np.repeat([len(s) for s in sets], many), np.concatenate([np.arange(m) for m in many])
+    got = set(map(tuple, simhash._meeting(*columns, 0.8, most).tolist()))
+    alike = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if cls[a] != cls[b] and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9}
+    assert len(alike) > 30 and alike <= {(min(p), max(p)) for p in got} and len(got) < len(sets) ** 2 / 4
+
+
+def test_parity_is_a_lower_bound():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 900))) for _ in range(2))
+        b = np.unique(np.concatenate((a[: rng.integers(0, len(a) + 1)], b[: rng.integers(0, 200)])))
+        assert simhash.differing(simhash.parity(a), simhash.parity(b)) <= len(np.setxor1d(a, b))
+    assert simhash.differing(simhash.parity(a), simhash.parity(a)) == 0
+
+
 def line_groups(rows, k=8, threshold=0.8):
     """Lines kept and removed by comparing all pairs of lines."""
     def order(r):

@@ -259,14 +259,170 @@ def _print() -> Column:
     return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
 
 
+def prefix(s: np.ndarray, threshold: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """What of a set, in an order that all sets share, a set with ``threshold`` in common must meet: its first members, as
+    many as may be missing from the other and one more. Members of ``frequent`` (sorted) come last, by ``rank``, so that
+    few sets meet by chance; a set without members has the member 0."""
+    if not len(s):
+        return np.zeros(1, np.int64)
+    n = len(s) - int(np.ceil(threshold * len(s) - 1e-6)) + 1
+    if not len(frequent):
+        return s[:n]
+    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+    return s[np.argsort(np.where(frequent[at] == s, rank[at], 0), kind="stable")[:n]]
+
+
+def _meeting(token: np.ndarray, mine: np.ndarray, cls: np.ndarray, n: np.ndarray, pos: np.ndarray, threshold: float, most: int = 1 << 20) -> np.ndarray:
+    """Pairs of sets that meet at a token, lie in different classes and may have ``threshold`` in common: by their sizes
+    ``n``, and by what can follow after the places ``pos`` if the token is the first that they share."""
+    order = np.lexsort((mine, token))
+    token, mine, cls, n, pos = (x[order] for x in (token, mine, cls, n, pos))
+    once = np.concatenate(([True], (token[1:] != token[:-1]) | (mine[1:] != mine[:-1])))
+    token, mine, cls, n, pos = (x[once] for x in (token, mine, cls, n, pos))
+    start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    size = np.diff(np.append(start, len(token)))
+    mixed = np.minimum.reduceat(cls, start) != np.maximum.reduceat(cls, start)
+    found = [np.zeros((0, 2), np.int64)]
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        rest, both = np.minimum(n[a] - pos[a], n[b] - pos[b]), n[a] + n[b]
+        ok = (cls[a] != cls[b]) & (rest >= threshold / (1 + threshold) * both - 1e-6) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-6)
+        found.append(np.stack([mine[a[ok]], mine[b[ok]]], axis=1))
+        if len(found) > 64:
+            found[:] = [np.unique(np.concatenate(found), axis=0)]
+
+    for m in np.unique(size[mixed]).tolist():
+        starts = start[mixed & (size == m)]
+        if m * m <= most:
+            i, j = np.triu_indices(m, 1)
+            step = max(1, most // len(i))
+            for at in range(0, len(starts), step):
+                some = starts[at : at + step, None]
+                compare((some + i).reshape(-1), (some + j).reshape(-1))
+        else:  # some rows of the triangle at a time, so that memory is bounded
+            step = max(1, most // m)
+            for s in starts.tolist():
+                for i in range(0, m, step):
+                    a, b = np.meshgrid(np.arange(i, min(m, i + step)), np.arange(i, m), indexing="ij")
+                    compare(s + a[a < b], s + b[a < b])
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def parity(s: np.ndarray) -> bytes:
+    """Whether an odd number of a set's members falls on each of some bits, about two bits a member. Each member that only
+    one of two sets has changes one bit, so as many bits as differ, so many members at least do."""
+    size = 256
+    while size < min(2 * len(s), 1 << 14):
+        size *= 2
+    return np.packbits(np.bincount(s & (size - 1), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """The bits that differ, once the longer is folded to the length of the other."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def meeting(postings: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)``: the pairs of ``postings (token, id, cls, n, pos)`` that ``_meeting`` finds, each a few times."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[np.ndarray]] = []  # the last token may go on in the next batch
+
+        def out() -> pa.RecordBatch:
+            got = _meeting(*(np.concatenate(x) for x in zip(*waiting, strict=True)), threshold)
+            return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(now[0]):
+                continue
+            last = int(np.searchsorted(now[0], now[0][-1]))
+            if last or waiting and waiting[-1][0][-1] != now[0][0]:
+                if last:
+                    waiting.append([x[:last] for x in now])
+                yield out()
+                waiting = []
+            waiting.append([x[last:] for x in now])
+        if waiting:
+            yield out()
+
+    return postings.repartition("token").sortWithinPartitions("token").mapInArrow(pairs, "a long, b long").distinct()
+
+
+def missed(docs: DataFrame, texts: DataFrame, of: DataFrame, k: int, threshold: float, sample: int = 5_000, tracked: int = 1 << 17, broadcast_rows: int = 200_000) -> DataFrame:
+    """``(a, b)``, by their MD5: all pairs of ``texts`` in different classes of ``of (node, component)`` that may have
+    ``threshold`` of their shingles of ``k`` words in common, by an exact prefix filter.
+
+    Which shingles are frequent is taken from about ``sample`` texts; this decides how many pairs meet for nothing, and
+    nothing else."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), k))], names=["s"])
+
+    every = max(1, texts.count() // sample)
+    seen = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct().mapInArrow(counted, "s long")
+    top = seen.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(tracked).toArrow()
+    values, counts = (top.column(c).to_numpy() for c in ("s", "n"))
+    order = np.argsort(values)
+    shared = docs.sparkSession.sparkContext.broadcast((values[order], counts[order]))
+
+    # a document of each text, with the class of the text; most texts have no copy, and are a class
+    mine = texts.join(of, texts["_t"] == of["node"], "left").where("_docs > 1 OR component IS NOT NULL")
+    mine = settle(mine.select(F.col("_t").alias("_w"), "_first", F.xxhash64(F.coalesce("component", "_t")).alias("_c")))
+    few = F.broadcast if mine.limit(broadcast_rows + 1).count() <= broadcast_rows else lambda x: x
+    rows = docs.withColumn("_t", _print()).join(few(mine), F.col("_t") == F.col("_w"), "left").where(F.col("_w").isNull() | F.col("doc_id").eqNullSafe(F.col("_first")))
+    rows = rows.select(F.xxhash64("_t").alias("id"), F.coalesce("_c", F.xxhash64("_t")).alias("cls"), "text")
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                some = batch.slice(at, 200)
+                sets = [shingle_set(t.as_py(), k) for t in some.column("text")]
+                firsts = [prefix(s, threshold, *shared.value) for s in sets]
+                many = [len(x) for x in firsts]
+                columns = [np.concatenate(firsts), *(np.repeat(some.column(c).to_numpy(), many) for c in ("id", "cls")), np.repeat([len(s) for s in sets], many), np.concatenate([np.arange(m) for m in many])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["token", "id", "cls", "n", "pos"])
+
+    pairs = settle(meeting(rows.mapInArrow(post, "token long, id long, cls long, n int, pos int"), threshold))
+
+    # most pairs go by an upper bound of what they share, so that few sets are moved
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), k) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(map(parity, sets), pa.binary())], names=["id", "n", "bits"])
+
+    @F.arrow_udf("int")
+    def apart(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([differing(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.int32())
+
+    wanted = settle(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    few = F.broadcast if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows else lambda x: x
+    signs = settle(rows.join(few(wanted), "id").select("id", "text").mapInArrow(short, "id long, n int, bits binary").dropDuplicates(["id"]))
+    side = lambda x: signs.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), apart("bitsa", "bitsb").alias("apart"))
+    pairs = settle(both.where((F.col("n") - F.col("apart")) / 2 >= threshold / (1 + threshold) * F.col("n") - 1e-6).select("a", "b"))
+    side = lambda x: texts.select(F.xxhash64("_t").alias(x), F.col("_t").alias(f"_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+
+
 def keep_one(docs: DataFrame, limit: int = 7, shingle: int = 2, k: int = 5, threshold: float = 0.8, leaf: int = 2048, few: int = 8, stars: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
     """The rows of ``docs``, one for each group of near-duplicates: texts connected by pairs that have at least
-    ``threshold`` of their shingles of ``k`` words in common. SimHash proposes: fingerprints over runs of ``shingle`` words
-    (shorter runs move fewer bits for a changed word) that differ in at most ``limit`` bits; the pairs are verified.
+    ``threshold`` of their shingles of ``k`` words in common, each such pair. SimHash proposes: fingerprints over runs of
+    ``shingle`` words (shorter runs move fewer bits for a changed word) that differ in at most ``limit`` bits; the pairs are
+    verified.
 
     A group that is proposed isn't verified pair by pair, which would cost its square: of fingerprints that hang together
     in a node of the index, all links are verified up to ``few`` of them; in a larger group, the links of each to
-    ``stars`` others, in each node. Different texts of one fingerprint are compared with one of them.
+    ``stars`` others, in each node. Different texts of one fingerprint are compared with one of them. What is not
+    connected by these, in large groups or as the fingerprints differ by more, is found by ``missed`` and verified too.
 
     Of a group, the row of the smallest doc_id stays (those without come last; then the least MD5 of the text; of
     several rows equal in both, the one whose columns are least, in their order). Null texts count as empty, and texts
@@ -285,7 +441,11 @@ def keep_one(docs: DataFrame, limit: int = 7, shingle: int = 2, k: int = 5, thre
 
     same = texts.join(reps, "fp").where("_t <> rep").select(F.least("_t", "rep").alias("a"), F.greatest("_t", "rep").alias("b"))
     proposed = settle(named(links(reps.select("fp"), limit, leaf, few, stars)).unionByName(same))
-    of = components(settle(verified(proposed, texts, read, k, threshold, broadcast_rows)))
+    near = settle(verified(proposed, texts, read, k, threshold, broadcast_rows))
+    of = components(near)
+    more = settle(verified(settle(missed(read, texts, of, k, threshold, broadcast_rows=broadcast_rows)), texts, read, k, threshold, broadcast_rows))
+    if not more.isEmpty():
+        of = components(near.unionByName(more))
     mine = texts.join(of, texts["_t"] == of["node"], "left").withColumn("_class", F.coalesce("component", "_t"))
     firsts = mine.groupBy("_class").agg(F.min(F.struct(F.col("_first").isNull().alias("none"), "_first", "_t")).alias("_k"))
     # what is to be dropped: texts of which none stays, and rows of those that stay but are there several times
