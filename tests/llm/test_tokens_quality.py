@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import unicodedata
 from collections import Counter
+from types import SimpleNamespace
 
 import public_tokenizers
 import pytest
@@ -124,3 +125,16 @@ def test_junk_goes_and_prose_stays(spark):
     junk = [" ".join(f"{w}%%%" for w in base), " | ".join(base), "spam " * 300, "\n".join(["the same line of text is here"] * 40), " ".join(base[:30]), " ".join(f"zx{k}q" for k in range(300))]
     df = spark.createDataFrame([(k, t) for k, t in enumerate([prose, *junk])], "doc_id long, text string")
     assert [r[0] for r in table(quality.keep(df), "doc_id")] == [0]
+
+
+def test_unassigned_characters_are_looked_for_once_each(monkeypatch):
+    """In texts of characters below U+0250, which are all assigned, not at all."""
+    counter = tokens.Counter(public_tokenizers.path("byte_bpe_50k.json"))
+    asked: list[str] = []
+    category = tokens.unicodedata.category
+    monkeypatch.setattr(tokens, "unicodedata", SimpleNamespace(category=lambda c: asked.append(c) or category(c)))
+    assert all(category(chr(c)) != "Cn" for c in range(0x250))
+    for text in ("été à la façon de Zoë ɏ " * 50, "日本語 é " * 50, "a \u0378 b " * 50, "é \U0003fffe"):
+        assert counter.count(text) == counter.whole(text)
+        assert counter.foreign(text) == any(category(c) == "Cn" for c in text)
+    assert len(asked) < 30 and "ɏ" not in asked and "日" in asked

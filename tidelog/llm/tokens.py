@@ -84,13 +84,17 @@ class Counter:
         if self.by_piece:
             self.ascii, self.latin, self.all = (_pattern(below).findall for below in (0x80, 0x250, 0x110000))
             self.beyond = re.compile("[^\\x00-\\u024f]").search
-            self.foreign = re.compile(f"[{_classes()['Cn']}]").search
             names = sorted((a["content"] for a in added), key=len, reverse=True)
             self.special = re.compile("|".join(map(re.escape, names))) if names else None
 
     def pieces(self, text: str) -> list[str]:
         return (self.ascii if text.isascii() else self.all if self.beyond(text) else self.latin)(text)
 
+    def foreign(self, text: str) -> bool:
+        """Whether a character of a text isn't assigned; all below U+0250 are. A search by a pattern of all the ranges takes
+        longer than all else."""
+        return bool(self.beyond(text)) and any(unicodedata.category(c) == "Cn" for c in set(text))
+
     def miss(self, piece: str) -> int:
         n = self.whole(piece)
         if len(piece) <= _LONG:
