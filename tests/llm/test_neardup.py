@@ -221,6 +221,70 @@ def test_parity_is_a_lower_bound():
     assert simhash.differing(simhash.parity(a), simhash.parity(a)) == 0
 
 
+def test_chains_connect_what_all_pairs_connect():
+    """At one token, with few rows: the sets that may be alike by their sizes and places."""
+    rng = np.random.default_rng(11)
+    for k in range(300):
+        m = int(rng.integers(1, 40))
+        n = rng.integers(1, (12, 60, 400)[k % 3], m)
+        pos = (n * rng.random(m) * rng.choice([0.05, 0.2, 1], m)).astype(np.int64)
+        may = lambda i, j: min(n[i] - pos[i], n[j] - pos[j]) >= 0.8 / 1.8 * (n[i] + n[j]) - 1e-6 and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) - 1e-6  # noqa: B023, E731
+        a, b = simhash.chained(n, pos, 0.8)
+        assert len(a) < m
+        assert union(zip(a.tolist(), b.tolist(), strict=True)) == union([p for p in itertools.combinations(range(m), 2) if may(*p)])
+
+
+def test_sets_that_meet_make_no_square_of_rows(spark):
+    """400 sets of different classes at each of six tokens: all hang together, by one row for each at most."""
+    rows = [(t, i, i, 100, t % 3) for t in range(6) for i in range(400)] + [(9, i, i % 2, 100, 0) for i in range(1000, 1005)]
+    got = [tuple(r) for r in simhash.meeting(spark.createDataFrame(rows, "token long, id long, cls long, n int, pos int").repartition(3), 0.8).collect()]
+    assert len(got) <= 6 * 400 and union(got) == union([(0, i) for i in range(400)] + [(1000, i) for i in range(1000, 1005)])
+
+
+def test_alike_connects_what_all_pairs_connect():
+    rng = np.random.default_rng(3)
+    sets = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    for _ in range(12):
+        base = rng.integers(0, 1 << 62, int(rng.integers(3, 80)))
+        sets += [np.unique(np.where(rng.random(len(base)) < rng.random() / 5, rng.integers(0, 1 << 62, len(base)), base)) for _ in range(12)]
+    sets = [sets[i] for i in rng.permutation(len(sets))]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9]
+    got = simhash.alike(sets, 0.8)
+    assert len(pairs) > 100 and set(got) <= {p for a, b in pairs for p in ((a, b), (b, a))}
+    assert union(got) == union(pairs) and len(got) < len(sets)
+
+
+@pytest.mark.parametrize("options", [{"limit": 0}, {"limit": 0, "group": 7, "broadcast_rows": 0}], ids=str)
+def test_a_group_of_near_copies_of_which_some_are_alike(spark, options):
+    """One large group, more and less alike than 0.8, that SimHash proposes nothing of."""
+    rng = random.Random(23)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for k in range(120):
+        w = list(base)
+        for at in rng.sample(range(300), k % 10):
+            w[at] = f"x{k}-{at}"
+        texts.append(" ".join(w))
+    texts = list(dict.fromkeys(texts)) + ["", " "]
+    rows = [(k, t, "x", "y", 0) for k, t in enumerate(texts)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA).repartition(3), **options).collect()
+    sets = [frozenset(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    pairs = [(a, b) for a, b in itertools.combinations_with_replacement(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    assert sorted(r.doc_id for r in kept) == sorted(set(union(pairs).values())) and len(kept) > 10
+
+
+def test_shared_shingles_are_frequent(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(90)) + " a b c" for _ in range(120)] + [None, "one"]
+    often = simhash.Frequent.of(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), 2, chunk=500)
+    sets = [simhash.shingle_set(t, 2) for t in texts]
+    s, n = np.unique(np.concatenate(sets), return_counts=True)
+    level = often.level(s)
+    assert (n >= 64).any() and all((level >= k + 1)[n >= least].all() for k, least in enumerate(often.LEAST))
+    other = np.array([rng.getrandbits(62) for _ in range(2000)], np.int64)
+    assert (often.level(other) > 0).mean() < 0.3
+
+
 def line_groups(rows, k=8, threshold=0.8):
     """Lines kept and removed by comparing all pairs of lines."""
     def order(r):

@@ -18,6 +18,8 @@ component is the smallest doc_id in it (null if it has none); an empty table giv
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -272,9 +274,31 @@ def prefix(s: np.ndarray, threshold: float, frequent: np.ndarray, rank: np.ndarr
     return s[np.argsort(np.where(frequent[at] == s, rank[at], 0), kind="stable")[:n]]
 
 
-def _meeting(token: np.ndarray, mine: np.ndarray, cls: np.ndarray, n: np.ndarray, pos: np.ndarray, threshold: float, most: int = 1 << 20) -> np.ndarray:
+def chained(n: np.ndarray, pos: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect what all pairs connect that may have ``threshold`` in common, by their sizes and places alone: at
+    most one for each set, found without looking at all pairs.
+
+    A set may have a larger one for a partner up to a size ``high``, and none beyond ``most``. Of the sets with ``high``
+    at or above their own size, each is linked to the smaller one that reaches highest; all that reach it may be partners
+    of each other. Any other set has smaller partners only, up to ``most``, and the same holds for them."""
+    most = (1 + threshold) / threshold * (n - pos + 1e-6) - n
+    high = np.minimum(most, (n + 1e-6) / threshold)
+    order = np.argsort(n, kind="stable")
+    core, rest = order[high[order] >= n[order]], order[high[order] < n[order]]
+    if not len(core):
+        return core, core
+    top = np.maximum.accumulate(high[core])
+    best = core[np.maximum.accumulate(np.where(high[core] == top, np.arange(len(core)), 0))]
+    last = np.searchsorted(n[core], most[rest], "right") - 1
+    a, b = np.concatenate((core[1:], rest)), np.concatenate((best[:-1], best[np.maximum(last, 0)]))
+    ok = (high[b] >= n[a]) & np.concatenate((np.ones(len(core) - 1, bool), last >= 0))
+    return a[ok], b[ok]
+
+
+def _meeting(token: np.ndarray, mine: np.ndarray, cls: np.ndarray, n: np.ndarray, pos: np.ndarray, threshold: float, most: int = 1 << 20, few: int | None = None) -> np.ndarray:
     """Pairs of sets that meet at a token, lie in different classes and may have ``threshold`` in common: by their sizes
-    ``n``, and by what can follow after the places ``pos`` if the token is the first that they share."""
+    ``n``, and by what can follow after the places ``pos`` if the token is the first that they share. Of more than ``few``
+    sets at a token, pairs that connect what these pairs connect, or more."""
     order = np.lexsort((mine, token))
     token, mine, cls, n, pos = (x[order] for x in (token, mine, cls, n, pos))
     once = np.concatenate(([True], (token[1:] != token[:-1]) | (mine[1:] != mine[:-1])))
@@ -284,16 +308,23 @@ def _meeting(token: np.ndarray, mine: np.ndarray, cls: np.ndarray, n: np.ndarray
     mixed = np.minimum.reduceat(cls, start) != np.maximum.reduceat(cls, start)
     found = [np.zeros((0, 2), np.int64)]
 
+    def add(a: np.ndarray, b: np.ndarray) -> None:
+        found.append(np.stack([mine[a], mine[b]], axis=1))
+        if len(found) > 64:
+            found[:] = [np.unique(np.concatenate(found), axis=0)]
+
     def compare(a: np.ndarray, b: np.ndarray) -> None:
         rest, both = np.minimum(n[a] - pos[a], n[b] - pos[b]), n[a] + n[b]
         ok = (cls[a] != cls[b]) & (rest >= threshold / (1 + threshold) * both - 1e-6) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-6)
-        found.append(np.stack([mine[a[ok]], mine[b[ok]]], axis=1))
-        if len(found) > 64:
-            found[:] = [np.unique(np.concatenate(found), axis=0)]
+        add(a[ok], b[ok])
 
     for m in np.unique(size[mixed]).tolist():
         starts = start[mixed & (size == m)]
-        if m * m <= most:
+        if few is not None and m > few:
+            for s in starts.tolist():
+                a, b = chained(n[s : s + m], pos[s : s + m], threshold)
+                add(s + a, s + b)
+        elif m * m <= most:
             i, j = np.triu_indices(m, 1)
             step = max(1, most // len(i))
             for at in range(0, len(starts), step):
@@ -327,15 +358,18 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def meeting(postings: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b)``: the pairs of ``postings (token, id, cls, n, pos)`` that ``_meeting`` finds, each a few times."""
+def meeting(postings: DataFrame, threshold: float, few: int = 8) -> DataFrame:
+    """``(a, b)``: pairs that connect what the pairs of ``postings (token, id, cls, n, pos)`` that ``_meeting`` finds connect;
+    of the tokens that are looked at together, at most one for each set."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[list[np.ndarray]] = []  # the last token may go on in the next batch
 
         def out() -> pa.RecordBatch:
-            got = _meeting(*(np.concatenate(x) for x in zip(*waiting, strict=True)), threshold)
-            return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+            got = _meeting(*(np.concatenate(x) for x in zip(*waiting, strict=True)), threshold, few=few)
+            ids, at = np.unique(got, return_inverse=True)
+            a, b = forest(len(ids), *at.reshape(-1, 2).T)
+            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -354,66 +388,183 @@ def meeting(postings: DataFrame, threshold: float) -> DataFrame:
     return postings.repartition("token").sortWithinPartitions("token").mapInArrow(pairs, "a long, b long").distinct()
 
 
-def missed(docs: DataFrame, texts: DataFrame, of: DataFrame, k: int, threshold: float, sample: int = 5_000, tracked: int = 1 << 17, broadcast_rows: int = 200_000) -> DataFrame:
-    """``(a, b)``, by their MD5: all pairs of ``texts`` in different classes of ``of (node, component)`` that may have
-    ``threshold`` of their shingles of ``k`` words in common, by an exact prefix filter.
-
-    Which shingles are frequent is taken from about ``sample`` texts; this decides how many pairs meet for nothing, and
-    nothing else."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), k))], names=["s"])
-
-    every = max(1, texts.count() // sample)
-    seen = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct().mapInArrow(counted, "s long")
-    top = seen.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(tracked).toArrow()
-    values, counts = (top.column(c).to_numpy() for c in ("s", "n"))
-    order = np.argsort(values)
-    shared = docs.sparkSession.sparkContext.broadcast((values[order], counts[order]))
+class Frequent:
+    """In how many sets a shingle is, as a level: 0 for those of one set, up to 3; some are put too high. By bit tables of the
+    shingles in at least 2, 8 and 64 sets, each in slices by the first bits of the hashes."""
+
+    LEAST, SLICES = (2, 8, 64), 1024
+
+    def __init__(self, tables: list[np.ndarray]) -> None:
+        self.tables = tables
+
+    @staticmethod
+    def parts(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slice of each hash, and 32 more bits of it."""
+        x = s.view(np.uint64)
+        return (x >> np.uint64(54)).astype(np.int64), (x & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+    def level(self, s: np.ndarray) -> np.ndarray:
+        part, low = self.parts(s)
+        out = np.zeros(len(s), np.int64)
+        for table in self.tables:
+            width = 8 * len(table) // self.SLICES
+            at = part * width + low % width
+            out += (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        return out
+
+    @classmethod
+    def of(cls, texts: DataFrame, k: int, chunk: int = 2_000_000, max_bits: int = 1 << 30) -> Frequent:
+        """Of all ``texts (text)``. Hashes are moved in 4 bytes each, sorted by slice."""
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[np.ndarray] = []
+
+            def out() -> pa.RecordBatch:
+                part, low = cls.parts(np.concatenate(held))
+                order = np.argsort(part, kind="stable")
+                cut = np.searchsorted(part[order], np.arange(cls.SLICES + 1)).tolist()
+                low = low[order].astype(np.uint32)
+                some = [i for i in range(cls.SLICES) if cut[i] < cut[i + 1]]
+                return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([low[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], names=["part", "data"])
+
+            n = 0
+            for batch in batches:
+                for text in batch.column(0):
+                    held.append(shingle_set(text.as_py(), k))
+                    n += len(held[-1])
+                    if n >= chunk:
+                        yield out()
+                        held, n = [], 0
+            if n:
+                yield out()
 
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list[bytes]] = {}
+            for batch in batches:
+                for part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    held.setdefault(part, []).append(data)
+            for part, datas in held.items():
+                x, n = np.unique(np.frombuffer(b"".join(datas), np.uint32), return_counts=True)
+                levels = [x[n >= least] for least in cls.LEAST]
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(levels), pa.int32()), pa.array(range(len(levels)), pa.int32()), pa.array(map(len, levels), pa.int64()), pa.array([x.tobytes() for x in levels], pa.binary())], names=["part", "level", "n", "data"])
+
+        kept = settle(texts.mapInArrow(packed, "part int, data binary").repartition("part").mapInArrow(counted, "part int, level int, n long, data binary"))
+        sizes = {r["level"]: r["n"] for r in kept.groupBy("level").agg(F.sum("n").alias("n")).collect()}
+        tables = []
+        for i in range(len(cls.LEAST)):
+            bits = min(max_bits, 1 << max(13, (16 * sizes.get(i, 0) - 1).bit_length()))
+            width = bits // cls.SLICES
+
+            def fill(batches: Iterator[pa.RecordBatch], width: int = width) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        x = np.zeros(width, bool)
+                        x[np.frombuffer(data, np.uint32) % width] = True
+                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary())], names=["part", "data"])
+
+            table = np.zeros(bits // 8, np.uint8)
+            for r in kept.where((F.col("level") == i) & (F.col("n") > 0)).select("part", "data").mapInArrow(fill, "part int, data binary").toLocalIterator():
+                table[r["part"] * width // 8 : (r["part"] + 1) * width // 8] = np.frombuffer(r["data"], np.uint8)
+            tables.append(table)
+        return cls(tables)
+
+
+def alike(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links that connect the places of ``sets`` as all pairs with ``threshold`` in common do: each set is compared with those
+    that nothing has reached yet, so in one group there are few comparisons."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, member = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    owner = np.repeat(np.arange(len(sets)), size)
+    left, at, links = np.ones(len(sets), bool), len(sets), []
+    begin = where = None
+    queue: list[int] = []
+    for first in range(len(sets)):
+        if left[first]:
+            left[first] = False
+            queue.append(first)
+        while queue and left.any():
+            if begin is None or 2 * left.sum() < at:  # an index of the sets that are left
+                at, mine = int(left.sum()), np.flatnonzero(left[owner])
+                mine = mine[np.argsort(member[mine], kind="stable")]
+                where, begin = owner[mine], np.searchsorted(member[mine], np.arange(member.max(initial=-1) + 2))
+            i = queue.pop()
+            its = member[ends[i] - size[i] : ends[i]]
+            many = begin[its + 1] - begin[its]
+            both = np.bincount(where[np.repeat(begin[its] - np.cumsum(many) + many, many) + np.arange(many.sum())], minlength=len(sets))
+            for j in np.flatnonzero(left & (both >= threshold * (size + size[i] - both) - 1e-9)).tolist():
+                left[j] = False
+                links.append((i, j))
+                queue.append(j)
+        queue.clear()
+    return links
+
+
+def missed(docs: DataFrame, texts: DataFrame, of: DataFrame, k: int, threshold: float, group: int = 2_000, broadcast_rows: int = 200_000) -> DataFrame:
+    """``(a, b)``, by their MD5: verified pairs that connect what all pairs of ``texts`` in different classes of ``of (node,
+    component)`` with ``threshold`` of their shingles of ``k`` words in common connect.
+
+    An exact prefix filter, rare shingles first, finds what may be so alike: of its pairs no more are given out than
+    connect the same. What hangs together by them then meets in a task, where all its pairs are judged; a text's
+    shingles are moved once for it, unless more than ``group`` texts hang together: these are cut into blocks, and every
+    pair of blocks is a group of its own."""
     # a document of each text, with the class of the text; most texts have no copy, and are a class
     mine = texts.join(of, texts["_t"] == of["node"], "left").where("_docs > 1 OR component IS NOT NULL")
     mine = settle(mine.select(F.col("_t").alias("_w"), "_first", F.xxhash64(F.coalesce("component", "_t")).alias("_c")))
     few = F.broadcast if mine.limit(broadcast_rows + 1).count() <= broadcast_rows else lambda x: x
     rows = docs.withColumn("_t", _print()).join(few(mine), F.col("_t") == F.col("_w"), "left").where(F.col("_w").isNull() | F.col("doc_id").eqNullSafe(F.col("_first")))
     rows = rows.select(F.xxhash64("_t").alias("id"), F.coalesce("_c", F.xxhash64("_t")).alias("cls"), "text")
+    shared = docs.sparkSession.sparkContext.broadcast(Frequent.of(rows.select("text"), k).tables)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = Frequent(shared.value)
         for batch in batches:
             for at in range(0, len(batch), 200):
                 some = batch.slice(at, 200)
                 sets = [shingle_set(t.as_py(), k) for t in some.column("text")]
-                firsts = [prefix(s, threshold, *shared.value) for s in sets]
-                many = [len(x) for x in firsts]
-                columns = [np.concatenate(firsts), *(np.repeat(some.column(c).to_numpy(), many) for c in ("id", "cls")), np.repeat([len(s) for s in sets], many), np.concatenate([np.arange(m) for m in many])]
+                tokens, places = [], []
+                for s in sets:
+                    level = often.level(s)
+                    first = prefix(s, threshold, s[level > 0], level[level > 0])
+                    # a shingle of one set meets nothing
+                    places.append(np.flatnonzero(often.level(first) > 0) if len(s) else np.arange(1))
+                    tokens.append(first[places[-1]])
+                many = [len(x) for x in tokens]
+                columns = [np.concatenate(tokens), *(np.repeat(some.column(c).to_numpy(), many) for c in ("id", "cls")), np.repeat([len(s) for s in sets], many), np.concatenate(places)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["token", "id", "cls", "n", "pos"])
 
-    pairs = settle(meeting(rows.mapInArrow(post, "token long, id long, cls long, n int, pos int"), threshold))
+    found = components(settle(meeting(rows.mapInArrow(post, "token long, id long, cls long, n int, pos int"), threshold)))
+    large = settle(found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("blocks")).where("blocks > 1"))
+    found = found.join(large, "component", "left").select(F.col("node").alias("_id"), F.col("component").alias("together"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    found = settle(found)
+    few = F.broadcast if found.limit(broadcast_rows + 1).count() <= broadcast_rows else lambda x: x
 
-    # most pairs go by an upper bound of what they share, so that few sets are moved
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), k) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(map(parity, sets), pa.binary())], names=["id", "n", "bits"])
+            for at in range(0, len(batch), 200):
+                some = batch.slice(at, 200)
+                data = pa.array([shingle_set(t.as_py(), k).tobytes() for t in some.column("text")], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("together", "blocks", "id")), data], names=["together", "blocks", "id", "data"])
 
-    @F.arrow_udf("int")
-    def apart(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([differing(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.int32())
+    sets = rows.join(few(found), F.col("id") == F.col("_id")).select("together", "blocks", "id", "text").mapInArrow(packed, "together long, blocks int, id long, data binary")
+    sets = sets.withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sets = sets.select("together", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "id", "data")
 
-    wanted = settle(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    few = F.broadcast if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows else lambda x: x
-    signs = settle(rows.join(few(wanted), "id").select("id", "text").mapInArrow(short, "id long, n int, bits binary").dropDuplicates(["id"]))
-    side = lambda x: signs.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), apart("bitsa", "bitsb").alias("apart"))
-    pairs = settle(both.where((F.col("n") - F.col("apart")) / 2 >= threshold / (1 + threshold) * F.col("n") - 1e-6).select("a", "b"))
-    side = lambda x: texts.select(F.xxhash64("_t").alias(x), F.col("_t").alias(f"_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        its = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, members in groupby(its, itemgetter(0, 1, 2)):
+            once = {r[3]: np.frombuffer(r[4], np.int64) for r in members}
+            ids, links = list(once), alike(list(once.values()), threshold)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[x[side]] for x in links], pa.int64()) for side in (0, 1)], names=["a", "b"])
+
+    links = settle(sets.repartition("together", "i", "j").sortWithinPartitions("together", "i", "j").mapInArrow(judged, "a long, b long"))
+    names = settle(found.join(texts.select(F.xxhash64("_t").alias("_id"), "_t"), "_id").select("_id", "_t"))
+    side = lambda x: names.select(F.col("_id").alias(x), F.col("_t").alias(f"_{x}"))
+    return links.join(side("a"), "a").join(side("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
 
 
-def keep_one(docs: DataFrame, limit: int = 7, shingle: int = 2, k: int = 5, threshold: float = 0.8, leaf: int = 2048, few: int = 8, stars: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
+def keep_one(docs: DataFrame, limit: int = 7, shingle: int = 2, k: int = 5, threshold: float = 0.8, leaf: int = 2048, few: int = 8, stars: int = 3, group: int = 2_000, broadcast_rows: int = 200_000) -> DataFrame:
     """The rows of ``docs``, one for each group of near-duplicates: texts connected by pairs that have at least
     ``threshold`` of their shingles of ``k`` words in common, each such pair. SimHash proposes: fingerprints over runs of
     ``shingle`` words (shorter runs move fewer bits for a changed word) that differ in at most ``limit`` bits; the pairs are
@@ -443,7 +594,7 @@ def keep_one(docs: DataFrame, limit: int = 7, shingle: int = 2, k: int = 5, thre
     proposed = settle(named(links(reps.select("fp"), limit, leaf, few, stars)).unionByName(same))
     near = settle(verified(proposed, texts, read, k, threshold, broadcast_rows))
     of = components(near)
-    more = settle(verified(settle(missed(read, texts, of, k, threshold, broadcast_rows=broadcast_rows)), texts, read, k, threshold, broadcast_rows))
+    more = settle(missed(read, texts, of, k, threshold, group, broadcast_rows))
     if not more.isEmpty():
         of = components(near.unionByName(more))
     mine = texts.join(of, texts["_t"] == of["node"], "left").withColumn("_class", F.coalesce("component", "_t"))
