@@ -48,6 +48,26 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_join_only_edges_between_different_trees(spark, monkeypatch):
+    """Paths, a star around the greatest node, and a dense group: what is joined shrinks with each round, to nothing."""
+    from tidelog.llm import components as module
+
+    fresh, sizes = module._fresh, []
+
+    def counted(df):
+        out = fresh(df)
+        sizes.extend([out.count()] * (out.columns == ["u", "v"]))
+        return out
+
+    monkeypatch.setattr(module, "_fresh", counted)
+    rng = random.Random(7)
+    path = rng.sample(range(300), 300)
+    edges = list(itertools.pairwise(path)) + [(k, k + 1) for k in range(400, 500)] + [(999, k) for k in range(600, 700)] + [tuple(rng.sample(range(1000, 1050), 2)) for _ in range(300)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == union(edges)
+    assert sizes[-1] == 0 and sum(sizes) <= 2 * sizes[0] and len(sizes) < 10
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.sets(st.integers(0, (1 << 64) - 1), min_size=1, max_size=60), st.lists(st.lists(st.integers(0, 63), max_size=4), max_size=60), st.integers(1, 4))
 def test_close_pairs_are_all_pairs(seeds, flips, nodes):

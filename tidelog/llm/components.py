@@ -1,10 +1,12 @@
-"""Connected components of a graph in a DataFrame: distributed union-find by least labels and pointer jumping.
-
-A node's label is a node of its component, at first the least of it and its neighbours. In a round each node takes the
-least label among its neighbours', and then the label of that label, until no label changes; so the reach of a label
-about doubles with each round. A round is one aggregation of minima, which combines before it shuffles, and three joins
-with a row for each node on one side; the edges of a node with very many meet that row by a join on the node, which
-adaptive execution splits where the node's edges make a partition too large.
+"""Connected components of a graph in a DataFrame: distributed union-find by least neighbours and contraction.
+
+In a round each node hooks onto the least of itself and its neighbours, and pointer jumping, which doubles its reach with
+each jump, takes every node to the root of the tree it then hangs in. The edges are rewritten to the roots, those
+inside a tree go, and equal ones are one: so each edge is joined twice in a round (a row for each node on the other
+side), and the next round has only what still joins different trees. At the end the rounds are put together from the
+last to the first. A node's least neighbour comes of an aggregation of minima, which combines before it shuffles; the
+edges of a node with very many meet that node's row by a join, which adaptive execution splits where they make a
+partition too large.
 """
 
 from __future__ import annotations
@@ -29,15 +31,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
     ``a`` and ``b`` are of one orderable type. Edges from a node to itself, and repeated edges, change nothing;
     edges with a null end are left out; no edges give no rows.
     """
-    ends = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = _fresh(ends.unionAll(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    of = _fresh(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("component")))
-    for _ in range(rounds):
-        least = both.join(of.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("m"))
-        moved = of.join(least, "node").select("node", F.col("component").alias("before"), F.least("component", "m").alias("at"))
-        jumped = moved.join(of.select(F.col("node").alias("at"), "component"), "at")
-        new = _fresh(jumped.select("node", F.least("at", "component").alias("component"), (F.least("at", "component") != F.col("before")).alias("_new")))
-        of = new.select("node", "component")
-        if new.where("_new").isEmpty():
-            return of
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    u, v = F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
+    left = _fresh(edges.where(F.col(a) != F.col(b)).select(u, v).distinct())
+    steps: list[DataFrame] = []
+    while not left.isEmpty():
+        if len(steps) == rounds:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+        both = left.unionAll(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        of = _fresh(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("at")))
+        moves = True
+        while moves:
+            jumped = of.join(of.select(F.col("node").alias("at"), F.col("at").alias("root")), "at")
+            new = _fresh(jumped.select("node", F.col("root").alias("at"), (F.col("root") != F.col("at")).alias("_new")))
+            of, moves = new.select("node", "at"), not new.where("_new").isEmpty()
+        steps.append(of)
+        side = lambda x, of=of: of.select(F.col("node").alias(x), F.col("at").alias(f"_{x}"))
+        moved = left.join(side("u"), "u").join(side("v"), "v").where(F.col("_u") != F.col("_v"))
+        left = _fresh(moved.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")).distinct())
+    if not steps:
+        return left.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = steps.pop().withColumnRenamed("at", "component")
+    while steps:
+        joined = steps.pop().join(out.withColumnRenamed("node", "at"), "at", "left")
+        out = _fresh(joined.select("node", F.coalesce("component", "at").alias("component")))
+    return out
