@@ -7,6 +7,7 @@ import threading
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.errors import AppendConditionFailed, CommitContention, CorruptRecord, InvalidQuery, ReservedTag
 from tidelog.model import AppendCondition, Event, Query, QueryItem, ReadOptions, pack_position, unpack_position
@@ -58,6 +59,30 @@ def test_pages_are_of_one_snapshot(store):
     assert len(first) == 2 and [len(Store.events(p)) for p in pages] == [1]
 
 
+def counting(monkeypatch, store):
+    """Counts the events that the store's log frames hand out."""
+    handed, log = store.spark.sparkContext.accumulator(0), store.log
+
+    @F.udf("boolean")
+    def seen(_):
+        handed.add(1)
+        return True
+
+    monkeypatch.setattr(store, "log", lambda *a, **k: log(*a, **k).where(seen.asNondeterministic()("batch_index")))
+    return handed
+
+
+def test_pages_scan_the_log_once(store, monkeypatch):
+    for k in range(6):
+        store.append([Event("T", ("a",) * (k % 3), bytes([k])), Event("U")])
+    at = [bytes(r.position) for r in store.read(Query.of_types("T")).collect()]
+    handed = counting(monkeypatch, store)
+    found = [[(bytes(r.position), r.type_name, list(r.tags), bytes(r.data)) for r in p.collect()] for p in store.pages(Query.of_types("T"), 1)]
+    assert handed.value == 12
+    assert found == [[(p, "T", ["a"] * (k % 3), bytes([k]))] for k, p in enumerate(at)]
+    assert [[bytes(r.position) for r in p] for p in store.page_rows(Query.of_types("T"), 4, ReadOptions(after=at[0]))] == [at[1:5], at[5:]]
+
+
 @pytest.mark.parametrize("direct", [0, 16])
 def test_conditions(store, monkeypatch, direct):
     monkeypatch.setattr(store_module, "DIRECT", direct)

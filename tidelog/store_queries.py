@@ -96,7 +96,8 @@ def append_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def store_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A read of one snapshot in pages of 500."""
-    rows = [(k, *p.agg(F.count(F.lit(1)), F.lower(F.hex(F.max("position")))).first()) for k, p in enumerate(_store(spark, sf_dir).pages(Query.of_types("click"), 500, ReadOptions(after=pack_position(41, 3))))]
+    found = _store(spark, sf_dir).page_rows(Query.of_types("click"), 500, ReadOptions(after=pack_position(41, 3)))
+    rows = [(k, len(page), max(r.position for r in page).hex()) for k, page in enumerate(found)]
     return spark.createDataFrame(rows, "page long, n_events long, last_position string")
 
 
