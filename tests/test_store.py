@@ -241,6 +241,31 @@ def test_catch_up(store):
     assert seen == [[0, 1], [2, 3], [4]] and catch_up(store, "c", Query.of_types("T"), handle) == 0
 
 
+def test_catch_up_scans_the_log_once(store, monkeypatch):
+    for k in range(5):
+        store.append([Event("T", (), bytes([k])), Event("U")])
+    handed, seen = counting(monkeypatch, store), []
+    assert catch_up(store, "c", Query.of_types("T"), lambda rows: seen.append([r.data[0] for r in rows.collect()]), page=1) == 5
+    assert handed.value == 10 and seen == [[0], [1], [2], [3], [4]]
+
+
+@pytest.mark.parametrize("n", [4, 5])
+def test_catch_up_sees_what_is_appended_meanwhile(store, n):
+    """An append while the first pages are handled, by their handler; the short page before it isn't the last."""
+    for k in range(n):
+        store.append([Event("T", (), bytes([k]))])
+    seen = []
+
+    def handle(rows):
+        seen.append([r.data[0] for r in rows.collect()])
+        if len(seen) < 3:
+            store.append([Event("T", (), bytes([n + len(seen)]))])
+
+    assert catch_up(store, "c", Query.of_types("T"), handle, page=2) == n + 2
+    assert seen == ([[0, 1], [2, 3], [5, 6]] if n == 4 else [[0, 1], [2, 3], [4, 6], [7]])
+    assert unpack_position(store.get_cursor("c")) == (n + 2, 0)
+
+
 def test_stream_resumes_from_its_checkpoint(store, tmp_path):
     batches = []
 

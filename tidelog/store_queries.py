@@ -109,7 +109,7 @@ def cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.set_cursor("back", pack_position(1, 0))
     store.set_cursor("caught up", pack_position(41, 3))
     handled: list[int] = []
-    n = catch_up(store, "caught up", Query.of_types("click"), lambda rows: handled.append(rows.count()), page=700)
+    n = catch_up(store, "caught up", Query.of_types("click"), lambda rows: handled.append(len(rows.collect())), page=700)
     rows = [(name, at.hex() if (at := store.get_cursor(name)) else "none", 0) for name in ("never", "set", "back")]
     rows.append(("caught up", store.get_cursor("caught up").hex(), n if n == sum(handled) else -1))
     return spark.createDataFrame(rows, "name string, position string, n_handled long")

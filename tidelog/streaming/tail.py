@@ -14,17 +14,22 @@ from .source import stream
 
 
 def catch_up(store: Store, name: str, query: Query, handle: Callable[[DataFrame], None], page: int = 10_000) -> int:
-    """Handles what matches after the cursor, a page at a time, and moves the cursor after each; returns how many."""
+    """Handles what matches after the cursor, a page at a time, and moves the cursor after each; returns how many.
+
+    The pages are of one snapshot, but for the last, which is of its own if something was appended meanwhile: only an
+    end that was looked for after the page before it was handled counts."""
     n = 0
     while True:
-        rows = store.read(query, ReadOptions(page, store.get_cursor(name))).cache()
-        last = rows.selectExpr("count(*)", "max(position)").first()
-        if last[0]:
+        snapshot, ended = store.snapshot(), True
+        for k, (rows, count, last) in enumerate(store.ended_pages(query, page, ReadOptions(after=store.get_cursor(name)), snapshot)):
+            if ended := count < page:
+                if k and store.version > snapshot.version:
+                    ended = False
+                    break
             handle(rows)
-            store.set_cursor(name, bytes(last[1]))
-            n += last[0]
-        rows.unpersist()
-        if last[0] < page:
+            store.set_cursor(name, last)
+            n += count
+        if ended or store.version == snapshot.version:
             return n
 
 
