@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import canonical_tags, has_all, position, position_index, position_version, tag_subsets
 from tidelog.model import LOG, AppendCondition, Event, Query, QueryItem, ReadOptions, pack_position
 from tidelog.operators import conflicts, conflicts_indexed, discover_types, exists, fetch, orphans, pages, read, read_all, subset_index
+from tidelog.operators import reads
 from tidelog.operators.conditions import condition_rows
 from tidelog.operators.index import subset_key
 
@@ -61,6 +62,29 @@ def test_pages(log):
     assert [at(p) for p in pages(log, Query.of_types("none"), 2)] == []
 
 
+def test_pages_by_ranges_and_by_executors(spark, monkeypatch):
+    """Many pages, of which some span ranges of the sort: the same whether the driver holds them or not, the log
+    scanned once."""
+    handed = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def seen(_):
+        handed.add(1)
+        return True
+
+    log = log_of(spark, [(v, i, "T1" if i else "T2", ["a", "b"][: v % 3]) for v in range(50, 0, -1) for i in (2, 0, 1)])
+    log, wanted = log.where(seen.asNondeterministic()("batch_index")), [(v, i) for v in range(1, 51) for i in (1, 2)]
+    expected = [wanted[k : k + 7] for k in range(0, 100, 7)]
+    monkeypatch.setattr(reads, "TURN_BYTES", 1)
+    for limit in (reads.PAGE_BYTES, 0):
+        monkeypatch.setattr(reads, "PAGE_BYTES", limit)
+        handed.value = 0
+        assert [at(p) for p in pages(log, Query.of_types("T1"), 7)] == expected
+        assert handed.value == 150
+    assert [len(p) for p in reads.page_rows(log, Query.of_types("T1"), 50)] == [50, 50]
+    assert next(pages(log, Query.of_types("T1"), 200)).schema == read(log, Query.of_types("T1")).schema
+
+
 def test_type_discovery(log):
     assert {r[0] for r in discover_types(log, ("a",)).collect()} == {"T1", "T2"}
     assert {r[0] for r in discover_types(log, ()).collect()} == {"T1", "T2", "T3"}

@@ -180,8 +180,8 @@ def read_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A read by pages: the last position and the count of each page of 40."""
-    found = reads.pages(events_log(spark, sf_dir), OR_ITEMS, 40)
-    rows = [(k, *page.agg(F.count(F.lit(1)), F.lower(F.hex(F.max("position")))).first()) for k, page in enumerate(found)]
+    found = reads.page_rows(events_log(spark, sf_dir), OR_ITEMS, 40)
+    rows = [(k, len(page), max(r.position for r in page).hex()) for k, page in enumerate(found)]
     return spark.createDataFrame(rows, "page long, n_events long, last_position string")
 
 
